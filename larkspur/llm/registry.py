@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a query each.
-MODULES = ("packing", "pseudonyms", "winnowing")
+MODULES = ("mixing", "packing", "pseudonyms", "toxicity", "winnowing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
