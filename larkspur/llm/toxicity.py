@@ -16,6 +16,7 @@ from larkspur.llm.shared import read_table, rows_in_chunks
 BITS = 22
 #: Bound on the labelled rows that the model is fitted on, chosen by a hash of doc_id: about so many, of all that may be learnt from.
 TRAIN_ROWS = 6_000
+#: Passes over the sample; small samples get more, up to 20, until about EPOCHS * TRAIN_ROWS steps are made.
 EPOCHS = 3
 THRESHOLD = 0.7
 PAIR_VALUE = 0.4
@@ -122,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
     if not total:
         return np.array([1 << bits]), np.zeros(1)
     chosen = known.where(F.col("turn") < int((1 << 30) * min(1.0, rows / total)))
-    l1 = max(0.5, L1 * (min(rows, total) / TRAIN_ROWS) ** 0.5)
+    taught = min(rows, total)
+    l1, passes = max(L1 / 2, L1 * (taught / TRAIN_ROWS) ** 0.5), max(epochs, min(20, epochs * TRAIN_ROWS // taught))
     # about `rows` rows at most, whatever the input: small enough to broadcast and to work through in one task
     lesson = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "toxic", "text")
 
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
                 at = np.unique(features(text, bits)).astype(np.int32)
                 model.learn(at, values(at, bits), label)
                 rest.append((at, label))
-        for _ in range(epochs - 1):
+        for _ in range(passes - 1):
             for at, label in rest:
                 model.learn(at, values(at, bits), label)
         every = np.arange(len(model.z))
