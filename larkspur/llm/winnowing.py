@@ -106,7 +106,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = 4 * partitions_of(spark)
     # one smallest id for each range: as many numbers as there are ranges
-    firsts = np.array(sorted(r[0] for r in rows.select("at").repartitionByRange(n, "at").groupBy(F.spark_partition_id()).agg(F.min("at")).collect()), dtype=np.int64)
+    firsts = np.array(sorted(r[1] for r in rows.select("at").repartitionByRange(n, "at").groupBy(F.spark_partition_id()).agg(F.min("at")).collect()), dtype=np.int64)
 
     @F.pandas_udf("long")
     def bucket_of(ids: pd.Series) -> pd.Series:
