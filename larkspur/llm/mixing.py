@@ -143,6 +143,24 @@ def mix(docs: DataFrame, most: float = MOST, tilt: Column | None = None) -> Data
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def mixed_documents(docs: DataFrame, most: float = MOST, tilt: Column | None = None) -> DataFrame:
+    """The rows of `docs`, with their columns, each as often as the mix takes it; rows are treated as by `mix`.
+
+    Rows meet their copies by a hash of doc_id, source and text; equal rows are numbered first, where there are any.
+    """
+    names = docs.columns
+    plain = docs.select(F.xxhash64("doc_id", "source", "text").alias("stable"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    taken = Table(mix_thin(thin_rows(docs, tilt), most).select("stable", "row_id", "copies"), "copies").df
+    keys = ["stable"]
+    if taken.groupBy("stable").count().where("count > 1").limit(1).count():
+        plain = plain.withColumn("nth", F.row_number().over(Window.partitionBy("stable").orderBy("c0")))
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("stable").orderBy("row_id")))
+        keys.append("nth")
+    out = plain.join(taken.where("copies > 0").drop("row_id"), keys)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 

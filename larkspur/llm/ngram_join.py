@@ -333,8 +333,8 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Dat
     return components(links).select("node", F.col("component_id").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text, ...).
+def near_duplicates_by_set(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, node (id of the shingle set) for every row of `docs` (doc_id, text, ...).
 
     Rows link when den * |intersection| >= num * |union| of their shingle sets; component_id is the smallest doc_id
     reachable. Texts that are null or have no words have no shingles and link with nothing; repeated rows have equal
@@ -349,7 +349,40 @@ def near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATO
     lows = heads.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = heads.join(lows, "comp").select(F.col("node").alias("key"), "component_id")
     out = rows.join(named, F.col("node") == F.col("key"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+
+
+def near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`, as `near_duplicates_by_set` finds them."""
+    return near_duplicates_by_set(docs, num, den, k).drop("node")
+
+
+def without_near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = WORDS) -> DataFrame:
+    """One row of `docs` for each group of near duplicates, the one with the smallest doc_id, and all rows without shingles.
+
+    Of rows with that doc_id and the same shingles one stays. Only the ids to drop meet the texts: broadcast up to
+    BROADCAST_ROWS, else by a shuffle. Where doc_ids repeat, rows are told apart by their shingle sets as well.
+    """
+    found = Table(near_duplicates_by_set(docs, num, den, k), "found").df
+    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("drop_id"), F.col("node").alias("drop_node")).distinct()
+    drop = Table(drop, "drop").df
+    if drop.count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
+    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.join(drop, docs.doc_id.cast("long").eqNullSafe(drop.drop_id), "left_anti")
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at, ids = [c.lower() for c in names].index("text"), [c.lower() for c in names].index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_in_chunks(batches, at, 8 << 20):
+            sets = [shingle_set(t, k) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, "node"])
+
+    rows = plain.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema) + ", node long")
+    rows = rows.join(drop, F.col(f"c{ids}").cast("long").eqNullSafe(F.col("drop_id")) & F.col("node").eqNullSafe(F.col("drop_node")), "left_anti")
+    rows = rows.where("node is not null").dropDuplicates([f"c{ids}", "node"]).union(rows.where("node is null"))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return scored.select("doc_id", F.coalesce(~learnable("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with their columns; rows are treated as by `score_toxicity`."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = [c.lower() for c in names].index("text")
+    scored = score(plain, train(docs, labels), text_at=at).where(F.col("score") < threshold)
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
