@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a query each.
-MODULES = ("embedding_dedup", "mixing", "ngram_join", "packing", "pseudonyms", "toxicity", "warc", "winnowing")
+MODULES = ("embedding_dedup", "licenses", "mixing", "ngram_join", "packing", "pseudonyms", "quality", "toxicity", "warc", "winnowing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
