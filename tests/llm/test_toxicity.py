@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+
+from larkspur.llm import toxicity as T
+
+BAD, GOOD = ["vile", "rotten"], [f"w{i}" for i in range(60)]
+
+
+def corpus(n, seed=1):
+    rng, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        words = [rng.choice(GOOD) for _ in range(rng.randrange(5, 40))]
+        toxic = rng.random() < 0.3
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(BAD))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_learns_and_holds_out(spark):
+    rows, labels = corpus(600)
+    extra = [(9001, None), (9002, ""), (9003, "vile " * 200_000), (9003, "w1 w2"), (None, "vile w1")]
+    docs = spark.createDataFrame([(*r, 0.5, 1) for r in rows + extra], "doc_id long, text string, score double, toxic int")
+    lab = spark.createDataFrame([*labels, (9002, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = T.score_toxicity(docs, lab, rows=400).collect()
+    assert len(got) == len(rows) + len(extra) and {r.doc_id for r in got if r.held_out} == {i for i, _ in rows + extra if i is not None and zlib.crc32(str(i).encode()) % 3 == 1}
+    truth = {i: t for i, _, t in labels}
+    held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    assert sum(a == b for a, b in held) > 0.95 * len(held) and len(held) > 150
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    again = T.score_toxicity(docs.repartition(7), lab, rows=400).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_held_out_labels_do_not_matter(spark):
+    rows, labels = corpus(120, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flip = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
+    a, b = (T.train(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, flip))
+    assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
+def test_empty_tables(spark):
+    docs, lab = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.score for r in T.score_toxicity(docs, lab).collect()] == [0.5]
+    assert T.score_toxicity(docs.limit(0), lab).count() == 0
+
+
+def test_without_toxic_keeps_columns(spark):
+    rows, labels = corpus(300, 3)
+    docs = spark.createDataFrame([(t, i, "s", 1.0) for i, t in rows], "text string, doc_id long, source string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = T.without_toxic(docs, lab)
+    assert kept.columns == docs.columns
+    ids, bad = {r.doc_id for r in kept.collect()}, {i for i, _, t in labels if t}
+    assert len(ids & bad) <= 0.05 * len(bad) and len(ids) >= 0.95 * (300 - len(bad))
+
+
+def test_l1_drops_weights_without_signal():
+    m, rng = T.Ftrl(100, l1=2.0), np.random.default_rng(1)
+    for _ in range(400):
+        at = np.unique(rng.integers(1, 100, 10))
+        label = int(rng.random() < 0.5)
+        at = np.append(0, at) if label else at
+        m.learn(at, np.ones(len(at)), label)
+    w = m.weights(np.arange(101))
+    assert w[0] > 1 and np.count_nonzero(w[1:100]) < 60
