@@ -30,6 +30,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SAMPLE, COMMON, COMMON_FROM = 8_000, 100_000, 4
 #: Members of a tile's side; a larger group is several tiles.
 TILE = 1_024
+#: Groups with more members tell which pairs another such group has compared already.
+LARGE = 64
 #: Rows of two longs that may be broadcast.
 BROADCAST_ROWS = 500_000
 _WORDS_KEPT = 500_000
@@ -212,18 +214,23 @@ def _filter_pairs(num: int, den: int):
 
 
 def _tiles(num: int, den: int):
-    """Rows (members, i, j, side, node, comp, n, bits) sorted by tile to pairs (a, b) that may be links, in different components.
+    """Rows (members, i, j, side, node, comp, n, bits, earlier) sorted by tile to pairs (a, b) that may be links, in different components.
 
     A tile's rows are sorted by size and banded by the width of their bitmaps; only pairs within the length bound and
-    within one band of each other are compared.
+    within one band of each other are compared. `earlier` lists a row's large groups with smaller numbers: a pair that
+    has one of them in common is left to the smallest, so groups of near copies tell each pair once.
     """
 
+    def first_here(earlier: list[frozenset], x: int, who: np.ndarray) -> np.ndarray:
+        return who[[earlier[x].isdisjoint(earlier[y]) for y in who.tolist()]] if earlier[x] and len(who) else who
+
     def told(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         node, comp, n, side = (rows.column(c).to_numpy() for c in ("node", "comp", "n", "side"))
         bits = _bit_rows(rows.column("bits"))
         width = np.array([len(x) for x in bits])
         square = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        earlier = [frozenset(x) for x in rows.column("earlier").to_pylist()]
         out_a, out_b = [], []
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
@@ -244,7 +251,7 @@ def _tiles(num: int, den: int):
                         who = np.flatnonzero(fit)
                         if len(who):
                             differ = np.bitwise_count(big[who] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                            who = right[who[_bound_passes(n[x], n[right[who]], differ, num, den)]]
+                            who = first_here(earlier, x, right[who[_bound_passes(n[x], n[right[who]], differ, num, den)]])
                             out_a.append(np.minimum(node[who], node[x]))
                             out_b.append(np.maximum(node[who], node[x]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -322,11 +329,13 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Dat
     # Second round: what is in different components still, group by group, in tiles.
     named = live.join(comps.df, "node", "left").select("members", "node", F.coalesce("component_id", "node").alias("comp"))
     open_groups = named.groupBy("members").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rows = named.join(open_groups.select("members", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "members")
+    rows = Table(named.join(open_groups.select("members", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "members"), "open").df
+    large = rows.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_list("members").alias("large"))  # at most a node's keys
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "comp")
-    rows = rows.join(facts, "node").select("members", "i", "j", "side", "node", "comp", "n", "bits")
+    rows = rows.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "comp", "size")
+    earlier = F.when(F.col("size") > LARGE, F.filter("large", lambda x: x < F.col("members")))
+    rows = rows.join(facts.join(large, "node", "left"), "node").select("members", "i", "j", "side", "node", "comp", "n", "bits", F.coalesce(earlier, F.array().cast("array<long>")).alias("earlier"))
     tiles = rows.repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j", "n")
     second = _verified(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), docs, homes, num, den, k)
     links = comps.df.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(second.df)
