@@ -136,6 +136,9 @@ def thin_rows(docs: DataFrame, tilt: Column | None = None) -> DataFrame:
 def mix(docs: DataFrame, most: float = MOST, tilt: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of `docs` (doc_id, text, source, ...).
 
+    What a source's documents take misses its target by a few words a block, or where one document makes up much of a
+    source by half that document at most.
+
     Null texts have no words; a null source is a source of its own and comes last; repeated rows are documents each;
     an empty table gives no rows; other columns are ignored. The result depends on the rows alone, not on timing.
     """

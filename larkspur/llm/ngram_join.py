@@ -294,7 +294,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
     sets = texts.mapInArrow(run, "node long, items binary").join(wanted.df.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
-    sets = Table(sets, "items").df
+    items = Table(sets, "items")
+    sets = items.df
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,17 +305,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
 
     with_b = pairs.df.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    return Table(both.select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long"), "links")
+    links = Table(both.select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long"), "links")
+    for table in (pairs, wanted, items):
+        table.drop()
+    return links
 
 
-def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> DataFrame:
-    """(node, comp) of nodes that have a link."""
+def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Table:
+    """(node, comp) of nodes that have a link, in the shared folder; what was written on the way is gone."""
     spark = docs.sparkSession
     whole = sets.df.where("node is not null").groupBy("node").agg(F.first(F.struct("n", "keys", "bits")).alias("x"), F.min("doc_id").alias("home"))
     reps = Table(whole.select("node", "x.n", "x.keys", "x.bits", "home"), "nodes")
     keyed = reps.df.select(F.explode("keys").alias("key"), "node")
     live = keyed.repartition(partitions_of(spark), "key").sortWithinPartitions("key").mapInArrow(_groups, "members long, node long").distinct()
-    live = Table(live, "groups").df
+    groups = Table(live, "groups")
+    live = groups.df
     facts, homes = reps.df.select("node", "n", "bits"), reps.df.select("node", "home")
 
     # First round: in each group every member against one of them.
@@ -329,7 +334,8 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Dat
     # Second round: what is in different components still, group by group, in tiles.
     named = live.join(comps.df, "node", "left").select("members", "node", F.coalesce("component_id", "node").alias("comp"))
     open_groups = named.groupBy("members").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rows = Table(named.join(open_groups.select("members", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "members"), "open").df
+    still = Table(named.join(open_groups.select("members", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "members"), "open")
+    rows = still.df
     large = rows.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_list("members").alias("large"))  # at most a node's keys
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -339,7 +345,10 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Dat
     tiles = rows.repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j", "n")
     second = _verified(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), docs, homes, num, den, k)
     links = comps.df.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(second.df)
-    return components(links).select("node", F.col("component_id").alias("comp"))
+    out = Table(components(links).select("node", F.col("component_id").alias("comp")), "linked")
+    for table in (reps, groups, first, comps, still, second):
+        table.drop()
+    return out
 
 
 def near_duplicates_by_set(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = WORDS) -> DataFrame:
@@ -351,8 +360,9 @@ def near_duplicates_by_set(docs: DataFrame, num: int = NUMERATOR, den: int = DEN
     columns are ignored. Sets stand for their 64-bit shingle hashes.
     """
     sets = document_sets(docs, num, den, k)
-    comps = Table(linked_sets(docs, sets, num, den, k), "linked").df
-    rows = sets.df.select("doc_id", "node", "n")
+    comps = linked_sets(docs, sets, num, den, k).df
+    rows = Table(sets.df.select("doc_id", "node", "n"), "thin").df
+    sets.drop()
     heads = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     heads = heads.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "low")
     lows = heads.groupBy("comp").agg(F.min("low").alias("component_id"))
