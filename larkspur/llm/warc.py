@@ -1,14 +1,15 @@
 """WARC archives: a writer that stores equal payloads once, and a reader that salvages what damage leaves.
 
-The writer is DataFrame functions alone: each record is one value of Spark's text writer, whose line separator is the
-record's last byte, so archives are written by executors to any file system that Spark reaches. The reader takes
-archives whole, plain or in gzip members. A record that fails a check (version line, header, length, end marks,
+The writer makes records with DataFrame functions and deflates each to a gzip member of its own. A member is one value
+of Spark's text writer, whose line separator is the member's last byte, so archives are written by executors to any
+file system that Spark reaches. The reader takes archives whole, in gzip members or plain. A record that fails a check (version line, header, length, end marks,
 digests) is not trusted: the reader searches on for the next version line or gzip member at which a record does pass,
 goes on from there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -18,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, scratch_path
+from larkspur.llm.shared import read_table, rows_in_chunks, scratch_path
 
 #: Payloads of fewer bytes are stored each time.
 REVISIT_FROM = 1000
@@ -27,6 +28,7 @@ ARCHIVE_BYTES = 16 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = "\r\n"
+_LEVEL = 5
 
 
 def record_id(number: Column, salt: Column) -> Column:
@@ -61,7 +63,7 @@ def decided(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """One string column, `value`: a WARC record without its last byte, for rows of `decided`."""
+    """One string column, `value`: a WARC record for each row of `decided`."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_EOL))
     uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.lit("urn:unknown"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}"), line("Content-Length", F.col("size").cast("string")), F.lit(_EOL))
@@ -80,13 +82,24 @@ def records(rows: DataFrame) -> DataFrame:
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit(_EOL),
         F.col("block"),
-        F.lit(f"{_EOL}\r"),
+        F.lit(_EOL * 2),
     )
     return rows.select(value.alias("value"))
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero: the highest byte of a length below 16 MiB. Longer records get an empty member after them."""
+    made = gzip.compress(record, _LEVEL, mtime=0)
+    return (made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1]
+
+
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows_in_chunks(batches, 0):
+        yield pa.RecordBatch.from_arrays([pa.array(map(member, batch.column(0).to_pylist()), pa.binary())], ["value"])
+
+
 def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record for each row of `pages` (page_id, url, html) to archives of about `archive_bytes` in folder `path`.
+    """Writes a record for each row of `pages` (page_id, url, html) to archives of about `archive_bytes`, deflated, in folder `path`.
 
     Null html is an empty payload, a null url is urn:unknown, a null page_id gets a record id made from url and
     digest; all rows with the largest page_id of equal payloads are responses; an empty table writes no records;
@@ -94,7 +107,8 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM
     """
     n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
     each = max(1, int(archive_bytes / max(1, (size or 0) / max(1, n) + 700)))
-    records(decided(pages, revisit_from)).write.option("lineSep", "\n").option("maxRecordsPerFile", each).text(path)
+    members = records(decided(pages, revisit_from)).select(F.col("value").cast("binary")).mapInArrow(_deflated, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
 
 
 class Record(NamedTuple):
@@ -142,7 +156,10 @@ def parse_at(data: bytes, at: int) -> Record:
         field = _FIELD.match(data, pos)
         if not field:
             raise Damaged("bad header")
-        fields[field[1].decode("ascii").lower()] = field[2].decode("utf-8", "replace")
+        name = field[1].decode("ascii").lower()
+        if name in fields and name != "warc-concurrent-to":
+            raise Damaged("repeated field")
+        fields[name] = field[2].decode("utf-8", "replace")
         pos = field.end()
     pos += 2
     if not fields.get("content-length", "").isdigit() or not fields.get("warc-type") or not fields.get("warc-record-id"):
@@ -181,13 +198,11 @@ def _plain(data: bytes) -> Iterator[Record]:
         except Damaged as e:
             nxt = at + 1
             while (nxt := data.find(b"WARC/1.", nxt)) >= 0:
-                if data[nxt - 1 : nxt] == b"\n":
-                    try:
-                        parse_at(data, nxt)
-                        break
-                    except Damaged:
-                        pass
-                nxt += 1
+                try:
+                    parse_at(data, nxt)
+                    break
+                except Damaged:
+                    nxt += 1  # a cut may have left the version line within a line, so any place is tried
             stop = nxt if nxt >= 0 else size
             yield Record(at, stop, reason=str(e))
             at = stop
@@ -200,14 +215,17 @@ def _member(data: bytes, at: int) -> tuple[list[Record], int]:
     """The records of the gzip member at `at`, with the member's bounds, and its end."""
     if data[at : at + 3] != b"\x1f\x8b\x08":
         raise Damaged("no gzip member")
-    z = zlib.decompressobj(31)
+    z, parts, stop = zlib.decompressobj(31), [], at
     try:
-        text = z.decompress(data[at:]) + z.flush()
+        while not z.eof and stop < len(data):  # piece by piece: what follows the member is not copied
+            parts.append(z.decompress(data[stop : stop + (1 << 15)]))
+            stop = min(len(data), stop + (1 << 15))
     except zlib.error as e:
         raise Damaged("bad gzip data") from e
     if not z.eof:
         raise Damaged("cut short")
-    stop, out, pos = len(data) - len(z.unused_data), [], 0
+    stop -= len(z.unused_data)
+    text, out, pos = b"".join(parts), [], 0
     while pos < len(text):
         one = parse_at(text, pos)
         pos = one.stop
