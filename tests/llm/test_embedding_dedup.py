@@ -12,7 +12,8 @@ from larkspur.llm import embedding_dedup as E
 def plain(rows, cosine=0.93):
     """(vec_id, links, component) by comparing all pairs."""
     ok = [v is not None and lab is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v) for _, v, lab in rows]
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if k else None for k, (_, v, _) in zip(ok, rows)]
+    scaled = [np.array(v, float) / max(map(abs, v)) if k else None for k, (_, v, _) in zip(ok, rows)]
+    unit = [v if v is None else v / np.linalg.norm(v) for v in scaled]
     head, links = list(range(len(rows))), Counter()
 
     def find(i):
