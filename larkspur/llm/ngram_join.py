@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import Table, components, partitions_of, read_table, rows_in_chunks
+from larkspur.llm.shared import Table, components, partitions_of, read_table, rows_in_chunks, use_cache
 
 WORDS = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR or more links.
@@ -34,7 +34,7 @@ TILE = 1_024
 LARGE = 64
 #: Rows of two longs that may be broadcast.
 BROADCAST_ROWS = 500_000
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 300_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -121,6 +121,7 @@ def common_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.nda
     part = _text_bytes(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, total)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 4 << 20):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
@@ -138,6 +139,7 @@ def document_sets(docs: DataFrame, num: int, den: int, k: int) -> Table:
     common, rank = common_shingles(docs, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 8 << 20):
             nodes, sizes, keys, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -289,6 +291,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 4 << 20):
             sets = [s for s in (shingle_set(t, k) for t in batch.column(1).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
@@ -394,6 +397,7 @@ def without_near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DE
     at, ids = [c.lower() for c in names].index("text"), [c.lower() for c in names].index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, at, 8 << 20):
             sets = [shingle_set(t, k) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, "node"])

@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from larkspur.llm.shared import Table, partitions_of, read_table, rows_in_chunks
+from larkspur.llm.shared import Table, partitions_of, read_table, rows_in_chunks, use_cache
 
 WINDOW = 2048
 END_ID = 1
 #: A window may stay this many ids short of full before its longest remainder is left for the cut pool.
 MAX_SLACK = 4
 #: Words a Python worker remembers.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 500_000
 
 #: Characters for which lower-casing and NFC act on each alone: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[^ -~\n\r\tÀ-ÖØ-öø-ÿ]")
@@ -125,6 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("packing", encoder.cache_clear)
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in rows_in_chunks(batches, 2, 4 << 20):
             out: list[tuple] = []

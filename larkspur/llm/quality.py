@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks
+from larkspur.llm.shared import read_table, rows_in_chunks, use_cache
 from larkspur.llm.toxicity import Ftrl, sigmoid
 
 BITS = 16
@@ -175,6 +175,7 @@ def score_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     index, value = train(docs, posterior, sum(r.n for r in counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("quality", _shapes.clear)
         table = np.zeros((1 << BITS) + 1)
         table[index] = value
         for batch in rows_in_chunks(batches, 1):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -125,5 +127,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(heads.select(F.col("v").alias("node"), F.col("v").alias("component_id")))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def use_cache(name: str, clear: Callable[[], None]) -> None:
+    """Called where a Python worker starts to use an operator's word cache: those of other operators go.
+
+    Workers are used again by later stages, so that caches, kept for speed within a stage, would add up otherwise.
+    """
+    stale = [k for k in _caches if k != name]
+    for k in stale:
+        _caches.pop(k)()
+    if stale:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it, memory goes back at once
+        if trim:
+            trim(0)
+    _caches[name] = clear

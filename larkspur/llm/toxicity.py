@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks
+from larkspur.llm.shared import read_table, rows_in_chunks, use_cache
 
 #: 2 ** BITS hashed features, so at most that many weights are collected and broadcast; L1 leaves a few hundred.
 BITS = 22
@@ -24,7 +24,7 @@ ALPHA, BETA, L2 = 1.0, 1.0, 0.02
 #: L1 at TRAIN_ROWS rows; it follows the square root of the rows, as the noise in a coordinate's gradient sum does.
 L1 = 3.0
 #: Words that a Python worker remembers.
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 _PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
@@ -33,23 +33,26 @@ class _Vocabulary(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[tuple[int, int, int]] = []
-        self.table = np.zeros((0, 3), np.uint64)
+        self.table, self.filled = np.empty((1024, 3), np.uint64), 0
+        self.new: list[tuple[int, int, int]] = []
 
     def __missing__(self, raw: str) -> int:
         word = raw.lower().strip(_PUNCTUATION)
-        self[raw] = n = len(self.hashes)
-        self.hashes.append(tuple(xxhash.xxh3_64_intdigest(x) for x in (word, "4" + word[:4], "5" + word[:5])))
+        self[raw] = n = self.filled + len(self.new)
+        self.new.append(tuple(xxhash.xxh3_64_intdigest(x) for x in (word, "4" + word[:4], "5" + word[:5])))
         return n
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.hashes) > _WORDS_KEPT:
+        if self.filled > _WORDS_KEPT:
             self.clear()
-            self.hashes, self.table = [], np.zeros((0, 3), np.uint64)
+            self.filled = 0
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.hashes):
-            new = np.array(self.hashes[len(self.table) :], dtype=np.uint64)
-            self.table = np.concatenate([self.table, new]) if len(self.table) else new
+        if self.new:
+            n = self.filled + len(self.new)
+            if n > len(self.table):  # doubled, as copies for every text would cost more than the texts
+                self.table = np.concatenate([self.table[: self.filled], np.empty((2 * n - self.filled, 3), np.uint64)])
+            self.table[self.filled : n] = self.new
+            self.filled, self.new = n, []
         return self.table[ids]
 
 
@@ -129,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
     lesson = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("toxicity", _vocabulary.cache_clear)
         model, rest = Ftrl(1 << bits, l1=l1), []
         for batch in rows_in_chunks(batches, 3):
             for label, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -138,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
         for _ in range(passes - 1):
             for at, label in rest:
                 model.learn(at, values(at, bits), label)
-        every = np.arange(len(model.z))
-        w = model.weights(every)
-        keep = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(w[keep])], ["i", "w"])
+        for low in range(0, len(model.z), 1 << 18):
+            at = np.arange(low, min(low + (1 << 18), len(model.z)))
+            w = model.weights(at)
+            yield pa.RecordBatch.from_arrays([pa.array(at[w != 0].astype(np.int32)), pa.array(w[w != 0])], ["i", "w"])
 
     # at most 2 ** bits weights, by the size of the model
     found = lesson.repartition(1).sortWithinPartitions("turn", "doc_id", "text").mapInArrow(run, "i int, w double").toPandas()
@@ -154,7 +158,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits)
+        use_cache("toxicity", _vocabulary.cache_clear)
+        table = np.zeros(1 << bits, np.float32)
         inner = index < 1 << bits
         table[index[inner]] = value[inner] * values(index[inner], bits)
         active = table != 0
@@ -164,7 +169,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
             for text in batch.column(text_at).to_pylist():
                 at = features(text or "", bits)
                 at = np.unique(at[active[at]])
-                out.append(sigmoid(bias + table[at].sum()))
+                out.append(sigmoid(bias + table[at].sum(dtype=np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double"
