@@ -125,19 +125,21 @@ def _number(text: str, f: Feistel, inverse: bool) -> str | None:
     return _with_digits(text, head + str((luhn_digit(head) + 1 + off) % 10))
 
 
-_AREA = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10]
-
-
 def _phone(text: str, f: Feistel, inverse: bool) -> str | None:
-    """North American numbers: area and exchange begin with 2 to 9; a country code stays."""
+    """North American numbers; a country code stays, and so does whether area and exchange begin with 0 or 1, which no number in service does.
+
+    Without a country code, ten digits whose area code begins with 0 or 1 are not taken for a phone number.
+    """
     digits = _only_digits(text)
-    own = digits[-10:]
-    if len(digits) not in (10, 11) or digits[:-10] not in ("", "1") or own[0] in "01" or own[3] in "01":
+    country, own = digits[:-10], digits[-10:]
+    if len(digits) not in (10, 11) or country not in ("", "1") or not country and own[0] in "01":
         return None
-    low = [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-    value, size = _mixed([int(c) - x for c, x in zip(own, low, strict=True)], _AREA)
-    moved = _unmixed(f.permute("phone", value, size, inverse), _AREA)
-    return _with_digits(text, digits[:-10] + "".join(str(d + x) for d, x in zip(moved, low, strict=True)))
+    low = [2 if i in (0, 3) and own[i] not in "01" else 0 for i in range(10)]
+    sizes = [(8 if low[i] else 2) if i in (0, 3) else 10 for i in range(10)]
+    value, size = _mixed([int(c) - x for c, x in zip(own, low, strict=True)], sizes)
+    tag = "phone" if low[0] and low[3] else f"phone{low[0]}{low[3]}"
+    moved = _unmixed(f.permute(tag, value, size, inverse), sizes)
+    return _with_digits(text, country + "".join(str(d + x) for d, x in zip(moved, low, strict=True)))
 
 
 def _ssn_ok(a: int, b: int, c: int) -> bool:

@@ -59,6 +59,16 @@ def test_what_is_not_valid_stays(text):
     assert N.pseudonymise(text, F) == (text, [])
 
 
+@pytest.mark.parametrize("phone", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (786) 055-4469", "+11325551352", "1-073-155-8658", "(212) 155-0100"])
+def test_phones_outside_the_numbering_plan(phone):
+    text = f"call {phone} now"
+    new, spans = N.pseudonymise(text, F)
+    assert new != text and [s[2] for s in spans] == ["phone"] and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+    assert N.pseudonymise(new, F, True)[0] == text and N.pseudonymise(phone, F)[0] == new[5:-4]
+    digits = lambda t: [c in "01" for i, c in enumerate(N._only_digits(t)[-10:]) if i in (0, 3)]
+    assert digits(new) == digits(text)
+
+
 @settings(max_examples=150, database=None, deadline=None)
 @given(st.text(alphabet="0123456789-/. ()+@abAZ:", max_size=60))
 def test_inverse_on_any_text(text):
