@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -244,30 +245,88 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, Feistel, bool], str | None]]]
     ("number", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z]|[.-][0-9])"), _number),
 ]
 _ANY = re.compile("[0-9@]")
+#: Characters of an IBAN by country, of the IBAN registry.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, names in (x.split(":") for x in (
+        "15:NO,16:BE,18:DK FI FK FO GL NL SD,19:MK SI,20:AT BA EE KZ LT LU MN XK,21:CH HR LI LV,22:BG BH CR DE GB GE IE ME RS VA,"
+        "23:AE GI IL IQ OM SO TL,24:AD CZ ES MD PK RO SA SE SK TN VG,25:LY PT ST,26:IS TR,27:BI DJ FR GR IT MC MR SM,28:AL AZ BY CY DO GT HU LB NI PL SV,"
+        "29:BR EG PS QA UA,30:JO KW MU YE,31:MT SC,32:LC,33:RU"
+    ).split(","))
+    for c in names.split()
+}
+_GROUP_END = re.compile(r"[0-9A-Za-z](?=[ -]|$)")
+
+
+def _card_ends(text: str) -> list[int]:
+    """Ends to try for cards that may have other groups behind them: 16 digits, then the most."""
+    ends = [(len(_only_digits(text[: m.end()])), m.end()) for m in _GROUP_END.finditer(text)]
+    return [e for n, e in sorted(ends, key=lambda x: (x[0] != 16, -x[0])) if 13 <= n <= 19]
+
+
+def _iban_ends(text: str) -> list[int]:
+    """Ends to try for IBANs that may have words behind them: the country's length, then the longest."""
+    ends = [(m.end() - text.count(" ", 0, m.end()), m.end()) for m in _GROUP_END.finditer(text)]
+    return [e for n, e in sorted(ends, key=lambda x: (x[0] != IBAN_LENGTHS.get(text[:2]), -x[0])) if 15 <= n <= 34]
+
+
+#: Kinds written in groups, whose patterns may take in groups that don't belong to the value.
+_ENDS: dict[str, Callable[[str], list[int]]] = {"card": _card_ends, "iban": _iban_ends}
+
+
+#: Validity does not depend on the key.
+_CHECK = Feistel(b"")
+
+
+def _parsed(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Values and what was tried in vain, as (start, end, number of kind), values in order of precedence.
+
+    Of values written in groups the first end that is valid counts; without one, the search goes on from the next group.
+    """
+    f, taken = _CHECK, bytearray(len(text))
+    held: list[tuple[int, int, int]] = []
+    failed: list[tuple[int, int, int]] = []
+    for k, (kind, pattern, move) in enumerate(KINDS):
+        at, ends = 0, _ENDS.get(kind)
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.end()
+            if ends:
+                at = start + next((g.end() for g in _GROUP_END.finditer(m.group())), m.end() - start)
+            for end in (start + e for e in ends(m.group())) if ends else (m.end(),):
+                if any(taken[start:end]):
+                    continue
+                if move(text[start:end], f, False) is not None:
+                    held.append((start, end, k))
+                    taken[start:end] = b"\x01" * (end - start)
+                    at = end
+                    break
+                failed.append((start, end, k))
+    return held, sorted(failed)
 
 
 def pseudonymise(text: str, f: Feistel, inverse: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with each value replaced by its pseudonym, [(start, end, kind)]); lengths and positions stay."""
+    """(text with each value replaced by its pseudonym, [(start, end, kind)]); lengths and positions stay.
+
+    A value moves on while it would make valid what was tried in vain, so that its pseudonym is found at the same place;
+    the inverse goes back through the same steps.
+    """
     if not _ANY.search(text):
         return text, []
-    found: dict[int, tuple[int, str, str]] = {}
-    taken = bytearray(len(text))
-    for kind, pattern, move in KINDS:
-        for m in pattern.finditer(text):
-            if any(taken[m.start() : m.end()]):
-                continue
-            new = move(m.group(), f, inverse)
-            if new is not None:
-                found[m.start()] = (m.end(), kind, new)
-                taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-    if not found:
+    held, failed = _parsed(text)
+    if not held:
         return text, []
+    now = bytearray(text.encode("ascii", "replace"))  # a byte a code point; values are ASCII
+    for start, end, k in reversed(held) if inverse else held:
+        near = [x for x in failed[bisect_left(failed, (start - 64,)) : bisect_left(failed, (end,))] if x[1] > start]
+        while True:
+            now[start:end] = KINDS[k][2](now[start:end].decode(), f, inverse).encode()
+            if all(KINDS[j][2](now[x:y].decode(), f, False) is None for x, y, j in near):
+                break
     out, at = [], 0
-    for start in sorted(found):
-        end, _, new = found[start]
-        out += [text[at:start], new]
+    for start, end, _ in sorted(held):
+        out += [text[at:start], now[start:end].decode()]
         at = end
-    return "".join([*out, text[at:]]), [(s, found[s][0], found[s][1]) for s in sorted(found)]
+    return "".join([*out, text[at:]]), [(start, end, KINDS[k][0]) for start, end, k in sorted(held)]
 
 
 _SPANS = "array<struct<start:int,stop:int,kind:string>>"
@@ -276,7 +335,8 @@ _SPANS = "array<struct<start:int,stop:int,kind:string>>"
 def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY, inverse: bool = False) -> DataFrame:
     """All columns of `docs`, with `text` pseudonymised, and `pii_spans` (start, stop, kind in code points).
 
-    A null text stays null with no spans; equal values get equal pseudonyms in every row; other columns pass through
+    A null text stays null with no spans; equal values get equal pseudonyms in every row (but for one
+    whose pseudonym would make a valid card or IBAN with the groups beside it, which moves on); other columns pass through
     (one named pii_spans is replaced). `inverse` with the same key restores the texts.
     """
     docs = docs.drop("pii_spans")
