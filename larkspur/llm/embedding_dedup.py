@@ -6,12 +6,13 @@ add (Becker, Ducas, Gama, Laarhoven, "New directions in nearest neighbor searchi
 meet in its tile; a sketch of signs drops tile rows without any near neighbour, and cosines in double precision decide
 the rest. Each pair counts in the smallest of its common tiles alone, and each tile returns one row for each of its
 vectors (links counted, smallest vector of its local component), so a group of g near copies costs g rows a tile, not
-g * g.
+g * g. Caps are as wide as the number of dimensions asks for; the few vectors that pass hardly any filter are compared
+with all others of their label, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +31,37 @@ TILE = 1_024
 SKETCH_TILE = 256
 
 
-def code_plan(n: int) -> tuple[int, int, int, float]:
-    """(blocks, words a block, codes, reach) for n vectors: of pairs at cosine 0.93 they find 99 in 100 or more, of closer ones nearly all.
+#: Vectors that pass fewer filters are compared exactly: of random ones 3 in 1,000 for the first plan, next to none for the second.
+FEW = 4
+#: Dimensions for which the plans' reach is set.
+PLAN_DIM = 64
 
-    More vectors take more and narrower caps, so that a cap holds few unrelated vectors.
+
+@lru_cache(maxsize=64)
+def _reach(reach: float, dim: int) -> float:
+    """The reach of a cap in `dim` dimensions that holds the share of the sphere that `reach` gives in PLAN_DIM."""
+    at = np.linspace(-1, 1, 20001)[1:-1]
+
+    def share(x: float, d: int) -> float:
+        log = (d - 3) / 2 * np.log1p(-at * at)
+        density = np.exp(log - log.max())
+        return float(density[at >= x].sum() / density.sum())
+
+    low, high, want = 0.0, reach, share(reach, PLAN_DIM)
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if share(middle, dim) > want else (low, middle)
+    return low
+
+
+def code_plan(n: int, dim: int = PLAN_DIM) -> tuple[int, int, int, float]:
+    """(blocks, words a block, codes, reach) for n vectors of `dim` dimensions: of pairs at cosine 0.93 they find 98 in 100 or more, of closer ones nearly all.
+
+    More vectors take more and narrower caps, so that a cap holds few unrelated vectors. More dimensions take caps of
+    less reach, so that a vector passes as many filters; fewer than PLAN_DIM keep the reach and pass more.
     """
-    return (2, 64, 8, 0.38) if n <= 1_000_000 else (2, 256, 10, 0.44)
+    blocks, words, codes, reach = (2, 64, 8, 0.38) if n <= 1_000_000 else (2, 256, 10, 0.44)
+    return blocks, words, codes, reach if dim <= PLAN_DIM else _reach(reach, dim)
 
 
 @lru_cache(maxsize=8)
@@ -82,24 +108,39 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(plan: tuple[int, int, int, float]):
-    blocks, words, codes, reach = plan
+def _passed(batches: Iterator[pa.RecordBatch], plan: Callable[[int], tuple[int, int, int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(node, label, dimensions, (row, filter) of each code) for vectors of one length, of batches (node, label, embedding)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            node, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            for rows, x in _by_shape(batch, 2):
+                unit, dim = _units(x), x.shape[1]
+                blocks, words, codes, reach = plan(dim)
+                yield node[rows], label[rows], dim, [list_decode(unit, *product_code(dim, blocks, words, r), reach) for r in range(codes)]
+
 
+def _filters(plan: Callable[[int], tuple[int, int, int, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                node, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-                for rows, x in _by_shape(batch, 2):
-                    unit, dim = _units(x), x.shape[1]
-                    keys, nodes = [], []
-                    for r in range(codes):
-                        row, key = list_decode(unit, *product_code(dim, blocks, words, r), reach)
-                        with np.errstate(over="ignore"):
-                            k = mixed(mixed(label[rows[row]].view(np.uint64) + np.uint64(dim)) + mixed(key.view(np.uint64) * np.uint64(codes) + np.uint64(r)))
-                        keys.append(k.view(np.int64))
-                        nodes.append(node[rows[row]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+        for node, label, dim, passed in _passed(batches, plan):
+            keys, nodes = [], []
+            for r, (row, key) in enumerate(passed):
+                with np.errstate(over="ignore"):
+                    k = mixed(mixed(label[row].view(np.uint64) + np.uint64(dim)) + mixed(key.view(np.uint64) * np.uint64(len(passed)) + np.uint64(r)))
+                keys.append(k.view(np.int64))
+                nodes.append(node[row])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return run
+
+
+def _fewer(plan: Callable[[int], tuple[int, int, int, float]], few: int):
+    """Nodes that pass fewer than `few` filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, _, _, passed in _passed(batches, plan):
+            n = sum(np.bincount(row, minlength=len(node)) for row, _ in passed)
+            yield pa.RecordBatch.from_arrays([pa.array(node[n < few])], ["few_node"])
 
     return run
 
@@ -197,6 +238,53 @@ def _link_tiles(cosine: float):
     return run
 
 
+def _link_few(cosine: float):
+    """Blocks of nodes with few filters (side 0) by blocks of all nodes (side 1) to rows as of `_link_tiles`: pairs with a common tile count there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["group", "i", "j"]):
+            node, weight, side, few = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "weight", "side", "few"))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            x = _units(np.array(rows.column("embedding").to_pylist(), dtype=np.float64))
+            # of two nodes with few filters, which meet twice, the smaller one's block tells
+            link = (x[left] @ x[right].T >= cosine) & ~(few[right] & (node[left][:, None] >= node[right]))
+            lists = [np.array(t, dtype=np.int64) for t in rows.column("tiles").to_pylist()]
+            names = np.unique(np.concatenate([lists[i] for i in left]))
+            count = link
+            if len(names):
+                seen = np.zeros((len(node), len(names)), np.float32)
+                for i, t in enumerate(lists):
+                    seen[i, np.searchsorted(names, t[np.isin(t, names)])] = 1
+                count = link & (seen[left] @ seen[right].T < 0.5)
+            links, head = np.zeros(len(node), np.int64), node.copy()
+            links[left] += (count * weight[right]).sum(axis=1)
+            links[right] += (count.T * weight[left]).sum(axis=1)
+            held = np.concatenate([left[link.any(axis=1)], right[link.any(axis=0)]])
+            if len(held):
+                both = np.zeros((len(node),) * 2, bool)
+                both[np.ix_(left, right)], both[np.ix_(right, left)] = link, link.T
+                head[held] = _heads(node[held], both[np.ix_(held, held)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[held]), pa.array(links[held]), pa.array(head[held])], ["node", "links", "head"])
+
+    return run
+
+
+def _few_links(reps: DataFrame, few: DataFrame, lists: DataFrame, cosine: float) -> DataFrame:
+    """node, links, head for the links that nodes of `few` have with any node of their label and number of dimensions, and that no tile counts."""
+    spark = reps.sparkSession
+    rows = reps.join(few, F.col("node") == F.col("few_node"), "left").join(lists, "node", "left")
+    rows = rows.select("node", "weight", "embedding", F.coalesce("tiles", F.array().cast("array<bigint>")).alias("tiles"), F.col("few_node").isNotNull().alias("few"), F.xxhash64("label", F.size("embedding")).alias("group"))
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum(F.col("few").cast("int")) / TILE).cast("int").alias("few_blocks"), F.ceil(F.count("*") / (4 * TILE)).cast("int").alias("blocks")).where("few_blocks > 0")
+    rows = rows.join(sizes, "group").withColumn("i", F.pmod(F.xxhash64("node"), "few_blocks").cast("int")).withColumn("j", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    names = ["group", "i", "j", "side", "node", "weight", "few", "tiles", "embedding"]
+    one = rows.where("few").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    other = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1))).withColumn("side", F.lit(1))
+    dealt = one.select(names).union(other.select(names)).repartition(partitions_of(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return dealt.mapInArrow(_link_few(cosine), "node long, links long, head long")
+
+
 def valid_vector(embedding: str) -> F.Column:
     """Neither null nor zero, and every component present and finite."""
     x = F.col(embedding)
@@ -218,8 +306,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, plan: tuple[int, in
     rows = Table(rows, "vectors").df
     reps = rows.where("node is not null").groupBy("node").agg(F.first(F.struct("label", "embedding")).alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("low"))
     reps = Table(reps.select("node", "x.label", "x.embedding", "weight", "low"), "nodes").df
-    plan = plan or code_plan(reps.count())
-    passed = reps.select("node", "label", "embedding").mapInArrow(_filters(plan), "key long, node long")
+    n = reps.count()
+    plan_of = (lambda dim: plan) if plan else lambda dim: code_plan(n, dim)
+    few = Table(reps.select("node", "label", "embedding").mapInArrow(_fewer(plan_of, FEW), "few_node long"), "few").df
+    passed = reps.select("node", "label", "embedding").mapInArrow(_filters(plan_of), "key long, node long")
     met = passed.repartition(partitions_of(spark), "key").sortWithinPartitions("key").mapInArrow(_groups, "members long, node long").distinct()
     met = Table(met, "tiles").df
     sizes = met.groupBy("members").agg(F.count("*").alias("size"))
@@ -235,7 +325,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, plan: tuple[int, in
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
     tiles = tiles.join(facts, "node").repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j")
-    told = Table(tiles.mapInArrow(_link_tiles(cosine), "node long, links long, head long"), "links").df
+    told = tiles.mapInArrow(_link_tiles(cosine), "node long, links long, head long")
+    if few.limit(1).count():
+        told = told.union(_few_links(reps, few, lists, cosine))
+    told = Table(told, "links").df
     comps = components(told.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     counts = told.groupBy("node").agg(F.sum("links").alias("links"))
     named = reps.select("node", "weight", "low").join(counts, "node", "left").join(comps, "node", "left")

@@ -85,6 +85,39 @@ def test_recall_at_the_threshold():
         assert met.mean() >= 0.98
 
 
+@pytest.mark.parametrize("dim", [65, 128, 384, 768])
+def test_recall_and_filters_do_not_follow_the_dimension(dim):
+    rng = np.random.default_rng(dim)
+    for n in (1000, 10**8):
+        *plan, reach = E.code_plan(n, dim)
+        x, u = rng.standard_normal((2, 400, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        u -= (u * x).sum(axis=1)[:, None] * x
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * u / np.linalg.norm(u, axis=1)[:, None]
+        met, passed = np.zeros(400, bool), 0
+        for r in range(plan[2]):
+            code = E.product_code(dim, *plan[:2], r)
+            a, b = (set(zip(*(z.tolist() for z in E.list_decode(v, *code, reach)))) for v in (x, y))
+            met[[row for row, _ in a & b]] = True
+            passed += len(a)
+        assert met.mean() >= 0.98 and passed <= 2 * 400 * (29 if n == 1000 else 81)
+
+
+@pytest.mark.parametrize(("dim", "plan", "few"), [(384, None, 4), (64, (2, 16, 2, 0.9), 4), (64, None, 10**9), (64, (2, 64, 8, 0.5), 10**9)])
+def test_other_widths_and_few_filters(spark, monkeypatch, dim, plan, few):
+    monkeypatch.setattr(E, "FEW", few)
+    monkeypatch.setattr(E, "TILE", 32)
+    rows = vectors(8, 300, dim, 3, 0.2) + [(1000 + a, b, c) for a, b, c in vectors(9, 60, dim, 1000, 0.02)]
+    rows += [(2000, rows[5][1], rows[5][2]), (2001, rows[5][1][:7], rows[5][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df, plan=plan).collect())
+    want = plain(rows)
+    if dim == 64:  # all pairs are compared, those of a tile are counted once
+        assert got == want
+    else:
+        assert sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in want) > 1000 and all(a[1] <= b[1] for a, b in zip(got, want))
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(6)
     turn, code = E.product_code(6, 2, 5, 0)
