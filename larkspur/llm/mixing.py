@@ -6,7 +6,8 @@ targets, the ones closest to 1 in relative entropy, each word counting once, are
 one multiplier l(s) a source and the document's tilt t(d) (1 unless given). The dual in l is convex; it is solved by
 safeguarded Newton steps whose gradient and curvature are sums over documents, taken by one aggregation a step.
 Rounding: sources are split into blocks of bounded size; in a block, longest first, each rate is rounded so that
-the words taken so far stay nearest to the words due.
+the words taken so far stay nearest to the words due. Long documents, which the rest of a block might not make up, are
+rounded before, over their whole source, and the blocks share what that leaves due.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from larkspur.llm.shared import Table, read_table
 MOST = 3.0
 #: Documents in a rounding block, about.
 BLOCK = 256
+#: Documents of more than a LONG-th of the words of a mean block are long; at most LONG in BLOCK are.
+LONG = 32
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -93,7 +96,7 @@ def rates(thin: DataFrame, goals: DataFrame, most: float = MOST, tilt: str = "ti
 def _rounded(block: pd.DataFrame) -> pd.DataFrame:
     """Copies by error diffusion, longest document first; the shortest ones settle what is left."""
     block = block.sort_values(["size", "stable", "row_id"], ascending=[False, True, True], kind="stable")
-    size, rate, due = block["size"].to_numpy(), block["rate"].to_numpy(), 0.0
+    size, rate, due = block["size"].to_numpy(), block["rate"].to_numpy(), float(block["due"].iloc[0]) if len(block) else 0.0
     copies = np.floor(rate).astype(np.int64)
     spare = rate - copies
     for i in range(len(size)):
@@ -108,13 +111,22 @@ def round_copies(rated: DataFrame, block: int = BLOCK) -> DataFrame:
     """row_id, copies for rows (row_id, stable, source, size, rate): whole copies, floor or ceiling of the rate.
 
     Blocks are a source's documents dealt by hash, about `block` in each, so a source with a third of all rows is
-    many small groups; a block misses its due by about half its shortest document.
+    many small groups; a block misses its due by about half its shortest document. In sources of several blocks the
+    long documents are put in order of size and rounded so that their number so far is nearest to the number due, which
+    leaves at most half the longest one due, for all blocks together.
     """
-    n = rated.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("key"), F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = rated.join(n, F.col("source").eqNullSafe(F.col("key")), "left").drop("key")
-    dealt = dealt.withColumn("block", F.pmod(F.col("stable"), F.col("blocks")))
-    dealt = dealt.select("row_id", "stable", F.xxhash64("source", "block").alias("group"), "size", "rate")
-    return dealt.groupBy("group").applyInPandas(_rounded, "row_id long, copies long")
+    same = F.col("source").eqNullSafe(F.col("key"))
+    n = rated.groupBy("source").agg(F.ceil(F.count("*") / block).alias("blocks"), F.sum("size").alias("words")).withColumnRenamed("source", "key")
+    dealt = rated.join(n, same, "left").drop("key").withColumn("long", (F.col("blocks") > 1) & (F.col("size") * LONG * F.col("blocks") > F.col("words")))
+    spare = F.col("rate") - F.floor("rate")
+    order = Window.partitionBy("source").orderBy(F.desc("size"), "stable", "row_id")
+    due_to = lambda last: F.floor(F.coalesce(F.sum("spare").over(order.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0)) + 0.5)
+    long = dealt.where("long").withColumn("spare", F.when(spare > 1e-12, spare).otherwise(0.0))
+    long = Table(long.select("row_id", "source", "size", "spare", (F.floor("rate") + due_to(0) - due_to(-1)).cast("long").alias("copies"), "rate"), "long").df
+    left = long.groupBy("source").agg(F.sum((F.col("rate") - F.col("copies")) * F.col("size")).alias("due")).withColumnRenamed("source", "key")
+    rest = dealt.where(~F.col("long")).join(left, same, "left").withColumn("block", F.pmod(F.col("stable"), F.col("blocks")))
+    rest = rest.select("row_id", "stable", F.xxhash64("source", "block").alias("group"), "size", "rate", (F.coalesce("due", F.lit(0.0)) / F.col("blocks")).alias("due"))
+    return rest.groupBy("group").applyInPandas(_rounded, "row_id long, copies long").union(long.select("row_id", "copies"))
 
 
 def mix_thin(thin: DataFrame, most: float = MOST, block: int = BLOCK) -> DataFrame:
@@ -136,8 +148,8 @@ def thin_rows(docs: DataFrame, tilt: Column | None = None) -> DataFrame:
 def mix(docs: DataFrame, most: float = MOST, tilt: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of `docs` (doc_id, text, source, ...).
 
-    What a source's documents take misses its target by a few words a block, or where one document makes up much of a
-    source by half that document at most.
+    What a source's documents take misses its target by a few words a block, or where the shorter documents can't make
+    up for the longest one by half that document at most.
 
     Null texts have no words; a null source is a source of its own and comes last; repeated rows are documents each;
     an empty table gives no rows; other columns are ignored. The result depends on the rows alone, not on timing.

@@ -83,6 +83,17 @@ def test_mixed_documents(spark):
     assert a == +b
 
 
+@pytest.mark.parametrize("rate", [0.6, 1.4, 2.6])
+def test_long_documents_of_many_blocks(spark, rate):
+    rng = random.Random(3)
+    sizes = [rng.randrange(50, 400) for _ in range(10_200)] + [400_000] * 40
+    rated = [(i, rng.getrandbits(62), "s", n, rate) for i, n in enumerate(sizes)] + [(20_000, 5, None, 7, 1.0)]
+    got = {r.row_id: r.copies for r in M.round_copies(spark.createDataFrame(rated, "row_id long, stable long, source string, size long, rate double")).collect()}
+    due = rate * sum(sizes)
+    assert len(got) == len(rated) and got[20_000] == 1 and {got[i] for i in range(len(sizes))} == {int(rate), int(rate) + 1}
+    assert abs(sum(got[i] * n for i, n in enumerate(sizes)) - due) < 0.001 * due
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).count() == 0 and M.mixed_documents(df).count() == 0
