@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larkspur.llm.shared import partitions_of, read_table, rows_in_chunks
 
 #: Code points in a k-gram, and k-grams in a window: any passage of GRAM + SPAN - 1 code points that two texts share
-#: leaves one equal hash in both fingerprints; no passage shorter than GRAM does.
+#: leaves one equal hash in both fingerprints; no passage shorter than GRAM does. Short texts have shorter windows.
 GRAM = 20
 SPAN = 100
 _POS = 24
@@ -50,16 +50,25 @@ def _window_minima(keys: np.ndarray, span: int) -> np.ndarray:
     return low if size == span else np.minimum(low[: len(keys) - span + 1], low[span - size :])
 
 
-def winnow(text: str, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+def span_for(grams: int, gram: int) -> int:
+    """The window for a text of `grams` k-grams: SPAN, an eighth of a short text, and no more k-grams than half of the text holds.
+
+    Of two windows the longer one's minima are minima of the shorter one, so texts of different windows still meet.
+    """
+    return max(1, min(SPAN, grams // 8, (grams - gram + 1) // 2))
+
+
+def winnow(text: str, gram: int = GRAM, span: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes as uint32, positions): in every window of `span` k-grams the smallest, of equal ones the rightmost.
 
-    Texts of fewer than `span` k-grams are one window; texts shorter than a k-gram are one k-gram; an empty text has
+    Without `span` it is that of `span_for`. Texts of fewer than `span` k-grams are one window; texts shorter than a k-gram are one k-gram; an empty text has
     no fingerprint. Very long texts are worked off in overlapping segments with the same result.
     """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     if not len(points):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     gram = min(gram, len(points))
+    span = span or span_for(len(points) - gram + 1, gram)
     kept_hash, kept_pos, at = [], [], 0
     step, mask = _SEGMENT, np.uint64((1 << _POS) - 1)
     while True:
@@ -124,7 +133,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     return dealt.repartition(partitions_of(spark), "bucket").sortWithinPartitions("bucket", "guest", "at", "text").drop("at")
 
 
-def fingerprint_documents(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, gram: int = GRAM, span: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is

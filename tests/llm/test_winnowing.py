@@ -43,6 +43,16 @@ def test_guarantee():
         assert set(W.winnow(a)[0].tolist()) & set(W.winnow(b)[0].tolist())
 
 
+@pytest.mark.parametrize("size", [40, 41, 59, 60, 100, 118, 250, 399])
+def test_short_texts_share_a_hash_with_their_edited_text(size):
+    rng = random.Random(size)
+    for following in (30, size, 2000):
+        for _ in range(20):
+            text, after = ("".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghij ", size), ("klmnop ", following)))
+            a, b = (set(W.winnow(t)[0].tolist()) for t in (text, W.edited(text, after)))
+            assert W.likeness(a, b) > 0
+
+
 def test_table_equals_plain(spark):
     rng = random.Random(4)
     rows = [(i * 7 % 101 - 20, "".join(rng.choice("ab cé") for _ in range(rng.randrange(300)))) for i in range(90)]
