@@ -211,53 +211,77 @@ def _plain(data: bytes) -> Iterator[Record]:
             at = found.stop
 
 
-def _member(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at `at`, with the member's bounds, and its end."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
-        raise Damaged("no gzip member")
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at `at` holds, up to the first error, its end, and the error."""
     z, parts, stop = zlib.decompressobj(31), [], at
     try:
         while not z.eof and stop < len(data):  # piece by piece: what follows the member is not copied
             parts.append(z.decompress(data[stop : stop + (1 << 15)]))
             stop = min(len(data), stop + (1 << 15))
-    except zlib.error as e:
-        raise Damaged("bad gzip data") from e
-    if not z.eof:
-        raise Damaged("cut short")
-    stop -= len(z.unused_data)
-    text, out, pos = b"".join(parts), [], 0
-    while pos < len(text):
-        one = parse_at(text, pos)
-        pos = one.stop
-        out.append(one._replace(start=at, stop=stop))
-    return out, stop
+    except zlib.error:
+        z, again = zlib.decompressobj(31), []
+        try:
+            for i in range(at, stop, 1 << 15):
+                z.decompress(data[i : min(stop, i + (1 << 15))])
+            for i in range(stop, min(len(data), stop + (1 << 15))):
+                again.append(z.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts + again), stop, "bad gzip data"
+    return b"".join(parts), stop - len(z.unused_data), None if z.eof else "cut short"
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record], int | None, str | None]:
+    """The valid records of the gzip member at `at`, its end (None if its data are damaged), and what is wrong with it; Damaged if nothing can be read."""
+    text, stop, broken = _inflated(data, at)
+    inner = list(_plain(text))
+    found = [x for x in inner if not x.reason]
+    error = broken or next((x.reason for x in inner if x.reason), None)
+    if error and not found:
+        raise Damaged(error)
+    return found, None if broken else stop, error
+
+
+def _starts(data: bytes, at: int) -> tuple[list[Record], int | None, str | None]:
+    """What starts at `at`, a gzip member or a plain record, as `_member` says it."""
+    if data[at : at + 3] == b"\x1f\x8b\x08":
+        return _member(data, at)
+    one = parse_at(data, at)
+    return [one], one.stop, None
+
+
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
 
+def salvage(data: bytes) -> Iterator[Record]:
+    """Records and gaps of an archive, in order; together they cover all its bytes. An empty archive has neither.
 
-def _members(data: bytes) -> Iterator[Record]:
+    Gzip members and plain records may follow each other. Of a damaged member the valid records are kept, beside a gap
+    with the same bounds.
+    """
     at, size = 0, len(data)
     while at < size:
+        found, stop, error = [], None, None
         try:
-            found, stop = _member(data, at)
+            found, stop, error = _starts(data, at)
         except Damaged as e:
-            nxt = at
-            while (nxt := data.find(b"\x1f\x8b\x08", nxt + 1)) >= 0:
+            error = str(e)
+        if stop is None:
+            for m in _START.finditer(data, at + 1):
                 try:
-                    _member(data, nxt)
-                    break
+                    _starts(data, m.start())
                 except Damaged:
-                    pass
-            stop = nxt if nxt >= 0 else size
-            yield Record(at, stop, reason=str(e))
-        else:
-            yield from found
+                    continue
+                stop = m.start()
+                break
+            else:
+                stop = size
+        yield from (x._replace(start=at, stop=stop) for x in found)
+        if error:
+            yield Record(at, stop, reason=error)
         at = stop
 
 
-def salvage(data: bytes) -> Iterator[Record]:
-    """Records and gaps of an archive, in order; together they cover all its bytes. An empty archive has neither."""
-    return _members(data) if data[:2] == b"\x1f\x8b" or b"WARC/1." not in data[:64] and b"\x1f\x8b\x08" in data else _plain(data)
-
-
 _OUT = "path string, start long, stop long, type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string, number long, refers_to_number long"
 
 

@@ -96,6 +96,27 @@ def test_random_damage_never_crashes():
             assert sum(1 for x in found if not x.reason) >= 1
 
 
+def test_salvage_inside_members_and_mixed_archives():
+    rng = random.Random(2)
+    parts = [record(i, rng.randbytes(3000)) for i in range(8)]
+    text = b"".join(parts)
+    wrong = bytearray(text)
+    wrong[len(parts[0]) * 3 + 500] ^= 1
+    broken = bytearray(gzip.compress(text, mtime=0))
+    broken[-4000:-3990] = b"\xff" * 10
+    inner = [record(i, gzip.compress(b"page %d" % i)) for i in range(4)]
+    for data, kept in (
+        (gzip.compress(bytes(wrong), mtime=0), [0, 1, 2, 4, 5, 6, 7]),
+        (gzip.compress(text, mtime=0)[:-4000], range(6)),
+        (b"x" * 80 + b"".join(inner), range(4)),
+        (inner[0] + gzip.compress(inner[1]) + b"junk" + inner[2] + gzip.compress(inner[3]), range(4)),
+    ):
+        found = list(W.salvage(data))
+        assert [x.id for x in found if not x.reason] == [f"<urn:x:{i}>" for i in kept] and whole(data, found) and len([x for x in found if x.reason]) == 1
+    found = list(W.salvage(bytes(broken)))
+    assert {f"<urn:x:{i}>" for i in range(5)} <= {x.id for x in found if not x.reason} and whole(bytes(broken), found)
+
+
 def test_long_records_end_in_zero():
     for text in (b"x", b"", b"y" * ((1 << 24) + 5)):
         made = W.member(text) + b"\0"
