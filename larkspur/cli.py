@@ -12,7 +12,7 @@ from larkspur.operators import diagnostics
 from larkspur.operators.responder import Offline, blocks_provider, choices_provider, generate_replies
 from larkspur.operators.validation import strict, zip_single
 from larkspur.plans import experiment
-from larkspur.plans.review_prompt import MODEL, requests
+from larkspur.plans.review_prompt import MODEL, dry_run_text, requests
 from larkspur.sources import tables
 
 
@@ -52,8 +52,7 @@ def _reply(spark: SparkSession, a: argparse.Namespace) -> str:
     )
     rows = strict(rows).selectExpr("0L AS review_id", "*")
     if a.dry_run:
-        r = requests(rows, a.model).first()
-        return "\n".join(f"{c}: {r[c]}" for c in ("model", "temperature", "frequency_penalty", "presence_penalty", "max_tokens")) + f"\n\n{r.prompt}"
+        return requests(rows, a.model).select(dry_run_text()).first()[0]
     make = _provider(a)
     r = generate_replies(rows, make, a.model, tasks=1).first()
     if r.status != "ok":

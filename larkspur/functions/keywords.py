@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.text import has_text
 
 _WORD = r"[\p{L}\p{N}_]"
-#: A border between a word character and another, as Python draws it; Java's own treats marks and some digits otherwise.
-_BORDER = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
 def keyword_pattern(keyword: Column) -> Column:
-    """Matches the keyword literally, in any case, as whole words."""
+    """Matches the keyword literally, in any case, as whole words.
+
+    A border is drawn between a word character and another, as Python draws it; Java's own treats marks and some digits
+    otherwise. Which side of a border has the word character follows from the keyword's own end. The literal comes
+    first, so that borders are looked at only where it stands.
+    """
     literal = F.regexp_replace(keyword, r"([\\.^$*+?()\[\]{}|])", r"\\$1")
-    return F.concat(F.lit(f"(?iu){_BORDER}"), literal, F.lit(_BORDER))
+    before = F.when(keyword.rlike(f"^{_WORD}"), f"(?<!{_WORD})").otherwise(f"(?<={_WORD})")
+    after = F.when(keyword.rlike(f"{_WORD}\\z"), f"(?!{_WORD})").otherwise(f"(?={_WORD})")
+    return F.concat(F.lit("(?iu)(?="), literal, F.lit(")"), before, literal, after)
 
 
 def top_matching_keywords(text: Column, keywords: Column, most: Column) -> Column:
@@ -29,14 +35,28 @@ def top_matching_keywords(text: Column, keywords: Column, most: Column) -> Colum
     return F.coalesce(F.when(has_text(text), F.slice(F.transform(found, lambda x: x["w"]), F.lit(1), most)), none)
 
 
+def _folded(text: Column) -> Column:
+    """Equal for texts that match each other in any case; some others are equal too, which only adds candidates."""
+    upper = F.replace(F.replace(F.upper(text), F.lit("İ"), F.lit("I")), F.lit("ẞ"), F.lit("SS"))
+    return F.lower(upper)
+
+
 def match_keywords(reviews: DataFrame, vocabulary: DataFrame, key: str = "review_id", most: int = 3) -> DataFrame:
-    """(key, keywords) for large vocabularies: a row per review and keyword, ranked, so that sort and aggregation can spill.
+    """(key, keywords) for large vocabularies: texts and keywords meet by equal words, and only those that do are searched for.
 
-    `vocabulary` has (ord, keyword); it is one list for all reviews. Equal to `top_matching_keywords` with that list.
+    `vocabulary` has (ord, keyword); it is one list for all reviews, in order of ord. Equal to `top_matching_keywords`
+    with that list, for every row of `reviews`, also where keys repeat. Runs of word characters and the runs between
+    them are what a keyword's borders keep whole: a keyword can only occur where its first word is a run of the text (of
+    keywords without a word: where it is such a run itself). Texts are known by a digest on the way, so that none is
+    copied for its candidates, and equal texts are looked up once.
     """
     words = vocabulary.where(has_text(F.col("keyword")))
-    pairs = reviews.where(has_text(F.col("review"))).select(key, "review").join(F.broadcast(words) if words.count() <= 10_000 else words)
-    hits = pairs.select(key, "ord", "keyword", F.regexp_instr("review", keyword_pattern(F.col("keyword"))).alias("at")).where("at > 0")
-    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("at", "ord"))).where(F.col("n") <= most)
-    lists = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
-    return reviews.select(key).join(lists, key, "left").select(key, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    first = F.regexp_extract("keyword", f"{_WORD}+", 0)
+    words = words.select("ord", "keyword", _folded(F.when(first != "", first).otherwise(F.col("keyword"))).alias("run"))
+    texts = reviews.where(has_text(F.col("review"))).withColumn("digest", F.sha2("review", 256))
+    # folded run by run: folding a whole text could move the borders of its runs
+    runs = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all("review", F.lit(_RUN), F.lit(0)))).alias("run"))
+    found = runs.select("digest", _folded(F.col("run")).alias("run")).distinct().join(words, "run").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("ord", "keyword"))).alias("candidates"))
+    named = reviews.withColumn("digest", F.sha2("review", 256)).join(found, "digest", "left")
+    listed = F.transform("candidates", lambda x: x["keyword"])
+    return named.select(key, top_matching_keywords(F.col("review"), listed, F.lit(most)).alias("keywords"))

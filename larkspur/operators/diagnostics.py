@@ -95,28 +95,39 @@ def samples(replies: DataFrame, most: int = SAMPLES) -> DataFrame:
     return replies.withColumn("n", n).where(F.col("n") <= most).select("variant", "n", "seq", "rating", F.substring("review", 1, SHOWN).alias("review"), "response")
 
 
-def in_first_seen_order(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rows a variant, ordered as the variants first occur in the replies."""
-    first = replies.groupBy("variant").agg(F.min("seq").alias("first_seq"))
-    return rows.join(first, "variant").orderBy("first_seq").drop("first_seq")
-
-
 def percent(share: Column) -> Column:
     """As a whole percentage, halves to even."""
     return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+def report_lines(replies: DataFrame) -> DataFrame:
+    """first_seq, part, n, line: the text report's lines, some tens a variant, in order of these columns.
+
+    A variant without replies that count has its head and a remark alone.
+    """
+    c, text = F.col, F.lit
+    s = summary(replies).withColumn("some", c("m") > 0)
+    whole = F.bround("mean_len", 0).cast("int").cast("string")
+    single = [
+        (0, F.concat(text("== "), c("variant"), text(": "), c("n"), text(" rows, "), c("errors"), text(" failed =="))),
+        (1, F.when(c("some"), "Opening words:").otherwise("No replies to analyse.")),
+        (3, F.when(c("some"), F.concat(text("Most frequent opening word: "), percent(c("opening_share"))))),
+        (4, F.when(c("some"), F.concat(text("Greets, then thanks: "), c("greet"), text(" of "), c("m"), text(" ("), percent(c("greet_share")), text(")")))),
+        (5, F.when(c("some"), "Frequent words:")),
+        (7, F.when(c("some"), F.concat(text("Words a reply: "), whole, text(" on average, "), c("min_len"), text(" to "), c("max_len")))),
+        (8, F.when(c("some"), "Samples:")),
+    ]
+    parts = F.filter(F.array(*[F.struct(text(i).alias("part"), text(0).alias("n"), x.alias("line")) for i, x in single]), lambda x: x["line"].isNotNull())
+    lines = s.select("variant", F.inline(parts))
+    lines = lines.union(opening_words(replies).select("variant", text(2), "rank", F.concat(text("  "), c("word"), text("  "), c("n"))))
+    lines = lines.union(top_words(replies).select("variant", text(6), "rank", F.concat(text("  "), c("word"), text("  "), c("n"), text("  "), percent(c("share")))))
+    shown = F.concat(text("  ["), F.coalesce(c("rating").cast("string"), text("-")), text("] "), F.coalesce("review", text("")), text("\n      "), response_text(c("response")))
+    some = s.where("some").select("variant")
+    lines = lines.union(samples(replies).join(some, "variant", "left_semi").select("variant", text(9), "n", shown))
+    first = replies.groupBy("variant").agg(F.min("seq").alias("first_seq"))
+    return lines.join(first, "variant").select("first_seq", "part", "n", "line")
+
+
 def report(replies: DataFrame) -> str:
-    """The text report: some tens of rows a variant reach the driver."""
-    out, opens, common, shown = [], opening_words(replies).collect(), top_words(replies).collect(), samples(replies).collect()
-    for v in in_first_seen_order(summary(replies).withColumns({"o": percent(F.col("opening_share")), "g": percent(F.col("greet_share")), "l": F.bround("mean_len", 0).cast("int")}), replies).collect():
-        out.append(f"== {v.variant}: {v.n} rows, {v.errors} failed ==")
-        if not v.m:
-            out.append("No replies to analyse.")
-            continue
-        out += ["Opening words:"] + [f"  {r.word}  {r.n}" for r in sorted(opens, key=lambda r: r.rank) if r.variant == v.variant]
-        out += [f"Most frequent opening word: {v.o}", f"Greets, then thanks: {v.greet} of {v.m} ({v.g})", "Frequent words:"]
-        out += [f"  {r.word}  {r.n}  {100 * r.share:.0f}%" for r in sorted(common, key=lambda r: r.rank) if r.variant == v.variant]
-        out.append(f"Words a reply: {v.l} on average, {v.min_len} to {v.max_len}")
-        out += ["Samples:"] + [f"  [{r.rating}] {r.review}\n      {r.response}" for r in sorted(shown, key=lambda r: r.n) if r.variant == v.variant]
-    return "\n".join(out)
+    """The text report: some tens of lines a variant reach the driver."""
+    return "\n".join(r.line for r in sorted(report_lines(replies).collect(), key=lambda r: (r.first_seq, r.part, r.n)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.features import LENGTH_TYPES
+from larkspur.plans import wording
 
 #: Optional columns and their defaults: approved_keywords an empty list, the rest null.
 OPTIONAL = {"review": "string", "ai_response_length_type": "string", "approved_keywords": "array<string>", "signature": "string", "contact_number": "string", "support_email": "string", "website_url": "string"}
@@ -23,12 +24,19 @@ def assemble(reviews: DataFrame, businesses: DataFrame, keywords: DataFrame | No
     return with_defaults(out)
 
 
+def _only(rows: DataFrame) -> Column:
+    """The one row of a table as a struct, by an aggregation that fails on several; null if there is none."""
+    found = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    return F.when(F.count("*") < 2, F.get(found, F.lit(0))).otherwise(F.raise_error(F.lit("one row is expected")))
+
+
 def zip_single(review: DataFrame, business: DataFrame, keywords: DataFrame | None = None, support: DataFrame | None = None) -> DataFrame:
-    """The same for one-row inputs without keys."""
-    out = review.crossJoin(F.broadcast(business))
-    for side in (keywords, support):
+    """The same for one-row inputs without keys; several rows of a side are an error, an empty side gives nulls."""
+    out = review
+    for side in (business, keywords, support):
         if side is not None:
-            out = out.crossJoin(F.broadcast(side))
+            one = side.limit(2).agg(_only(side).alias("side"))  # one row, whatever the table holds
+            out = out.crossJoin(F.broadcast(one)).select(*out.columns, "side.*")
     return with_defaults(out)
 
 
@@ -42,11 +50,13 @@ def with_defaults(rows: DataFrame) -> DataFrame:
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """Adds `reject_reason`: a required column that is missing, a rating outside 1 to 5, an unknown length type, a bad record; null if valid."""
-    names = [c for c in REQUIRED if c in rows.columns]
+    """Adds `reject_reason`: a required value or column that is missing, a rating outside 1 to 5, an unknown length type or tone, a bad record; null if valid."""
     reasons = [F.when(F.col("_corrupt_record").isNotNull(), "corrupt record")] if "_corrupt_record" in rows.columns else []
-    reasons += [F.when(F.col(c).isNull(), f"missing {c}") for c in names]
-    reasons.append(F.when(~F.col("rating").between(1, 5), "rating out of range"))
+    reasons += [F.when(F.col(c).isNull(), f"missing {c}") if c in rows.columns else F.lit(f"missing {c}") for c in REQUIRED]
+    if "rating" in rows.columns:
+        reasons.append(F.when(~F.col("rating").between(1, 5), "rating out of range"))
+    if "tone" in rows.columns:
+        reasons.append(F.when(~F.coalesce(F.col("tone").isin(*wording.TONES), F.lit(False)), "unknown tone"))
     if "ai_response_length_type" in rows.columns:
         reasons.append(F.when(~F.coalesce(F.col("ai_response_length_type").isin(*LENGTH_TYPES), F.lit(False)), "unknown length type"))
     return rows.withColumn("reject_reason", F.coalesce(*reasons))

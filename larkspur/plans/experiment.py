@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.operators.responder import Responder, respond
+from larkspur.plans import wording
 from larkspur.plans.variant_prompt import GROUNDED, LOCKED, Variant, render, variants
+from larkspur.sources.tables import numbered_as_read
 
 # The run's constants.
 SAMPLE_SIZE, SAMPLE_SEED, RESPONSE_LENGTH, TONE = 30, 7, 80, "Conversational"
@@ -19,20 +21,20 @@ RESULT = ("variant", "review_id", "reviewer_name", "rating", "review", "response
 def seeded_sample(rows: DataFrame, size: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED, key: str = "review_id") -> DataFrame:
     """`size` rows by a hash of seed and key, numbered from 0 in `seq`; the same rows however they are dealt.
 
-    The top-k is taken in every task first; only `size` rows are numbered. Fewer rows than `size` are an error.
+    The top-k is taken in every task first; only `size` rows are numbered. Fewer rows than `size` are an error, whatever
+    columns are read: the rows come out of one list, which is checked before it is unfolded.
     """
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     top = rows.withColumn("order_hash", hashed).orderBy("order_hash", key).limit(size)
     numbered = top.withColumn("seq", F.row_number().over(Window.orderBy("order_hash", key)) - 1).drop("order_hash")
-    enough = F.max("seq").over(Window.partitionBy(F.lit(0))) == size - 1
-    return numbered.withColumn("seq", F.when(enough, F.col("seq")).otherwise(F.raise_error(F.lit(f"fewer than {size} rows to sample from"))))
+    listed = numbered.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in numbered.columns])).alias("sample"))  # `size` rows
+    whole = F.when(F.size("sample") == size, F.col("sample")).otherwise(F.raise_error(F.lit(f"fewer than {size} rows to sample from")))
+    return listed.select(F.inline(whole))
 
 
-def with_review_ids(rows: DataFrame, order: Column, key: str = "review_id") -> DataFrame:
-    """Rows as they are if they have ids, else numbered from 0 in the given order."""
-    if key in rows.columns:
-        return rows
-    return rows.withColumn(key, F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+def with_review_ids(rows: DataFrame, key: str = "review_id") -> DataFrame:
+    """Rows as they are if they have ids, else numbered from 0 as they come."""
+    return rows if key in rows.columns else numbered_as_read(rows, key)
 
 
 def fan_out(sample: DataFrame, chosen: tuple[Variant, ...] = (LOCKED, GROUNDED)) -> DataFrame:
@@ -43,6 +45,8 @@ def fan_out(sample: DataFrame, chosen: tuple[Variant, ...] = (LOCKED, GROUNDED))
 
 def builder_columns(reviews: DataFrame, business: Column, tone: str = TONE, response_length: int = RESPONSE_LENGTH) -> DataFrame:
     """What the run passes to every prompt: names and ratings as they are, and the run's constants."""
+    if tone not in wording.TONES:
+        raise ValueError(f"unknown tone {tone}")
     given = {"rating": F.col("rating").cast("int"), "reviewer_name": F.col("reviewer_name").cast("string"), "business_name": business, "tone": F.lit(tone), "response_length": F.lit(response_length), "signature": business}
     blank = {x: F.lit("") for x in ("client_instructions", "keyword1", "keyword2", "contact_number", "website_url")}
     return reviews.withColumns(given | blank)
@@ -53,6 +57,6 @@ def run(reviews: DataFrame, business_name: str, answer: Callable[[], Responder],
 
     Write the result once before using it twice: reading it again asks for the replies again.
     """
-    sample = builder_columns(seeded_sample(with_review_ids(reviews, F.col("reviewer_name")), size, seed), F.lit(business_name))
+    sample = builder_columns(seeded_sample(with_review_ids(reviews), size, seed), F.lit(business_name))
     replied = respond(fan_out(sample, chosen), answer, tasks=tasks, pause=pause)
     return replied.select("variant_ord", "seq", *RESULT, "status", "error")

@@ -51,3 +51,9 @@ def prompt() -> Column:
 def requests(reviews: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("review_id",)) -> DataFrame:
     """The columns of `keep`, then model, prompt, frequency_penalty, presence_penalty, temperature, max_tokens: also the dry run."""
     return with_features(reviews).select(*keep, F.lit(model).alias("model"), prompt().alias("prompt"), "frequency_penalty", "presence_penalty", "temperature", "max_tokens")
+
+
+def dry_run_text() -> Column:
+    """A request as a dry run shows it: a line for the model and each parameter, a blank line, the prompt."""
+    lines = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("model", "temperature", "frequency_penalty", "presence_penalty", "max_tokens")]
+    return F.concat_ws("\n", *lines, F.lit(""), F.col("prompt"))

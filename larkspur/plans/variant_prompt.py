@@ -31,11 +31,6 @@ def variants(spark: SparkSession, rows: tuple[Variant, ...]) -> DataFrame:
     return spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "variant_ord int, variant string, menu boolean, grounding boolean, extraction boolean")
 
 
-def personas(spark: SparkSession) -> DataFrame:
-    """Six rows: tone, persona."""
-    return spark.createDataFrame([(x, wording.PERSONAS[x]) for x in wording.TONES], "tone string, persona string")
-
-
 def persona_of(tone: Column, business_name: Column) -> Column:
     """The persona of a tone with the business's name; null for an unknown tone."""
     chosen = F.coalesce(*[F.when(tone == x, wording.PERSONAS[x]) for x in wording.TONES])

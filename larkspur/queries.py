@@ -11,8 +11,12 @@ from larkspur.functions import features
 from larkspur.functions.keywords import match_keywords, top_matching_keywords
 from larkspur.functions.text import has_text
 from larkspur.operators import diagnostics, responder
-from larkspur.operators.validation import checked
+from larkspur.operators.loopback import loopback
+from larkspur.operators.validation import assemble, checked
 from larkspur.plans import experiment, review_prompt, variant_prompt, wording
+from larkspur.sources import tables
+from larkspur.sources.shared import scratch_path
+from larkspur.sources.workbook import written
 
 #: Approved keywords of the derived reviews.
 APPROVED = ("the", "le", "und", "with", "worthless", "die", "la")
@@ -71,12 +75,13 @@ _REVIEWS = """reviews AS (
     d.doc_id % 6 AS tone_no, coalesce(d.doc_id % 7 <> 0 AND regexp_matches(d.text, '\\S'), false) AS has_text
   FROM documents d JOIN supplier s ON s.s_suppkey = d.doc_id % 10)"""
 
-_REPLIES = """replies AS (
+_GOOD = """good AS (SELECT variant, response, lower(trim(regexp_extract(response, '\\S+'), '.,!')) AS word, regexp_matches(response, '\\S') AS has_word FROM replies WHERE NOT starts_with(response, 'ERROR')),
+sizes AS (SELECT variant, count(*) AS m FROM good GROUP BY variant)"""
+_BARE_REPLIES = """replies AS (
   SELECT conv_id * 100 + turn AS seq, CASE WHEN conv_id % 2 = 0 THEN 'A_no_grounding' ELSE 'B_with_grounding' END AS variant, CAST(1 + conv_id % 5 AS INT) AS rating, text AS review,
     CASE WHEN conv_id % 17 = 0 THEN 'ERROR: timeout' WHEN conv_id % 5 = 0 THEN concat('Hi there, thank you! ', text) WHEN conv_id % 5 = 1 THEN concat('Hello. Thanks ', text) ELSE text END AS response
-  FROM conversations WHERE role = 'assistant'),
-good AS (SELECT variant, response, lower(trim(regexp_extract(response, '\\S+'), '.,!')) AS word, regexp_matches(response, '\\S') AS has_word FROM replies WHERE NOT starts_with(response, 'ERROR')),
-sizes AS (SELECT variant, count(*) AS m FROM good GROUP BY variant)"""
+  FROM conversations WHERE role = 'assistant')"""
+_REPLIES = f"{_BARE_REPLIES},\n{_GOOD}"
 
 _SETTINGS = "settings(ai_response_length_type, has_text, word_limit, keyword_count, frequency_penalty, presence_penalty, temperature, max_tokens) AS (VALUES " + ", ".join(
     f"('{x.ai_response_length_type}', {str(x.has_text).lower()}, CAST({x.word_limit} AS INT), CAST({x.keyword_count} AS INT), CAST({x.frequency_penalty} AS DOUBLE), CAST({x.presence_penalty} AS DOUBLE), CAST({x.temperature} AS DOUBLE), CAST({x.max_tokens} AS INT))"
@@ -172,6 +177,103 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("seq", F.when(odd == 0, "{}").when(odd == 1, '{"choices": []}').otherwise(choice).alias("choices_body"), F.when(odd == 0, "{}").when(odd == 1, "not json").otherwise(block).alias("blocks_body"))
 
 
+def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as review records, each in a JSON file of several lines; some ratings are no whole numbers."""
+    i, path = F.col("n_nationkey"), scratch_path(spark, "records")
+    rating = F.when(i % 6 == 0, "2.5").when(i % 7 == 0, '"5"').otherwise((1 + i % 5).cast("string"))
+    text = F.when(i % 4 != 0, F.concat(F.lit(',\n "review": "seen \\"'), "n_name", F.lit('\\""'))).otherwise(F.lit(',\n "other": 1'))
+    record = F.concat(F.lit('{\n "reviewer_name": "'), "n_name", F.lit('",\n "rating": '), rating, text, F.lit("\n}"))
+    table(spark, sf_dir, "nation").select(record.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = tables.read_json(spark, path, tables.REVIEW)
+    bad = F.col("_corrupt_record").isNotNull()
+    return rows.select("reviewer_name", F.when(~bad, F.col("rating")).alias("rating"), "review", "ai_response_length_type", bad.alias("corrupt"))
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reviews of nations as businesses, of which some have keywords and support details; no optional column of reviews is there."""
+    nation, i = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    rows = reviews(spark, sf_dir).select("review_id", "reviewer_name", "rating", (F.col("review_id") % 25).cast("int").alias("business_id"))
+    key = i.cast("int").alias("business_id")
+    words = nation.where(i % 2 == 0).select(key, F.array("n_name", F.lit("service")).alias("approved_keywords"))
+    support = nation.where(i % 3 == 0).select(key, F.concat(F.lit("Team "), "n_name").alias("signature"), F.when(i % 2 == 0, "").otherwise("555").alias("contact_number"))
+    out = checked(assemble(rows, nation.select(key, F.col("n_name").alias("business_name")), words, support))
+    return out.select("review_id", "business_name", "reviewer_name", "rating", "ai_response_length_type", F.array_join("approved_keywords", "|").alias("keywords"), "signature", "contact_number", "website_url", "reject_reason")
+
+
+def _result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment's result, written to a CSV file and read again."""
+    path = scratch_path(spark, "result")
+    rows = _experiment_rows(spark, sf_dir).withColumn("reviewer_name", F.concat(F.lit(' "'), "reviewer_name", F.lit('",\n x ')))
+    tables.write_result(rows, path)
+    return tables.read_result(spark, path).select("seq", "variant", "review_id", "reviewer_name", "rating", F.md5(F.coalesce("review", F.lit(""))).alias("review_md5"), "response")
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a review sheet without ids, in several CSV files in order of doc_id, read again."""
+    path, i = scratch_path(spark, "sheet", ".csv"), F.col("doc_id")
+    name = F.concat(F.lit("Reviewer "), (i % 50).cast("string"))
+    rows = table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    rows.select(name.alias("ReviewerName"), (i % 5 + 1 + F.lit(0.7)).alias("Rating"), F.regexp_replace("text", "\r\n?", "\n").alias("Review")).write.options(**tables.WRITTEN).csv(path)
+    return tables.read_sheet(spark, path).select("review_id", "reviewer_name", "rating", F.md5(F.coalesce("review", F.lit(""))).alias("review_md5"))
+
+
+def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a review workbook (25 rows), read again."""
+    path = scratch_path(spark, "sheet", ".xlsx")
+    head = [["Rating", "Other", "ReviewerName", "Review"]]
+    rows = [[r.n_nationkey % 5 + 1.5, None, r.n_name if r.n_nationkey % 7 else 12, f"<{r.n_name}> &\n" if r.n_nationkey % 3 else None] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(written(head + rows)))
+    out.close()
+    return tables.read_sheet(spark, path)
+
+
+def _faulty() -> responder.Responder:
+    """Fails by review_id: each kind of failure in turn, and one that no kind foresees."""
+
+    def answer(request: dict) -> str:
+        kind = (None, "no_credential", "http", "network", "bad_shape", "odd")[request["review_id"] % 6]
+        if kind == "odd":
+            raise ValueError("not foreseen")
+        if kind:
+            raise responder.ReplyError(kind, f"{kind} failure")
+        return "fine"
+
+    return answer
+
+
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responder.generate_replies(reviews(spark, sf_dir), _faulty)
+
+
+def _unknown_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant prompts of which some name an unknown tone, answered offline."""
+    rows = reviews(spark, sf_dir).withColumn("tone", F.when(F.col("review_id") % 7 == 0, "Grumpy").otherwise(F.col("tone")))
+    rows = variant_prompt.render(rows.crossJoin(F.broadcast(variant_prompt.variants(spark, (variant_prompt.DEFAULT, variant_prompt.LOCKED)))))
+    return responder.respond(rows.select("review_id", "variant", "prompt"), responder.Offline).select("review_id", "variant", F.md5("prompt").alias("prompt_md5"), "status", "response")
+
+
+def _exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both providers' calls over HTTP to a server in each task's own process."""
+    asked = review_prompt.requests(reviews(spark, sf_dir))
+    two = [responder.respond(asked, lambda blocks=blocks: loopback(blocks)).select("review_id", F.lit("blocks" if blocks else "choices").alias("provider"), "status", F.when(F.col("status") == "ok", F.col("response")).alias("text")) for blocks in (False, True)]
+    return two[0].union(two[1])
+
+
+def _faulty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of which some are null, and a variant whose replies all failed."""
+    i = F.col("seq")
+    rows = replies(spark, sf_dir)
+    return rows.withColumn("variant", F.when(i % 19 == 0, "C_failed").otherwise(F.col("variant"))).withColumn("response", F.when(i % 19 == 0, "ERROR: 503").when(i % 23 != 0, F.col("response")))
+
+
+def _summary_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary with shares as the report prints them."""
+    s = diagnostics.summary(_faulty_replies(spark, sf_dir))
+    return s.select("variant", "n", "errors", "m", "null_count", diagnostics.percent(F.col("opening_share")).alias("opening"), diagnostics.percent(F.col("greet_share")).alias("greet"), F.bround("mean_len", 0).cast("int").alias("mean_len"), "min_len", "max_len")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "ab_summary": lambda s, d: diagnostics.summary(replies(s, d)).drop("null_count"),
@@ -201,6 +303,17 @@ QUERIES: dict[str, Query] = {
     "top_words": lambda s, d: diagnostics.top_words(replies(s, d)),
     "length_stats": lambda s, d: diagnostics.length_stats(replies(s, d)),
     "variant_samples": lambda s, d: diagnostics.samples(replies(s, d)),
+    "json_records": _json_records,
+    "assembled_records": _assembled,
+    "result_file": _result_file,
+    "sheet_ids": _sheet,
+    "workbook": _workbook,
+    "dry_run": lambda s, d: review_prompt.requests(reviews(s, d)).select("review_id", F.md5(review_prompt.dry_run_text()).alias("shown_md5")),
+    "reply_failures": _failures,
+    "unknown_tones": _unknown_tones,
+    "http_exchange": _exchanged,
+    "summary_shown": _summary_shown,
+    "report_lines": lambda s, d: diagnostics.report_lines(_faulty_replies(s, d)),
 } | {
     f"prompt_{name}": (lambda v: lambda s, d: _digest(variant_prompt.render(reviews(s, d).crossJoin(F.broadcast(variant_prompt.variants(s, (v,))))), "review_id", "variant"))(v)
     for name, v in (("default", variant_prompt.DEFAULT), ("locked", variant_prompt.LOCKED), ("grounded", variant_prompt.GROUNDED), ("extraction", variant_prompt.EXTRACTION))
@@ -216,6 +329,31 @@ _SAMPLE = "sample AS (SELECT *, row_number() OVER (ORDER BY md5(concat('7:', CAS
 _FAN = f"""fan AS (SELECT 0 AS variant_ord, 'A_no_grounding' AS variant, seq0, review_id, reviewer_name, rating, coalesce(review, '') AS review, {{a}} AS prompt FROM sample UNION ALL
   SELECT 1, 'B_with_grounding', seq0, review_id, reviewer_name, rating, coalesce(review, ''), {{b}} FROM sample)"""
 
+# the same with faults: the inner table keeps nulls, the outer one says nan for them, as the diagnostics do
+_FAULTY = f"""{_BARE_REPLIES.replace("replies AS (", "whole AS (", 1)},
+faulty AS (SELECT seq, CASE WHEN seq % 19 = 0 THEN 'C_failed' ELSE variant END AS variant, rating, review, CASE WHEN seq % 19 = 0 THEN 'ERROR: 503' WHEN seq % 23 <> 0 THEN response END AS given FROM whole),
+replies AS (SELECT seq, variant, rating, review, given IS NULL AS missing, coalesce(given, 'nan') AS response FROM faulty),
+{_GOOD}"""
+_SHOWN = f"""{_FAULTY}, {_STATS}, shown AS (SELECT n.variant, n.n, n.n - coalesce(m, 0) AS errors, coalesce(m, 0) AS m, null_count, first_seq, greet AS greeting,
+    CAST(CAST(round_even(100 * CAST(coalesce(top, 0) AS DOUBLE) / m, 0) AS INT) AS VARCHAR) || '%' AS opening, CAST(CAST(round_even(100 * CAST(greet AS DOUBLE) / m, 0) AS INT) AS VARCHAR) || '%' AS greet,
+    CAST(round_even(CAST(total AS DOUBLE) / m, 0) AS INT) AS mean_len, min_len, max_len
+  FROM (SELECT variant, count(*) AS n, CAST(count_if(missing) AS BIGINT) AS null_count, min(seq) AS first_seq FROM replies GROUP BY variant) n LEFT JOIN stats USING (variant) LEFT JOIN tops USING (variant))"""
+_OPENINGS = "c AS (SELECT variant, word, count(*) AS n FROM good WHERE has_word GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY n DESC, word) AS INT) AS rank FROM c)"
+_COMMON = "t AS (SELECT variant, unnest(regexp_extract_all(lower(response), '[a-z'']+')) AS word FROM good), tc AS (SELECT variant, word, count(*) AS n FROM t WHERE length(word) > 4 GROUP BY 1, 2), tr AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY n DESC, word) AS INT) AS rank FROM tc)"
+_REPORT = f"""WITH {_SHOWN}, {_OPENINGS}, {_COMMON}, sm AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY seq) AS INT) AS n FROM replies),
+lines(variant, part, n, line) AS (
+  SELECT variant, 0, 0, '== ' || variant || ': ' || n || ' rows, ' || errors || ' failed ==' FROM shown
+  UNION ALL SELECT variant, 1, 0, CASE WHEN m > 0 THEN 'Opening words:' ELSE 'No replies to analyse.' END FROM shown
+  UNION ALL SELECT variant, 2, rank, '  ' || word || '  ' || n FROM r WHERE rank <= 6
+  UNION ALL SELECT variant, 3, 0, 'Most frequent opening word: ' || opening FROM shown WHERE m > 0
+  UNION ALL SELECT variant, 4, 0, 'Greets, then thanks: ' || greeting || ' of ' || m || ' (' || greet || ')' FROM shown WHERE m > 0
+  UNION ALL SELECT variant, 5, 0, 'Frequent words:' FROM shown WHERE m > 0
+  UNION ALL SELECT variant, 6, rank, '  ' || word || '  ' || n || '  ' || CAST(CAST(round_even(100 * CAST(n AS DOUBLE) / m, 0) AS INT) AS VARCHAR) || '%' FROM tr JOIN sizes USING (variant) WHERE rank <= 10
+  UNION ALL SELECT variant, 7, 0, 'Words a reply: ' || mean_len || ' on average, ' || min_len || ' to ' || max_len FROM shown WHERE m > 0
+  UNION ALL SELECT variant, 8, 0, 'Samples:' FROM shown WHERE m > 0
+  UNION ALL SELECT variant, 9, sm.n, '  [' || rating || '] ' || coalesce(substr(review, 1, 100), '') || chr(10) || '      ' || response FROM sm JOIN sizes USING (variant) WHERE sm.n <= 5)
+SELECT first_seq, CAST(part AS INT) AS part, CAST(lines.n AS INT) AS n, line FROM lines JOIN shown USING (variant)"""
+
 
 def _fan_sql() -> str:
     tone = str(wording.TONES.index(experiment.TONE))
@@ -251,6 +389,26 @@ ORACLES: dict[str, str] = {
     "greet_then_thank": f"WITH {_REPLIES}, {_STATS} SELECT variant, greet, m, CAST(greet AS DOUBLE) / m AS greet_share FROM stats",
     "top_words": f"WITH {_REPLIES}, t AS (SELECT variant, unnest(regexp_extract_all(lower(response), '[a-z'']+')) AS word FROM good), c AS (SELECT variant, word, count(*) AS n FROM t WHERE length(word) > 4 GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY n DESC, word) AS INT) AS rank FROM c) SELECT variant, rank, word, n, CAST(n AS DOUBLE) / m AS share FROM r JOIN sizes USING (variant) WHERE rank <= 10",
     "length_stats": f"WITH {_REPLIES}, {_STATS} SELECT variant, CAST(total AS DOUBLE) / m AS mean_len, min_len, max_len FROM stats",
+    "json_records": """SELECT n_name AS reviewer_name, CASE WHEN n_nationkey % 6 <> 0 AND n_nationkey % 7 <> 0 THEN CAST(1 + n_nationkey % 5 AS INT) END AS rating, CASE WHEN n_nationkey % 4 <> 0 THEN 'seen "' || n_name || '"' END AS review,
+        CAST(NULL AS VARCHAR) AS ai_response_length_type, n_nationkey % 6 = 0 OR n_nationkey % 7 = 0 AS corrupt FROM nation""",
+    "assembled_records": f"""WITH {_REVIEWS} SELECT review_id, n_name AS business_name, reviewer_name, rating, 'Default' AS ai_response_length_type, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '|service' ELSE '' END AS keywords,
+        CASE WHEN n_nationkey % 3 = 0 THEN 'Team ' || n_name END AS signature, CASE WHEN n_nationkey % 3 = 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '555' END END AS contact_number, CAST(NULL AS VARCHAR) AS website_url, CAST(NULL AS VARCHAR) AS reject_reason
+        FROM reviews JOIN nation ON n_nationkey = review_id % 25""",
+    "result_file": f"""WITH {_REVIEWS}, {_SAMPLE}, {_fan_sql()}, said AS (SELECT *, ('0x' || right(md5(prompt), 1))::INT % 4 AS k FROM fan) SELECT row_number() OVER (ORDER BY variant_ord, seq0) - 1 AS seq, variant, review_id, ' "' || reviewer_name || '",' || chr(10) || ' x ' AS reviewer_name, rating, md5(review) AS review_md5,
+        CASE k {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(responder.Offline.OPENINGS))} END || '. We look forward to the next visit.' AS response FROM said""",
+    "sheet_ids": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS review_id, 'Reviewer ' || (doc_id % 50) AS reviewer_name, CAST(doc_id % 5 + 1 AS INT) AS rating, md5(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS review_md5 FROM documents",
+    "workbook": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS review_id, CASE WHEN n_nationkey % 7 <> 0 THEN n_name ELSE '12' END AS reviewer_name, CAST(n_nationkey % 5 + 1 AS INT) AS rating, CASE WHEN n_nationkey % 3 <> 0 THEN '<' || n_name || '> &' || chr(10) END AS review FROM nation",
+    "dry_run": f"{_WITH_MATCHED} SELECT review_id, md5(concat('model: {review_prompt.MODEL}', chr(10), 'temperature: ', temperature, chr(10), 'frequency_penalty: ', frequency_penalty, chr(10), 'presence_penalty: ', presence_penalty, chr(10), 'max_tokens: ', max_tokens, chr(10), chr(10), {_PROMPT})) AS shown_md5 FROM matched",
+    "reply_failures": f"""WITH {_REVIEWS}, k AS (SELECT review_id, CASE review_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_credential' WHEN 2 THEN 'http' WHEN 3 THEN 'network' WHEN 4 THEN 'bad_shape' ELSE 'other' END AS status FROM reviews),
+        e AS (SELECT *, CASE WHEN status = 'other' THEN 'not foreseen' WHEN status <> 'ok' THEN status || ' failure' END AS error FROM k) SELECT review_id, status, error, coalesce('ERROR: ' || error, 'fine') AS response FROM e""",
+    "unknown_tones": f"""WITH {_REVIEWS}, p AS (SELECT review_id, '{variant_prompt.DEFAULT.variant}' AS variant, {_variant_sql(variant_prompt.DEFAULT)} AS prompt FROM reviews UNION ALL SELECT review_id, '{variant_prompt.LOCKED.variant}', CASE WHEN review_id % 7 <> 0 THEN {_variant_sql(variant_prompt.LOCKED)} END FROM reviews),
+        said AS (SELECT *, ('0x' || right(md5(prompt), 1))::INT % 4 AS k FROM p) SELECT review_id, variant, md5(prompt) AS prompt_md5, CASE WHEN prompt IS NULL THEN 'no_prompt' ELSE 'ok' END AS status,
+        CASE WHEN prompt IS NULL THEN 'ERROR: the row has no prompt' ELSE CASE k {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(responder.Offline.OPENINGS))} END || '. We look forward to the next visit.' END AS response FROM said""",
+    "http_exchange": f"""{_WITH_MATCHED}, p AS (SELECT review_id, md5({_PROMPT}) AS h FROM matched), v(provider) AS (VALUES ('choices'), ('blocks')),
+        x AS (SELECT review_id, provider, h, CASE left(h, 1) WHEN '0' THEN 'http' WHEN '1' THEN 'bad_shape' WHEN '2' THEN 'bad_shape' WHEN '3' THEN 'network' WHEN '4' THEN 'no_credential' ELSE 'ok' END AS status FROM p, v)
+        SELECT review_id, provider, status, CASE WHEN status = 'ok' THEN 'Reply to ' || h END AS text FROM x""",
+    "summary_shown": f"WITH {_SHOWN} SELECT variant, n, errors, m, null_count, opening, greet, mean_len, min_len, max_len FROM shown",
+    "report_lines": _REPORT,
     "variant_samples": f"WITH {_REPLIES}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY seq) AS INT) AS n FROM replies) SELECT variant, n, seq, rating, substr(review, 1, 100) AS review, response FROM r WHERE n <= 5",
 } | {
     f"prompt_{name}": f"WITH {_REVIEWS} SELECT review_id, '{v.variant}' AS variant, {_DIGEST} FROM (SELECT review_id, {_variant_sql(v)} AS prompt FROM reviews)"

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from larkspur.sources.workbook import first_sheet
 
 # Fields of the four JSON records, of the review sheet and of the result table.
 BUSINESS = "business_name string"
@@ -13,6 +18,8 @@ SHEET = "ReviewId long, ReviewerName string, Rating int, Review string"
 RESULT = "variant string, review_id long, reviewer_name string, rating int, review string, response string"
 # End of fixed values.
 
+#: Cells are written as they are: with their white space, empty ones apart from absent ones.
+WRITTEN = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
@@ -33,20 +40,79 @@ def read_optional(spark: SparkSession, path: str | None, schema: str) -> DataFra
     return spark.range(1).select(*[F.lit(None).cast(x.strip().split(" ", 1)[1]).alias(x.strip().split(" ", 1)[0]) for x in schema.split(", ")])
 
 
+def numbered_as_read(rows: DataFrame, name: str, *place: str) -> DataFrame:
+    """Adds `name`: 0, 1, 2, ... over the rows as they come, in order of the columns `place` first, which it drops.
+
+    Within a partition rows come in order; counts by place and partition give each its first number, so that no task
+    sees more than one partition. The window runs over a row for each partition and place.
+    """
+    x = rows.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    by = [*place, "_part"]
+    starts = x.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(*[F.col(c).alias(f"_{c}") for c in by], "_first", F.coalesce(before, F.lit(0)).alias("_base"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    out = x.join(starts, same).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first"))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in place], name)
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    """Adds _file and _block, where each row of files stands: for `numbered_as_read`, as partitions follow the files' sizes."""
+    return rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """review_id (if the sheet has ReviewId), reviewer_name, rating, review from CSV, Parquet or an Excel workbook's first sheet.
+    """review_id, reviewer_name, rating, review from CSV, Parquet or an Excel workbook's first sheet.
+
+    review_id is the sheet's ReviewId, or without that column the row's number from 0 in order of the files. A workbook
+    is read whole by one task, as it is one file of bounded rows by its format.
+    """
+    if path.endswith(".xlsx"):
+        return sheet_columns(read_workbook(spark, path))
+    rows = spark.read.options(**_CSV).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    if "ReviewId" in rows.columns:
+        return sheet_columns(rows)
+    return sheet_columns(numbered_as_read(_with_place(rows), "ReviewId", "_file", "_block"))
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """ReviewId, ReviewerName, Rating and Review of a workbook's first sheet, by its head line; cells that are absent are null.
 
-    A workbook is read on the driver, as it is one file of bounded rows by its format; it needs pandas' Excel reader.
+    Without a ReviewId column rows are numbered from 0.
     """
-    if path.endswith((".xlsx", ".xls")):
-        import pandas as pd
 
-        rows = spark.createDataFrame(pd.read_excel(path))
-    elif path.endswith(".csv"):
-        rows = spark.read.options(**_CSV).option("inferSchema", True).csv(path)
-    else:
-        rows = spark.read.parquet(path)
-    return sheet_columns(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = first_sheet(content.as_py())
+                head = {str(x): i for i, x in enumerate(next(rows, []))}
+                missing = [c for c in ("ReviewerName", "Rating", "Review") if c not in head]
+                if missing:
+                    raise ValueError(f"the workbook's first sheet has no column {missing[0]}")
+                out: list[tuple] = []
+                for n, row in enumerate(rows):
+                    cell = {c: row[i] if i < len(row) else None for c, i in head.items()}
+                    number = cell.get("ReviewId") if "ReviewId" in head else n
+                    name = cell["ReviewerName"]
+                    out.append((
+                        None if number is None else int(float(number)),
+                        None if name is None else str(int(name)) if isinstance(name, float) and name.is_integer() else str(name),
+                        None if cell["Rating"] is None else int(float(cell["Rating"])),
+                        None if cell["Review"] is None else str(cell["Review"]),
+                    ))
+                    if len(out) == 4096:
+                        yield _sheet_batch(out)
+                        out = []
+                if out:
+                    yield _sheet_batch(out)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, SHEET)
+
+
+def _sheet_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SHEET.split(", ")])
 
 
 def sheet_columns(rows: DataFrame) -> DataFrame:
@@ -59,13 +125,13 @@ def write_result(rows: DataFrame, path: str) -> None:
     """The six result columns as one CSV file with a header, in order of (variant_ord, seq): two rows for each sampled review."""
     cols = [x.split()[0] for x in RESULT.split(", ")]
     ordered = rows.orderBy("variant_ord", "seq") if "variant_ord" in rows.columns else rows.orderBy("seq")
-    ordered.select(*cols).coalesce(1).write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue='""', nullValue="").csv(path)
+    ordered.select(*cols).coalesce(1).write.mode("overwrite").options(**WRITTEN).csv(path)
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
-    """The six columns and seq, the rows' order in the file. Empty cells are nulls; quotes and line ends in cells are kept."""
+    """The six columns and seq, the rows' order in the files. Empty cells are nulls; quotes and line ends in cells are kept."""
     rows = spark.read.schema(RESULT).options(**_CSV, emptyValue="", nullValue="").csv(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return numbered_as_read(_with_place(rows), "seq", "_file", "_block")
 
 
 def credential(given: str | None, variable: str) -> str:

@@ -9,11 +9,27 @@ from larkspur.operators.validation import checked, with_defaults
 from larkspur.plans.review_prompt import requests
 
 
+def _judged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records that arrive as JSON lines in folder `path`, with their reject_reason; what is no such record is in _corrupt_record."""
+    return checked(with_defaults(spark.readStream.schema(f"{schema}, _corrupt_record string").json(path)))
+
+
+def _written(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_requests(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, model: str | None = None) -> StreamingQuery:
     """Requests for the valid reviews that arrive as JSON lines in folder `path`, as Parquet in folder `out`."""
-    rows = checked(with_defaults(spark.readStream.schema(schema).json(path)))
-    made = request_rows(rows.where("reject_reason is null").drop("reject_reason"), model)
-    return made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    good = _judged(spark, path, schema).where("reject_reason is null").drop("reject_reason")
+    return _written(request_rows(good, model), out, checkpoint)
+
+
+def stream_rejects(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
+    """The records that `stream_requests` leaves out, with reject_reason and, if they are no records, their text in _corrupt_record.
+
+    A query of its own with its own checkpoint, so that each sink gets every record of its kind exactly once.
+    """
+    return _written(_judged(spark, path, schema).where("reject_reason is not null"), out, checkpoint)
 
 
 def request_rows(rows: DataFrame, model: str | None = None) -> DataFrame:
