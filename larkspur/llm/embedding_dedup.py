@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.ngram_join import _groups, mixed
-from larkspur.llm.shared import Table, components, partitions_of, read_table
+from larkspur.llm.shared import Table, components, partitions_of, read_table, through_arrow
 
 COSINE = 0.93
 #: Bits of the sign sketch, and differing bits up to which a pair is looked at: at cosine 0.93 the mean is 15 of 128,
@@ -282,7 +282,7 @@ def _few_links(reps: DataFrame, few: DataFrame, lists: DataFrame, cosine: float)
     one = rows.where("few").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     other = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1))).withColumn("side", F.lit(1))
     dealt = one.select(names).union(other.select(names)).repartition(partitions_of(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return dealt.mapInArrow(_link_few(cosine), "node long, links long, head long")
+    return through_arrow(dealt, _link_few(cosine), "node long, links long, head long")
 
 
 def valid_vector(embedding: str) -> F.Column:
@@ -308,15 +308,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, plan: tuple[int, in
     reps = Table(reps.select("node", "x.label", "x.embedding", "weight", "low"), "nodes").df
     n = reps.count()
     plan_of = (lambda dim: plan) if plan else lambda dim: code_plan(n, dim)
-    few = Table(reps.select("node", "label", "embedding").mapInArrow(_fewer(plan_of, FEW), "few_node long"), "few").df
-    passed = reps.select("node", "label", "embedding").mapInArrow(_filters(plan_of), "key long, node long")
-    met = passed.repartition(partitions_of(spark), "key").sortWithinPartitions("key").mapInArrow(_groups, "members long, node long").distinct()
+    few = Table(through_arrow(reps.select("node", "label", "embedding"), _fewer(plan_of, FEW), "few_node long"), "few").df
+    passed = through_arrow(reps.select("node", "label", "embedding"), _filters(plan_of), "key long, node long")
+    met = through_arrow(passed.repartition(partitions_of(spark), "key").sortWithinPartitions("key"), _groups, "members long, node long").distinct()
     met = Table(met, "tiles").df
     sizes = met.groupBy("members").agg(F.count("*").alias("size"))
-    sketches = reps.select("node", "embedding").mapInArrow(_sketches, "node long, sketch binary")
+    sketches = through_arrow(reps.select("node", "embedding"), _sketches, "node long, sketch binary")
     sized = met.join(sizes, "members")
     small = sized.where(F.col("size") <= SKETCH_TILE).join(sketches, "node").select("members", "node", "sketch")
-    small = small.repartition(partitions_of(spark), "members").sortWithinPartitions("members").mapInArrow(_near_rows, "members long, node long")
+    small = through_arrow(small.repartition(partitions_of(spark), "members").sortWithinPartitions("members"), _near_rows, "members long, node long")
     live = Table(small.union(sized.where(F.col("size") > SKETCH_TILE).select("members", "node")), "tiles").df
     lists = live.groupBy("node").agg(F.collect_list("members").alias("tiles"))  # at most the filters of one vector
     facts = reps.select("node", "embedding", "weight").join(lists, "node")
@@ -325,7 +325,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, plan: tuple[int, in
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
     tiles = tiles.join(facts, "node").repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j")
-    told = tiles.mapInArrow(_link_tiles(cosine), "node long, links long, head long")
+    told = through_arrow(tiles, _link_tiles(cosine), "node long, links long, head long")
     if few.limit(1).count():
         told = told.union(_few_links(reps, few, lists, cosine))
     told = Table(told, "links").df

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import Table, read_table, rows_in_chunks
+from larkspur.llm.shared import Table, read_table, rows_in_chunks, through_arrow
 
 #: Notices by licence; each has a cue word (one that begins with licen, or a word of CUES).
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -102,7 +102,7 @@ def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
                 seen.update(VOCABULARY.intersection(terms(text)) if text else ())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    found = {r.term: r.n for r in files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r.term: r.n for r in through_arrow(files.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return found.pop("", 0), found
 
 
@@ -126,7 +126,7 @@ def scan_files(files: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SCAN.split(", ")])
 
-    return files.select(F.col("id").cast("long").alias("id"), "path", "text").mapInArrow(run, _SCAN)
+    return through_arrow(files.select(F.col("id").cast("long").alias("id"), "path", "text"), run, _SCAN)
 
 
 def folder(path: str) -> F.Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import Table, components, partitions_of, read_table, rows_in_chunks, use_cache
+from larkspur.llm.shared import Table, components, partitions_of, read_table, rows_in_chunks, through_arrow
 
 WORDS = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR or more links.
@@ -34,7 +34,7 @@ TILE = 1_024
 LARGE = 64
 #: Rows of two longs that may be broadcast.
 BROADCAST_ROWS = 500_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -51,6 +51,9 @@ def _hashes() -> _Hashes:
     return _Hashes()
 
 
+_CACHE = ("ngram join", _hashes.cache_clear)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
@@ -121,12 +124,11 @@ def common_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.nda
     part = _text_bytes(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, total)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 4 << 20):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    counts = through_arrow(part, run, "h long", *_CACHE).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
     # at most COMMON rows
     rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
     h = rows.h.to_numpy().view(np.uint64)
@@ -139,7 +141,6 @@ def document_sets(docs: DataFrame, num: int, den: int, k: int) -> Table:
     common, rank = common_shingles(docs, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 8 << 20):
             nodes, sizes, keys, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -152,7 +153,7 @@ def document_sets(docs: DataFrame, num: int, den: int, k: int) -> Table:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "node", "n", "keys", "bits"])
 
-    return Table(_text_bytes(docs).mapInArrow(run, "doc_id long, node long, n long, keys array<long>, bits binary"), "sets")
+    return Table(through_arrow(_text_bytes(docs), run, "doc_id long, node long, n long, keys array<long>, bits binary", *_CACHE), "sets")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +292,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, 1, 4 << 20):
             sets = [s for s in (shingle_set(t, k) for t in batch.column(1).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
-    sets = texts.mapInArrow(run, "node long, items binary").join(wanted.df.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    sets = through_arrow(texts, run, "node long, items binary", *_CACHE).join(wanted.df.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
     items = Table(sets, "items")
     sets = items.df
 
@@ -308,7 +308,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
 
     with_b = pairs.df.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    links = Table(both.select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long"), "links")
+    links = Table(through_arrow(both.select("a", "b", "items_a", "items_b"), check, "a long, b long", *_CACHE), "links")
     for table in (pairs, wanted, items):
         table.drop()
     return links
@@ -320,7 +320,7 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Tab
     whole = sets.df.where("node is not null").groupBy("node").agg(F.first(F.struct("n", "keys", "bits")).alias("x"), F.min("doc_id").alias("home"))
     reps = Table(whole.select("node", "x.n", "x.keys", "x.bits", "home"), "nodes")
     keyed = reps.df.select(F.explode("keys").alias("key"), "node")
-    live = keyed.repartition(partitions_of(spark), "key").sortWithinPartitions("key").mapInArrow(_groups, "members long, node long").distinct()
+    live = through_arrow(keyed.repartition(partitions_of(spark), "key").sortWithinPartitions("key"), _groups, "members long, node long").distinct()
     groups = Table(live, "groups")
     live = groups.df
     facts, homes = reps.df.select("node", "n", "bits"), reps.df.select("node", "home")
@@ -330,7 +330,7 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Tab
     pairs = live.join(hubs, "members").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     one, two = (facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     pairs = pairs.join(one, "a").join(two, "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    pairs = pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_filter_pairs(num, den), "a long, b long")
+    pairs = through_arrow(pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), _filter_pairs(num, den), "a long, b long")
     first = _verified(pairs, docs, homes, num, den, k)
     comps = Table(components(first.df), "components")
 
@@ -346,7 +346,7 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Tab
     earlier = F.when(F.col("size") > LARGE, F.filter("large", lambda x: x < F.col("members")))
     rows = rows.join(facts.join(large, "node", "left"), "node").select("members", "i", "j", "side", "node", "comp", "n", "bits", F.coalesce(earlier, F.array().cast("array<long>")).alias("earlier"))
     tiles = rows.repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j", "n")
-    second = _verified(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), docs, homes, num, den, k)
+    second = _verified(through_arrow(tiles, _tiles(num, den), "a long, b long").distinct(), docs, homes, num, den, k)
     links = comps.df.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(second.df)
     out = Table(components(links).select("node", F.col("component_id").alias("comp")), "linked")
     for table in (reps, groups, first, comps, still, second):
@@ -397,12 +397,11 @@ def without_near_duplicates(docs: DataFrame, num: int = NUMERATOR, den: int = DE
     at, ids = [c.lower() for c in names].index("text"), [c.lower() for c in names].index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("ngram join", _hashes.cache_clear)
         for batch in rows_in_chunks(batches, at, 8 << 20):
             sets = [shingle_set(t, k) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, "node"])
 
-    rows = plain.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema) + ", node long")
+    rows = through_arrow(plain, run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema) + ", node long", *_CACHE)
     rows = rows.join(drop, F.col(f"c{ids}").cast("long").eqNullSafe(F.col("drop_id")) & F.col("node").eqNullSafe(F.col("drop_node")), "left_anti")
     rows = rows.where("node is not null").dropDuplicates([f"c{ids}", "node"]).union(rows.where("node is null"))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

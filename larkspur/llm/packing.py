@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from larkspur.llm.shared import Table, partitions_of, read_table, rows_in_chunks, use_cache
+from larkspur.llm.shared import Table, partitions_of, read_table, rows_in_chunks, through_arrow
 
 WINDOW = 2048
 END_ID = 1
 #: A window may stay this many ids short of full before its longest remainder is left for the cut pool.
 MAX_SLACK = 4
 #: Words a Python worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 #: Characters for which lower-casing and NFC act on each alone: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[^ -~\n\r\tÀ-ÖØ-öø-ÿ]")
@@ -125,7 +125,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("packing", encoder.cache_clear)
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in rows_in_chunks(batches, 2, 4 << 20):
             out: list[tuple] = []
@@ -139,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
             )
 
     cols = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-    return cols.mapInArrow(run, "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    return through_arrow(cols, run, "row_id long, doc_id long, start long, length long, doc_tokens long, ids binary", "packing", encoder.cache_clear)
 
 
 def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
@@ -294,7 +293,7 @@ def _looked_up(ranked: DataFrame, runs: list[tuple], laid: list[tuple], tiles: l
             yield pa.RecordBatch.from_arrays([*cols, pa.array(start[row] + at), pa.array(size), pa.array(seq), pa.array(off)], [*keep, "start", "length", "sequence_id", "offset"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", start long, length long, sequence_id long, `offset` long"
-    return ranked.mapInArrow(run, out)
+    return through_arrow(ranked, run, out)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID, max_slack: int = MAX_SLACK) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks
+from larkspur.llm.shared import read_table, rows_in_chunks, through_arrow
 
 ROUNDS = 10
 #: Key for tests and queries; a production run passes its own secret.
@@ -357,7 +357,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY, inverse: bool
             yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, spans)], [*names, "pii_spans"])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", pii_spans {_SPANS}"
-    return docs.mapInArrow(run, schema)
+    return through_arrow(docs, run, schema)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

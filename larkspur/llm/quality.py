@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks, use_cache
+from larkspur.llm.shared import read_table, rows_in_chunks, through_arrow
 from larkspur.llm.toxicity import Ftrl, sigmoid
 
 BITS = 16
@@ -95,13 +95,14 @@ class _Shapes(dict):
         else:
             shape = re.sub(r"\d", "9", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word))
             shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(shape)
         return h
 
 
 _shapes = _Shapes()
+_CACHE = ("quality", _shapes.clear)
 
 
 def voted(docs: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def voted(docs: DataFrame) -> DataFrame:
             out = ["".join("bg-"[v] for v in votes(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "votes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes string")
+    return through_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, votes string", *_CACHE)
 
 
 def estimate(patterns: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -154,7 +155,7 @@ def train(docs: DataFrame, posterior: dict[str, float], total: int, rows: int =
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(w[keep])], ["i", "w"])
 
-    found = lesson.repartition(1).sortWithinPartitions("turn", "text").mapInArrow(run, "i int, w double").toPandas()  # at most 2 ** BITS weights
+    found = through_arrow(lesson.repartition(1).sortWithinPartitions("turn", "text"), run, "i int, w double", *_CACHE).toPandas()  # at most 2 ** BITS weights
     return found.i.to_numpy().astype(np.int64), found.w.to_numpy()
 
 
@@ -175,7 +176,6 @@ def score_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     index, value = train(docs, posterior, sum(r.n for r in counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("quality", _shapes.clear)
         table = np.zeros((1 << BITS) + 1)
         table[index] = value
         for batch in rows_in_chunks(batches, 1):
@@ -186,7 +186,7 @@ def score_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
                 out.append((v, posterior[v], sigmoid(table[-1] + float(table[at] @ x))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "votes", "posterior", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    scored = through_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, *_CACHE)
     return scored.withColumn("kept", (F.col("posterior") + F.col("score")) / 2 >= keep_from)
 
 

@@ -2,56 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Bytes of text that one Arrow batch handed back by a Python stage may hold, about.
-BATCH_BYTES = 16 << 20
-
-_owned: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is left there goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    _owned.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a table in the shared folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _owned[:] = [x for x in _owned if x[1] != path]
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in list(_owned):
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+from larkspur.sources.shared import drop_path, scratch_path
 
+#: Bytes of an Arrow batch to or from a Python stage, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 class Table:
     """A DataFrame written to the shared folder: lineage ends here, and a lost executor loses no part of it."""
@@ -130,6 +91,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 _caches: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the machine, where the allocators can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def use_cache(name: str, clear: Callable[[], None]) -> None:
     """Called where a Python worker starts to use an operator's word cache: those of other operators go.
 
@@ -140,7 +109,21 @@ def use_cache(name: str, clear: Callable[[], None]) -> None:
         _caches.pop(k)()
     if stale:
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it, memory goes back at once
-        if trim:
-            trim(0)
+        give_back()
     _caches[name] = clear
+
+
+def through_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, cache: str = "none", clear: Callable[[], None] = lambda: None) -> DataFrame:
+    """`df.mapInArrow(run, schema)` in bounded memory: batches are cut by bytes, not by rows alone, whatever the texts' lengths.
+
+    The worker keeps the word cache named `cache` from one task to the next and drops those of other operators, and what
+    a task has freed goes back to the machine when it ends.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache(cache, clear)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks, use_cache
+from larkspur.llm.shared import read_table, rows_in_chunks, through_arrow
 
 #: 2 ** BITS hashed features, so at most that many weights are collected and broadcast; L1 leaves a few hundred.
 BITS = 22
@@ -24,7 +24,7 @@ ALPHA, BETA, L2 = 1.0, 1.0, 0.02
 #: L1 at TRAIN_ROWS rows; it follows the square root of the rows, as the noise in a coordinate's gradient sum does.
 L1 = 3.0
 #: Words that a Python worker remembers.
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 100_000
 _PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
@@ -61,6 +61,8 @@ def _vocabulary() -> _Vocabulary:
     return _Vocabulary()
 
 
+_CACHE = ("toxicity", _vocabulary.cache_clear)
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -132,7 +134,6 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
     lesson = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("toxicity", _vocabulary.cache_clear)
         model, rest = Ftrl(1 << bits, l1=l1), []
         for batch in rows_in_chunks(batches, 3):
             for label, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
             yield pa.RecordBatch.from_arrays([pa.array(at[w != 0].astype(np.int32)), pa.array(w[w != 0])], ["i", "w"])
 
     # at most 2 ** bits weights, by the size of the model
-    found = lesson.repartition(1).sortWithinPartitions("turn", "doc_id", "text").mapInArrow(run, "i int, w double").toPandas()
+    found = through_arrow(lesson.repartition(1).sortWithinPartitions("turn", "doc_id", "text"), run, "i int, w double", *_CACHE).toPandas()
     return found.i.to_numpy().astype(np.int64), found.w.to_numpy()
 
 
@@ -158,7 +159,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use_cache("toxicity", _vocabulary.cache_clear)
         table = np.zeros(1 << bits, np.float32)
         inner = index < 1 << bits
         table[index[inner]] = value[inner] * values(index[inner], bits)
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return through_arrow(docs, run, schema, *_CACHE)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import read_table, rows_in_chunks, scratch_path
+from larkspur.llm.shared import read_table, rows_in_chunks, scratch_path, through_arrow
 
 #: Payloads of fewer bytes are stored each time.
 REVISIT_FROM = 1000
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM
     """
     n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
     each = max(1, int(archive_bytes / max(1, (size or 0) / max(1, n) + 700)))
-    members = records(decided(pages, revisit_from)).select(F.col("value").cast("binary")).mapInArrow(_deflated, "value binary")
+    members = through_arrow(records(decided(pages, revisit_from)).select(F.col("value").cast("binary")), _deflated, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
 
 
@@ -308,7 +308,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, _OUT)
+    return through_arrow(files, run, _OUT)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

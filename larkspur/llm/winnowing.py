@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.shared import partitions_of, read_table, rows_in_chunks
+from larkspur.llm.shared import partitions_of, read_table, rows_in_chunks, through_arrow
 
 #: Code points in a k-gram, and k-grams in a window: any passage of GRAM + SPAN - 1 code points that two texts share
 #: leaves one equal hash in both fingerprints; no passage shorter than GRAM does. Short texts have shorter windows.
@@ -167,7 +167,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, span: int | None =
         if out:
             yield _batch(out)
 
-    return with_following(docs).mapInArrow(run, _OUT)
+    return through_arrow(with_following(docs), run, _OUT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
