@@ -59,6 +59,58 @@ def test_targets_and_takes(spark, seed, sources):
     assert sorted(map(str, M.mix(df.repartition(6)).collect())) == sorted(map(str, got))
 
 
+def plain_rates(sizes, target, most=3.0):
+    """Rates of one source by bisection of the dual in one multiplier."""
+    import math
+
+    mean = sum(sizes) / sum(1 for x in sizes if x)
+    words = lambda m: sum(x * min(most, math.exp(min(700.0, m * x / mean))) for x in sizes)
+    low, high = -1e6, 1e6
+    for _ in range(400):
+        middle = (low + high) / 2
+        low, high = (middle, high) if words(middle) < target else (low, middle)
+    return [min(most, math.exp(min(700.0, low * x / mean))) for x in sizes]
+
+
+def test_rates_solve_the_dual(spark):
+    """Tilts follow documents' sizes; rates meet the plain solver's, and no other feasible rates are closer to 1."""
+    import math
+
+    rows = [(i, t, s) for i, t, s in made(11, ["a", "b", "c", "d"], 300)] + [(900, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by, source = defaultdict(list), {i: s for i, _, s in rows}
+    for r in M.mix(df).collect():
+        by[source[r.doc_id]].append(r)
+    differ = 0
+    for s, held in by.items():
+        sizes, target, rates = [r.size for r in held], held[0].target, [r.rate for r in held]
+        if 0 < target < 3 * sum(sizes) * (1 - 1e-9):
+            assert rates == pytest.approx(plain_rates(sizes, target), rel=1e-6, abs=1e-9)
+            assert sum(n * x for n, x in zip(sizes, rates)) == pytest.approx(target, rel=1e-6)
+            differ += len({round(x, 6) for x in rates}) > 2
+            # along any direction that keeps the words, relative entropy rises: its slope there is nothing
+            free = [(n, x) for n, x in zip(sizes, rates) if 1e-6 < x < 3 and n]
+            for (n1, x1), (n2, x2) in zip(free, free[1:]):
+                assert math.log(x1) / n1 == pytest.approx(math.log(x2) / n2, rel=1e-5, abs=1e-9)
+    assert differ >= 2
+
+
+def test_many_equal_rows_are_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    rows = [(7, "same words here", "hot")] * 300 + [(100 + i, "other text " * (i % 5 + 1), "hot" if i % 2 else "cold") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    thin = M.thin_rows(df)
+    chunks = M._chunks(thin, 8).groupBy("chunk").count().collect()
+    assert sorted(r["count"] for r in chunks) == [4] + [8] * 37
+    one, two = (M.mix_thin(M.thin_rows(x), block=8).collect() for x in (df, df.repartition(7)))
+    key = lambda r: (r.doc_id, r.size, r.copies)
+    assert Counter(map(key, one)) == Counter(map(key, two))
+    taken = Counter()
+    for r in M.mix(df).collect():
+        taken[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in M.mixed_documents(df).collect()) == +taken
+
+
 def test_tilted_rates_meet_targets(spark):
     thin = spark.createDataFrame([(s, n, t) for s in ("a", "b", "c") for n, t in ((10, 0.5), (30, 1.0), (5, 2.0))], "source string, size long, tilt double")
     goals = spark.createDataFrame([("a", 100.0), ("b", 20.0), ("c", 135.0)], "source string, target double")
@@ -87,8 +139,8 @@ def test_mixed_documents(spark):
 def test_long_documents_of_many_blocks(spark, rate):
     rng = random.Random(3)
     sizes = [rng.randrange(50, 400) for _ in range(10_200)] + [400_000] * 40
-    rated = [(i, rng.getrandbits(62), "s", n, rate) for i, n in enumerate(sizes)] + [(20_000, 5, None, 7, 1.0)]
-    got = {r.row_id: r.copies for r in M.round_copies(spark.createDataFrame(rated, "row_id long, stable long, source string, size long, rate double")).collect()}
+    rated = [(i, rng.getrandbits(62), 0, "s", n, rate) for i, n in enumerate(sizes)] + [(20_000, 5, 0, None, 7, 1.0)]
+    got = {r.row_id: r.copies for r in M.round_copies(spark.createDataFrame(rated, "row_id long, stable long, one long, source string, size long, rate double")).collect()}
     due = rate * sum(sizes)
     assert len(got) == len(rated) and got[20_000] == 1 and {got[i] for i in range(len(sizes))} == {int(rate), int(rate) + 1}
     assert abs(sum(got[i] * n for i, n in enumerate(sizes)) - due) < 0.001 * due
