@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,8 +29,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Documents whose shingles are counted to learn which are common, and the shingles listed, at most. They order
 #: prefixes and have no bearing on the result.
 SAMPLE, COMMON, COMMON_FROM = 8_000, 100_000, 4
+#: Shingles of so many documents of the sample, or more, are grouped by partial sums.
+OFTEN_FROM = 20
 #: Members of a tile's side; a larger group is several tiles.
-TILE = 1_024
+TILE = 512
 #: Groups with more members tell which pairs another such group has compared already.
 LARGE = 64
 #: Rows of two longs that may be broadcast.
@@ -136,9 +139,8 @@ def common_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.nda
     return h[order], rows.n.to_numpy()[order].astype(np.int32)
 
 
-def document_sets(docs: DataFrame, num: int, den: int, k: int) -> Table:
+def document_sets(docs: DataFrame, common: np.ndarray, rank: np.ndarray, num: int, den: int, k: int) -> Table:
     """doc_id, node (id of its shingle set, null if empty), n, keys (its prefix), bits (its signature), in the shared folder."""
-    common, rank = common_shingles(docs, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in_chunks(batches, 1, 8 << 20):
@@ -157,8 +159,8 @@ def document_sets(docs: DataFrame, num: int, den: int, k: int) -> Table:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted by key to rows (members, node) of keys that several nodes have; equal groups get one number."""
-    key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows (key, node) sorted by key to rows (members, node, size) of keys that several nodes have; equal groups get one number."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows so far, which a large group has many batches of
 
     def told(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -171,20 +173,36 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark = np.zeros(len(first), bool)
             mark[chosen] = True
             rows = np.repeat(mark, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number, size)[rows]), pa.array(node[rows])], ["members", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number, size)[rows]), pa.array(node[rows]), pa.array(np.repeat(size, size)[rows])], ["members", "node", "size"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(0).to_numpy()
-        key, node = np.concatenate([key, k]), np.concatenate([node, batch.column(1).to_numpy()])
-        if key[0] == key[-1]:
+        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held and held[-1][0][-1] == key[-1]:
+            held.append((key, node))
             continue
         cut = int(np.searchsorted(key, key[-1]))
-        yield from told(key[:cut], node[:cut])
-        key, node = key[cut:], node[cut:]
-    if len(key):
-        yield from told(key, node)
+        if held or cut:
+            yield from told(*(np.concatenate(x) for x in zip(*held, (key[:cut], node[:cut]), strict=True)))
+        held = [(key[cut:], node[cut:])]
+    if held:
+        yield from told(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def grouped(keyed: DataFrame, common: DataFrame) -> DataFrame:
+    """(members, node, size), a row for each node of each group, of rows (key, node): nodes with a key in common are a group if there are several, and keys with the same nodes are one group.
+
+    Rows of a key go to one task, but for the keys of `common`, a bounded list of those that a sample shows to be
+    frequent: their groups are told by partial sums (128 bits of XOR over their nodes), and their rows stay where they
+    are. The list has no bearing on the groups.
+    """
+    rare = keyed.join(F.broadcast(common), "key", "left_anti").repartition(partitions_of(keyed.sparkSession), "key").sortWithinPartitions("key")
+    rare = through_arrow(rare, _groups, "members long, node long, size long").distinct()
+    often = keyed.join(F.broadcast(common), "key", "left_semi")
+    sums = often.groupBy("key").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(c) for i, c in enumerate("xy")], F.count("*").alias("size")).where("size > 1")
+    one = sums.groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", F.xxhash64("x", "y").alias("members"), "size")
+    return rare.union(often.join(F.broadcast(one), "key").select("members", "node", "size"))  # no more keys than `common` has
 
 
 def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -235,9 +253,10 @@ def _tiles(num: int, den: int):
         square = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
         earlier = [frozenset(x) for x in rows.column("earlier").to_pylist()]
         out_a, out_b = [], []
+        widest = 1 << (-(-den // num) - 1).bit_length()  # alike sets differ in size by den / num at most
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
-            for v in (w, 2 * w):
+            for v in (v for v in np.unique(width) if w <= v <= widest * w):
                 other = np.flatnonzero(width == v)
                 if not len(other):
                     continue
@@ -314,14 +333,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
     return links
 
 
-def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Table:
-    """(node, comp) of nodes that have a link, in the shared folder; what was written on the way is gone."""
+def linked_sets(docs: DataFrame, sets: Table, often: np.ndarray, num: int, den: int, k: int) -> Table:
+    """(node, component_id) of nodes that have a link, in the shared folder; what was written on the way is gone."""
     spark = docs.sparkSession
     whole = sets.df.where("node is not null").groupBy("node").agg(F.first(F.struct("n", "keys", "bits")).alias("x"), F.min("doc_id").alias("home"))
     reps = Table(whole.select("node", "x.n", "x.keys", "x.bits", "home"), "nodes")
-    keyed = reps.df.select(F.explode("keys").alias("key"), "node")
-    live = through_arrow(keyed.repartition(partitions_of(spark), "key").sortWithinPartitions("key"), _groups, "members long, node long").distinct()
-    groups = Table(live, "groups")
+    common = Table(spark.createDataFrame(pd.DataFrame({"key": often.view(np.int64)}), "key long"), "common")  # at most COMMON rows
+    groups = Table(grouped(reps.df.select(F.explode("keys").alias("key"), "node"), common.df).select("members", "node"), "groups")
+    common.drop()
     live = groups.df
     facts, homes = reps.df.select("node", "n", "bits"), reps.df.select("node", "home")
 
@@ -332,7 +351,7 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Tab
     pairs = pairs.join(one, "a").join(two, "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
     pairs = through_arrow(pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), _filter_pairs(num, den), "a long, b long")
     first = _verified(pairs, docs, homes, num, den, k)
-    comps = Table(components(first.df), "components")
+    comps = components(first.df)
 
     # Second round: what is in different components still, group by group, in tiles.
     named = live.join(comps.df, "node", "left").select("members", "node", F.coalesce("component_id", "node").alias("comp"))
@@ -348,7 +367,7 @@ def linked_sets(docs: DataFrame, sets: Table, num: int, den: int, k: int) -> Tab
     tiles = rows.repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j", "n")
     second = _verified(through_arrow(tiles, _tiles(num, den), "a long, b long").distinct(), docs, homes, num, den, k)
     links = comps.df.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(second.df)
-    out = Table(components(links).select("node", F.col("component_id").alias("comp")), "linked")
+    out = components(links)
     for table in (reps, groups, first, comps, still, second):
         table.drop()
     return out
@@ -359,11 +378,13 @@ def near_duplicates_by_set(docs: DataFrame, num: int = NUMERATOR, den: int = DEN
 
     Rows link when den * |intersection| >= num * |union| of their shingle sets; component_id is the smallest doc_id
     reachable. Texts that are null or have no words have no shingles and link with nothing; repeated rows have equal
-    sets and link; a null doc_id is never the smallest if others are there; an empty table gives no rows; other
-    columns are ignored. Sets stand for their 64-bit shingle hashes.
+    sets and link; a null doc_id is never the smallest if others are there; very long texts are taken whole; a similarity
+    of just num / den links; an empty table gives no rows; other columns are ignored, whatever their names. Sets stand
+    for their 64-bit shingle hashes.
     """
-    sets = document_sets(docs, num, den, k)
-    comps = linked_sets(docs, sets, num, den, k).df
+    common, rank = common_shingles(docs, k)
+    sets = document_sets(docs, common, rank, num, den, k)
+    comps = linked_sets(docs, sets, common[rank >= OFTEN_FROM], num, den, k).df.withColumnRenamed("component_id", "comp")
     rows = Table(sets.df.select("doc_id", "node", "n"), "thin").df
     sets.drop()
     heads = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -411,5 +432,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+#: All pairs with a shingle in common; words are joined by blanks, which no word holds.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.size + y.size - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) low ON low.a = w.doc_id
+"""
+
 QUERIES = {"op5_ngram_join": op5_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_ngram_join": ORACLE}

@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from larkspur.sources.shared import drop_path, scratch_path
 
@@ -52,19 +52,21 @@ def arrow_schema(df_schema) -> pa.Schema:
     return to_arrow_schema(df_schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node that has an edge: DataFrame (node, component_id), both long.
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> Table:
+    """Smallest node reachable from each node that has an edge: a table (node, component_id), both long.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"),
     each two shuffles with map-side minima and no per-node lists, so a hub with very many edges is never gathered
     in one task. Each round's edges are written to the shared folder. Self-edges and nulls are ignored; an empty
     input gives no rows.
     """
-    spark = edges.sparkSession
-    now = Table(
-        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct(), "edges"
-    )
-    done = (0, None)
+
+    def held(rows: DataFrame) -> tuple[Table, dict]:
+        """The edges in the shared folder, with their number and a hash of all, which are taken as they are written."""
+        seen = Observation()
+        return Table(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges"), seen.get
+
+    now, done = held(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
         # Large star: every neighbour larger than u hangs on the smallest of u and its neighbours.
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,17 +77,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # Small star: the smaller neighbours of u, and u itself, hang on the smallest of them.
         small = step.df.groupBy("u").agg(F.min("v").alias("m"))
         nxt = step.df.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        old, now = now, Table(nxt, "edges")
+        old = now
+        now, seen = held(nxt)
         step.drop()
         old.drop()
-        seen = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if (seen.n, seen.h) == done:
+        if seen == done:
             break
-        done = (seen.n, seen.h)
+        done = seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     heads = now.df.select("v").distinct()
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(heads.select(F.col("v").alias("node"), F.col("v").alias("component_id")))
+    out = Table(now.df.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(heads.select(F.col("v").alias("node"), F.col("v").alias("component_id"))), "components")
+    now.drop()
+    return out
 
 
 _caches: dict[str, Callable[[], None]] = {}

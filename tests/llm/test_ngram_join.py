@@ -82,6 +82,43 @@ def test_common_order_does_not_matter(spark, monkeypatch):
     assert found(spark, docs) == plain(docs)
 
 
+@pytest.mark.parametrize("often", [1, 3, 10**9])
+def test_common_shingles_are_grouped_alike(spark, monkeypatch, often):
+    monkeypatch.setattr(J, "COMMON_FROM", 2)
+    monkeypatch.setattr(J, "OFTEN_FROM", often)
+    docs = crowd(5, 2, 25, 6)
+    assert found(spark, docs) == plain(docs)
+
+
+def test_groups_of_both_ways(spark):
+    rng = random.Random(6)
+    keyed = sorted({(rng.randrange(30), rng.randrange(100)) for _ in range(400)} | {(50, n) for n in range(100)} | {(51, n) for n in range(100)} | {(60, 1)})
+    df, want = spark.createDataFrame(keyed, "key long, node long").repartition(3), {}
+    for k, n in keyed:
+        want.setdefault(k, set()).add(n)
+    want = {frozenset(v) for v in want.values() if len(v) > 1}
+    for common in ([], [50, 51, 60], list(range(100))):
+        rows = J.grouped(df, spark.createDataFrame([(c,) for c in common], "key long")).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.members, []).append(r.node)
+            assert r["size"] == sum(x.members == r.members for x in rows)
+        assert {frozenset(v) for v in got.values()} == want and sum(map(len, got.values())) == sum(map(len, want))
+
+
+@pytest.mark.parametrize("num", [30, 50])
+def test_low_thresholds(spark, num):
+    docs = [(i, t) for i, (_, t) in enumerate(crowd(7, 3, 8, 12, 60))] + [(100 + i, " ".join(t.split()[: 25 + 20 * (i % 4)])) for i, (_, t) in enumerate(crowd(7, 3, 8, 0, 60))]
+    assert found(spark, docs, num=num) == plain(docs, num=num)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:60_000], "other", *words[60_001:]])), (3, "short text of a few words"), (4, " ".join(words[:70_000]))]
+    assert found(spark, docs) == [("1", 119996, "1"), ("2", 119996, "1"), ("3", 2, "3"), ("4", 69996, "4")] == plain(docs)
+
+
 def test_threshold_is_exact():
     import numpy as np
 
@@ -112,6 +149,15 @@ def test_components(spark, seed):
     for a, b in edges:
         a, b = find(a), find(b)
         head[max(a, b)] = min(a, b)
-    got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).df.collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    assert components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).df.where(F.lit(True)).count() == 0
+
+
+def test_deduplicated_edge_rows(spark):
+    long = " ".join(f"w{i % 977}" for i in range(80_000))
+    docs = [(1, None, "a"), (2, "", "b"), (None, "x y z x y z", "c"), (4, long, "d"), (5, long + " end", "e"), (6, "x y z x y z", "f"), (6, "x y z x y z", "f")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, keys string")
+    kept = sorted((str(r.doc_id), r.keys_) for r in J.without_near_duplicates(df).withColumnRenamed("keys", "keys_").collect())
+    assert kept == [("1", "a"), ("2", "b"), ("4", "d"), ("6", "f")]
+    assert J.without_near_duplicates(df.limit(0)).count() == 0
