@@ -6,62 +6,90 @@ add (Becker, Ducas, Gama, Laarhoven, "New directions in nearest neighbor searchi
 meet in its tile; a sketch of signs drops tile rows without any near neighbour, and cosines in double precision decide
 the rest. Each pair counts in the smallest of its common tiles alone, and each tile returns one row for each of its
 vectors (links counted, smallest vector of its local component), so a group of g near copies costs g rows a tile, not
-g * g. Caps are as wide as the number of dimensions asks for; the few vectors that pass hardly any filter are compared
-with all others of their label, block by block.
+g * g. The reach follows from the number of dimensions and the cosine, by one rule at every size: vectors at just that
+cosine are to have EXPECTED filters in common. The few vectors that pass no filter are compared with all others of their
+label, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.ngram_join import _groups, mixed
+from larkspur.llm.ngram_join import grouped, mixed
 from larkspur.llm.shared import Table, components, partitions_of, read_table, through_arrow
 
 COSINE = 0.93
-#: Bits of the sign sketch, and differing bits up to which a pair is looked at: at cosine 0.93 the mean is 15 of 128,
-#: the standard deviation 3.7; unrelated vectors differ in 64.
-SKETCH_BITS, SKETCH_MOST = 128, 36
-TILE = 1_024
+SKETCH_BITS = 128
+#: Share of pairs at the threshold that the sketch may drop.
+SKETCH_MISSES = 1e-9
+#: Vectors of a tile's side.
+TILE = 512
 #: Tiles beyond this size skip the sketch: they hold groups of near copies, which it would pass anyway.
 SKETCH_TILE = 256
-
-
-#: Vectors that pass fewer filters are compared exactly: of random ones 3 in 1,000 for the first plan, next to none for the second.
-FEW = 4
-#: Dimensions for which the plans' reach is set.
-PLAN_DIM = 64
+#: Filters that two vectors at the threshold have in common on average: of such pairs 998 in 1,000 share one.
+EXPECTED = 20
+#: Blocks of a code, codes, and the most words of a block; where vectors would pass more than MOST_FILTERS, in few
+#: dimensions or at low cosines, blocks have fewer words.
+BLOCKS, CODES, WORDS, MOST_FILTERS = 2, 10, 256, 160
+#: Shorter vectors are lengthened by zeros, which changes no cosine.
+LEAST_DIM = 8
+#: Vectors that pass fewer filters are compared exactly.
+FEW = 1
+#: Vectors whose filters are counted to learn which are common, and the filters listed, at most: those are dealt out by
+#: partial sums. The list has no bearing on the result.
+SAMPLE, COMMON, COMMON_FROM = 4_000, 20_000, 20
+
+
+def _cap_shares(reach: float, cosine: float, dim: int) -> tuple[float, float]:
+    """Share of directions that a unit vector exceeds `reach` in, and that two vectors at `cosine` both do, for random directions in `dim` dimensions."""
+    at = (np.arange(1, 20001) - 0.5) / 20000
+    log = (dim - 3) / 2 * np.log1p(-at * at)
+    density = np.exp(log - log.max())
+    one = density[at >= reach].sum() / density.sum() / 2
+    # the part of a direction in the vectors' plane has length r with this density, and an even angle
+    log = np.log(at) + (dim - 4) / 2 * np.log1p(-at * at)
+    density = np.exp(log - log.max())
+    wide = np.where(at > reach, np.arccos(np.minimum(1.0, reach / at)) - acos(cosine) / 2, 0.0)
+    return float(one), float((np.maximum(0.0, wide) / pi * density).sum() / density.sum())
 
 
 @lru_cache(maxsize=64)
-def _reach(reach: float, dim: int) -> float:
-    """The reach of a cap in `dim` dimensions that holds the share of the sphere that `reach` gives in PLAN_DIM."""
-    at = np.linspace(-1, 1, 20001)[1:-1]
-
-    def share(x: float, d: int) -> float:
-        log = (d - 3) / 2 * np.log1p(-at * at)
-        density = np.exp(log - log.max())
-        return float(density[at >= x].sum() / density.sum())
-
-    low, high, want = 0.0, reach, share(reach, PLAN_DIM)
-    for _ in range(40):
-        middle = (low + high) / 2
-        low, high = (middle, high) if share(middle, dim) > want else (low, middle)
-    return low
+def code_plan(dim: int, cosine: float = COSINE) -> tuple[int, int, int, float]:
+    """(blocks, words a block, codes, reach) for vectors of `dim` dimensions that are to be found at `cosine` and above.
 
+    The reach is the largest at which two vectors at `cosine` have EXPECTED filters in common; of the numbers of words
+    the largest counts whose filters a vector stay within MOST_FILTERS, or that with the fewest filters.
+    """
+    plans, dim = [], max(dim, LEAST_DIM)
+    words = WORDS
+    while words >= 8:
+        total, low, high = CODES * words**BLOCKS, 0.0, 1.0
+        for _ in range(40):
+            middle = (low + high) / 2
+            low, high = (middle, high) if total * _cap_shares(middle, cosine, dim)[1] > EXPECTED else (low, middle)
+        plans.append((total * _cap_shares(low, cosine, dim)[0], words, low))
+        if plans[-1][0] <= MOST_FILTERS:
+            break
+        words //= 2
+    filters, words, reach = plans[-1] if plans[-1][0] <= MOST_FILTERS else min(plans)
+    return BLOCKS, words, CODES, reach
 
-def code_plan(n: int, dim: int = PLAN_DIM) -> tuple[int, int, int, float]:
-    """(blocks, words a block, codes, reach) for n vectors of `dim` dimensions: of pairs at cosine 0.93 they find 98 in 100 or more, of closer ones nearly all.
 
-    More vectors take more and narrower caps, so that a cap holds few unrelated vectors. More dimensions take caps of
-    less reach, so that a vector passes as many filters; fewer than PLAN_DIM keep the reach and pass more.
-    """
-    blocks, words, codes, reach = (2, 64, 8, 0.38) if n <= 1_000_000 else (2, 256, 10, 0.44)
-    return blocks, words, codes, reach if dim <= PLAN_DIM else _reach(reach, dim)
+@lru_cache(maxsize=64)
+def sketch_most(cosine: float) -> int:
+    """Differing bits up to which a pair is looked at: of pairs at `cosine` at most SKETCH_MISSES differ in more."""
+    p, seen = acos(min(1.0, cosine)) / pi, 0.0
+    for n in range(SKETCH_BITS + 1):
+        seen += comb(SKETCH_BITS, n) * p**n * (1 - p) ** (SKETCH_BITS - n)
+        if 1 - seen <= SKETCH_MISSES:
+            return n
+    return SKETCH_BITS
 
 
 @lru_cache(maxsize=8)
@@ -115,32 +143,28 @@ def _passed(batches: Iterator[pa.RecordBatch], plan: Callable[[int], tuple[int,
             batch = whole.slice(at, 1024)
             node, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for rows, x in _by_shape(batch, 2):
-                unit, dim = _units(x), x.shape[1]
+                dim = x.shape[1]
+                unit = np.pad(_units(x), ((0, 0), (0, max(0, LEAST_DIM - dim))))
                 blocks, words, codes, reach = plan(dim)
-                yield node[rows], label[rows], dim, [list_decode(unit, *product_code(dim, blocks, words, r), reach) for r in range(codes)]
+                yield node[rows], label[rows], dim, [list_decode(unit, *product_code(unit.shape[1], blocks, words, r), reach) for r in range(codes)]
+
 
+def _filters(plan: Callable[[int], tuple[int, int, int, float]], few: int):
+    """Rows (key, node) for the filters that each vector passes, and (null, node) for vectors that pass fewer than `few`."""
 
-def _filters(plan: Callable[[int], tuple[int, int, int, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, label, dim, passed in _passed(batches, plan):
             keys, nodes = [], []
+            n = np.zeros(len(node), np.int64)
             for r, (row, key) in enumerate(passed):
                 with np.errstate(over="ignore"):
                     k = mixed(mixed(label[row].view(np.uint64) + np.uint64(dim)) + mixed(key.view(np.uint64) * np.uint64(len(passed)) + np.uint64(r)))
                 keys.append(k.view(np.int64))
                 nodes.append(node[row])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    return run
-
-
-def _fewer(plan: Callable[[int], tuple[int, int, int, float]], few: int):
-    """Nodes that pass fewer than `few` filters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, _, _, passed in _passed(batches, plan):
-            n = sum(np.bincount(row, minlength=len(node)) for row, _ in passed)
-            yield pa.RecordBatch.from_arrays([pa.array(node[n < few])], ["few_node"])
+                n += np.bincount(row, minlength=len(node))
+            rest = node[n < few]
+            none = pa.array(np.concatenate([*keys, np.zeros(len(rest), np.int64)]), mask=np.concatenate([*(np.zeros(len(k), bool) for k in keys), np.ones(len(rest), bool)]))
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.concatenate([*nodes, rest]))], ["key", "node"])
 
     return run
 
@@ -174,22 +198,26 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tiles (members, node, sketch) the rows that have another within SKETCH_MOST bits."""
-    members, nodes = [], []
-    for rows in _runs(batches, ["members"]):
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        differ = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
-        np.fill_diagonal(differ, SKETCH_BITS)
-        keep = np.flatnonzero((differ <= SKETCH_MOST).any(axis=1))
-        if len(keep):
-            members.append(rows.column("members").to_numpy()[keep])
-            nodes.append(rows.column("node").to_numpy()[keep])
-        if len(members) > 1000:
+def _near_rows(most: int):
+    """Of tiles (members, node, sketch) the rows that have another within `most` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, nodes = [], []
+        for rows in _runs(batches, ["members"]):
+            bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+            differ = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            np.fill_diagonal(differ, SKETCH_BITS + 1)
+            keep = np.flatnonzero((differ <= most).any(axis=1))
+            if len(keep):
+                members.append(rows.column("members").to_numpy()[keep])
+                nodes.append(rows.column("node").to_numpy()[keep])
+            if len(members) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(np.concatenate(nodes))], ["members", "node"])
+                members, nodes = [], []
+        if members:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(np.concatenate(nodes))], ["members", "node"])
-            members, nodes = [], []
-    if members:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(np.concatenate(nodes))], ["members", "node"])
+
+    return run
 
 
 def _heads(node: np.ndarray, link: np.ndarray) -> np.ndarray:
@@ -296,46 +324,52 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, plan: tuple[int, in
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their vectors have the same number of dimensions, and their
-    cosine is `cosine` or more. Null, zero, or non-finite vectors and null labels link with nothing. Repeated rows are
-    vectors each and link with each other; equal vectors go through the tiles once, with their number as weight. An
-    empty table gives no rows; other columns are ignored.
+    cosine is `cosine` (above 0) or more. No pair below it links; of pairs at just that cosine 998 in 1,000 are found, of closer ones
+    nearly all, whatever the number of dimensions and rows (`plan` sets blocks, words, codes and reach otherwise). Null,
+    zero, or non-finite vectors and null labels link with nothing. Repeated rows are vectors each and link with each
+    other; equal vectors, told by 128 bits of hash, go through the tiles once, with their number as weight. A null
+    vec_id is never the smallest if others are there; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("node", F.when(valid_vector("embedding") & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
-    rows = Table(rows, "vectors").df
-    reps = rows.where("node is not null").groupBy("node").agg(F.first(F.struct("label", "embedding")).alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("low"))
-    reps = Table(reps.select("node", "x.label", "x.embedding", "weight", "low"), "nodes").df
-    n = reps.count()
-    plan_of = (lambda dim: plan) if plan else lambda dim: code_plan(n, dim)
-    few = Table(through_arrow(reps.select("node", "label", "embedding"), _fewer(plan_of, FEW), "few_node long"), "few").df
-    passed = through_arrow(reps.select("node", "label", "embedding"), _filters(plan_of), "key long, node long")
-    met = through_arrow(passed.repartition(partitions_of(spark), "key").sortWithinPartitions("key"), _groups, "members long, node long").distinct()
-    met = Table(met, "tiles").df
-    sizes = met.groupBy("members").agg(F.count("*").alias("size"))
-    sketches = through_arrow(reps.select("node", "embedding"), _sketches, "node long, sketch binary")
-    sized = met.join(sizes, "members")
-    small = sized.where(F.col("size") <= SKETCH_TILE).join(sketches, "node").select("members", "node", "sketch")
-    small = through_arrow(small.repartition(partitions_of(spark), "members").sortWithinPartitions("members"), _near_rows, "members long, node long")
-    live = Table(small.union(sized.where(F.col("size") > SKETCH_TILE).select("members", "node")), "tiles").df
-    lists = live.groupBy("node").agg(F.collect_list("members").alias("tiles"))  # at most the filters of one vector
+    valid = valid_vector("embedding") & F.col("label").isNotNull()
+    rows = rows.select("vec_id", F.when(valid, F.xxhash64(F.lit(1), "label", "embedding")).alias("one"), F.when(valid, F.xxhash64(F.lit(2), "label", "embedding")).alias("two"), F.when(valid, F.struct("label", "embedding")).alias("x"))
+    kinds = rows.where("one is not null").groupBy("one", "two").agg(F.first("x").alias("x"), F.count("*").alias("weight"), F.min("vec_id").alias("low"))
+    whole = Table(kinds.select(F.monotonically_increasing_id().alias("node"), "one", "two", "x.label", "x.embedding", "weight", "low"), "nodes")
+    reps, plan_of = whole.df, (lambda dim: plan) if plan else lambda dim: code_plan(dim, cosine)
+    thin = reps.select("node", "label", "embedding")
+
+    some = thin.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, reps.count()))))
+    common = through_arrow(some, _filters(plan_of, 0), "key long, node long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    common = Table(common.orderBy(F.desc("n"), "key").limit(COMMON).select("key"), "common")
+
+    passed = Table(through_arrow(thin, _filters(plan_of, FEW), "key long, node long"), "filters")
+    met = Table(grouped(passed.df.where("key is not null"), common.df), "tiles")
+    small = met.df.where(F.col("size") <= SKETCH_TILE).select("members", "node")
+    small = small.join(through_arrow(reps.select("node", "embedding"), _sketches, "node long, sketch binary"), "node").select("members", "node", "sketch")
+    small = through_arrow(small.repartition(partitions_of(spark), "members").sortWithinPartitions("members"), _near_rows(sketch_most(cosine)), "members long, node long")
+    large = met.df.where(F.col("size") > SKETCH_TILE).select("members", "node", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    live = Table(small.withColumn("blocks", F.lit(1)).union(large), "tiles")
+    lists = live.df.groupBy("node").agg(F.collect_list("members").alias("tiles"))  # at most the filters of one vector
     facts = reps.select("node", "embedding", "weight").join(lists, "node")
-    blocks = live.groupBy("members").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    tiles = live.join(blocks, "members").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tiles = live.df.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
     tiles = tiles.join(facts, "node").repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j")
     told = through_arrow(tiles, _link_tiles(cosine), "node long, links long, head long")
+    few = passed.df.where("key is null").select(F.col("node").alias("few_node"))
     if few.limit(1).count():
         told = told.union(_few_links(reps, few, lists, cosine))
-    told = Table(told, "links").df
-    comps = components(told.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    counts = told.groupBy("node").agg(F.sum("links").alias("links"))
-    named = reps.select("node", "weight", "low").join(counts, "node", "left").join(comps, "node", "left")
-    named = Table(named.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "low", F.coalesce("component_id", "node").alias("comp")), "named").df
+    told = Table(told, "links")
+    comps = components(told.df.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    counts = told.df.groupBy("node").agg(F.sum("links").alias("links"))
+    named = reps.select("node", "one", "two", "weight", "low").join(counts, "node", "left").join(comps.df, "node", "left")
+    named = Table(named.select("one", "two", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "low", F.coalesce("component_id", "node").alias("comp")), "named").df
+    for table in (whole, common, passed, met, live, told, comps):
+        table.drop()
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    facts = named.join(lows, "comp").select(F.col("node").alias("key"), "n_links", "component_id")
-    out = rows.join(facts, F.col("node") == F.col("key"), "left")
+    facts = named.join(lows, "comp").select(F.col("one").alias("k1"), F.col("two").alias("k2"), "n_links", "component_id")
+    out = rows.drop("x").join(facts, (F.col("one") == F.col("k1")) & (F.col("two") == F.col("k2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
@@ -344,5 +378,16 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN x IF c <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN low ON low.a = vec_id
+"""
+
 QUERIES = {"op2_embedding_dedup": op2_embedding_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_embedding_dedup": ORACLE}

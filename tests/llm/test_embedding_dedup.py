@@ -55,6 +55,8 @@ def test_equals_all_pairs(spark, monkeypatch, case):
     rows = {"edge": EDGE, "pairs": vectors(1, 400, 64, 3, 0.25), "hot": vectors(2, 120, 64, 1000, 0.02) + [(1000 + a, b, c) for a, b, c in vectors(3, 60, 64, 2, 0.1)], "empty": []}[case]
     if case == "hot":
         monkeypatch.setattr(E, "TILE", 16)
+        monkeypatch.setattr(E, "SKETCH_TILE", 8)
+        monkeypatch.setattr(E, "COMMON_FROM", 2)
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, node string").repartition(3)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df).collect())
@@ -65,42 +67,53 @@ def test_equals_all_pairs(spark, monkeypatch, case):
         assert sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in want) and all(a[1] <= b[1] for a, b in zip(got, want)) and sum(x[1] for x in want) > 100
 
 
-def test_recall_at_the_threshold():
-    """Of pairs at cosine 0.93 exactly, 98 in 100 share a filter of each plan."""
-    rng = np.random.default_rng(5)
-    for n in (1000, 10**8):
-        blocks, words, codes, reach = E.code_plan(n)
-        x = rng.standard_normal((300, 64))
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        u = rng.standard_normal((300, 64))
-        u -= (u * x).sum(axis=1)[:, None] * x
-        u /= np.linalg.norm(u, axis=1)[:, None]
-        y = 0.93 * x + np.sqrt(1 - 0.93**2) * u
-        met = np.zeros(300, bool)
-        for r in range(codes):
-            code = E.product_code(64, blocks, words, r)
-            a, b = (set(zip(*(z.tolist() for z in E.list_decode(v, *code, reach)))) for v in (x, y))
-            for row, _ in a & b:
-                met[row] = True
-        assert met.mean() >= 0.98
-
-
-@pytest.mark.parametrize("dim", [65, 128, 384, 768])
-def test_recall_and_filters_do_not_follow_the_dimension(dim):
+@pytest.mark.parametrize("cosine", [0.8, 0.93, 0.99])
+@pytest.mark.parametrize("dim", [3, 8, 32, 64, 128, 384, 768])
+def test_recall_at_the_threshold(dim, cosine):
+    """Of pairs at just the threshold 98 in 100 and more share a filter, at any width, with a bounded number of filters a vector."""
     rng = np.random.default_rng(dim)
-    for n in (1000, 10**8):
-        *plan, reach = E.code_plan(n, dim)
-        x, u = rng.standard_normal((2, 400, dim))
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        u -= (u * x).sum(axis=1)[:, None] * x
-        y = 0.93 * x + np.sqrt(1 - 0.93**2) * u / np.linalg.norm(u, axis=1)[:, None]
-        met, passed = np.zeros(400, bool), 0
-        for r in range(plan[2]):
-            code = E.product_code(dim, *plan[:2], r)
-            a, b = (set(zip(*(z.tolist() for z in E.list_decode(v, *code, reach)))) for v in (x, y))
-            met[[row for row, _ in a & b]] = True
-            passed += len(a)
-        assert met.mean() >= 0.98 and passed <= 2 * 400 * (29 if n == 1000 else 81)
+    blocks, words, codes, reach = E.code_plan(dim, cosine)
+    x, u = rng.standard_normal((2, 500, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u -= (u * x).sum(axis=1)[:, None] * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    x, y = (np.pad(v, ((0, 0), (0, max(0, E.LEAST_DIM - dim)))) for v in (x, y))
+    met, passed = np.zeros(500, bool), 0
+    for r in range(codes):
+        code = E.product_code(x.shape[1], blocks, words, r)
+        a, b = (set(zip(*(z.tolist() for z in E.list_decode(v, *code, reach)))) for v in (x, y))
+        met[[row for row, _ in a & b]] = True
+        passed += len(a)
+    assert met.mean() >= 0.98 and passed <= 1.5 * 500 * E.MOST_FILTERS
+
+
+def test_cap_shares_equal_counts():
+    rng = np.random.default_rng(3)
+    for dim, cosine, reach in ((8, 0.93, 0.6), (16, 0.8, 0.4), (64, 0.93, 0.2)):
+        f = rng.standard_normal((400_000, dim))
+        f /= np.linalg.norm(f, axis=1)[:, None]
+        one, two = f[:, 0] >= reach, cosine * f[:, 0] + np.sqrt(1 - cosine**2) * f[:, 1] >= reach
+        assert E._cap_shares(reach, cosine, dim) == pytest.approx((one.mean(), (one & two).mean()), rel=0.08)
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.93, 0.99])
+def test_sketch_keeps_pairs_at_the_threshold(cosine):
+    rng = np.random.default_rng(9)
+    x, u = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u -= (u * x).sum(axis=1)[:, None] * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    planes = rng.standard_normal((64, E.SKETCH_BITS))
+    assert (((x @ planes > 0) != (y @ planes > 0)).sum(axis=1) <= E.sketch_most(cosine)).all()
+    assert E.sketch_most(0.93) < 45
+
+
+def test_other_cosines(spark):
+    rows = vectors(12, 240, 32, 3, 0.7)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df, cosine=0.75).collect())
+    want = plain(rows, 0.75)
+    assert sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in want) > 50 and all(a[1] <= b[1] for a, b in zip(got, want))
 
 
 @pytest.mark.parametrize(("dim", "plan", "few"), [(384, None, 4), (64, (2, 16, 2, 0.9), 4), (64, None, 10**9), (64, (2, 64, 8, 0.5), 10**9)])
