@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosines of passages to notice templates, then inheritance from the nearest licensed directory.
 
 A passage is a stretch of words as long as a template and laid so that a cue word of both falls together; so headers,
-licence files and notices inside long texts are found alike, and texts without any cue word cost one search. Weights of
+licence files and notices inside long texts are found alike, and texts without any cue word cost one search. Short
+licences are templates whole, long ones by their opening; of like licences the one whose own words are there counts. Weights of
 terms come from counts over all texts. Directories, not files, are matched with licensed ancestors by a path join.
 """
 
@@ -11,33 +12,25 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.llm.license_texts import NOTICES, TEXTS
 from larkspur.llm.shared import Table, read_table, rows_in_chunks, through_arrow
 
-#: Notices by licence; each has a cue word (one that begins with licen, or a word of CUES).
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the 3-Clause BSD License", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "CC0-1.0": ("dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"),
-    "ISC": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"),
-    "LGPL-3.0": ("licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"),
-    "MIT": ("Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
-}
-CUES = ("redistribution", "permission", "dedicated")
+#: All templates by licence; each has a cue word (one that begins with licen, or a word of CUES).
+TEMPLATES: dict[str, tuple[str, ...]] = {name: (*NOTICES.get(name, ()), *TEXTS.get(name, ())) for name in sorted({*NOTICES, *TEXTS})}
+CUES = ("redistribution", "permission", "dedicated", "unlicense", "unencumbered", "cc0")
 SIMILAR = 0.8
-#: Words from the start in which a notice is a header, and the share of a text that makes it a licence file.
-HEADER_WORDS, FILE_SHARE = 200, 0.8
+#: Words from the start in which a notice is a header, and in which a licence's text makes a licence file, as does a notice that is so large a share of the text.
+HEADER_WORDS, FILE_WORDS, FILE_SHARE = 200, 40, 0.8
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+#: Cue words of a template by which it is laid on a text: its first ones.
+ANCHORS = 3
+#: Rows of one directory each that may be broadcast; more are salted.
+BROADCAST_ROWS, SALTS = 500_000, 32
 
 _TERM = re.compile(r"[^\W_]+")
 _CUE = re.compile("licen|" + "|".join(CUES))
@@ -51,44 +44,64 @@ def _is_cue(term: str) -> bool:
     return term.startswith("licen") or term in CUES
 
 
-_NOTICES = [(name, terms(t)) for name, ts in TEMPLATES.items() for t in ts]
-VOCABULARY = frozenset(w for _, t in _NOTICES for w in t)
+_TEMPLATES = [(name, terms(t), t in TEXTS.get(name, ())) for name, ts in TEMPLATES.items() for t in ts]
+VOCABULARY = frozenset(w for _, t, _ in _TEMPLATES for w in t)
+
+
+class Hit(NamedTuple):
+    """A passage like a template: its licence, cosine, first word and words, whether it is a licence's text, and the words of the whole text."""
+
+    license: str
+    similarity: float
+    start: int
+    size: int
+    is_text: bool
+    words: int
 
 
 class Scanner:
-    """Best template for a text, with weights log(1 + documents / (1 + documents with the term)); terms outside the templates weigh as unseen ones."""
+    """Templates that a text holds, with weights log(1 + documents / (1 + documents with the term)); terms outside the templates weigh as unseen ones."""
 
     def __init__(self, total: int, seen: dict[str, int]) -> None:
         self.idf = {w: math.log(1 + total / (1 + seen.get(w, 0))) for w in VOCABULARY}
         self.other = math.log(1 + total)
         self.at: dict[str, list[tuple[int, int]]] = {}
-        self.unit = []
-        for i, (_, words) in enumerate(_NOTICES):
-            v = {w: n * self.idf[w] for w, n in Counter(words).items()}
+        self.unit, self.bags = [], []
+        for i, (_, words, _) in enumerate(_TEMPLATES):
+            self.bags.append(Counter(words))
+            v = {w: n * self.idf[w] for w, n in self.bags[i].items()}
             size = math.sqrt(sum(x * x for x in v.values())) or 1.0
             self.unit.append({w: x / size for w, x in v.items()})
-            for o, w in enumerate(words):
-                if _is_cue(w):
-                    self.at.setdefault(w, []).append((i, o))
+            for o, w in [(o, w) for o, w in enumerate(words) if _is_cue(w)][:ANCHORS]:
+                self.at.setdefault(w, []).append((i, o))
 
     def cosine(self, passage: list[str], i: int) -> float:
         v = {w: n * self.idf.get(w, self.other) for w, n in Counter(passage).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return sum(x * self.unit[i].get(w, 0.0) for w, x in v.items()) / size if size else 0.0
 
-    def scan(self, text: str) -> tuple[str, float, int, int, int] | None:
-        """(licence, similarity, first word, words, words of the text), or None; ties go to the earlier passage, then the longer template."""
+    def evidence(self, passage: list[str], i: int) -> float:
+        """Weight of the template's words that are there, less that of those that are missing: a whole licence outdoes a line of it, and its own template one with other words."""
+        there = Counter(passage)
+        return sum((2 * min(n, there[w]) - n) * self.idf[w] for w, n in self.bags[i].items())
+
+    def scan(self, text: str) -> list[Hit]:
+        """Passages like a template that don't overlap, of overlapping ones that with the most evidence, then the earlier, longer one, then the licence's name; best first."""
         if not _CUE.search(text.lower()):
-            return None
-        words, best = terms(text), None
+            return []
+        words, found = terms(text), {}
         for p, w in enumerate(words):
             for i, o in self.at.get(w, ()):
-                start = p - o
-                size = len(_NOTICES[i][1])
-                s = self.cosine(words[max(0, start) : start + size], i)
-                if s >= SIMILAR and (best is None or (round(s, 9), -start, size) > best[0]):
-                    best = ((round(s, 9), -start, size), _NOTICES[i][0], s, max(0, start), size)
-        return (*best[1:], len(words)) if best else None
+                name, template, is_text = _TEMPLATES[i]
+                start, size = max(0, p - o), len(template)
+                passage = words[start : p - o + size]
+                if (start, i) not in found and (s := self.cosine(passage, i)) >= SIMILAR:
+                    found[start, i] = (-round(self.evidence(passage, i), 6), start, -size, name, Hit(name, s, start, size, is_text, len(words)))
+        out: list[Hit] = []
+        for *_, hit in sorted(found.values(), key=lambda x: x[:4]):
+            if all(hit.start + hit.size <= x.start or x.start + x.size <= hit.start for x in out):
+                out.append(hit)
+        return out
 
 
 def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -106,24 +119,28 @@ def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
-_SCAN = "id long, path string, license string, similarity double, role string"
+_SCAN = "id long, path string, license string, similarity double, role string, licenses array<string>"
+
+
+def _role(path: str | None, hit: Hit) -> str:
+    named = path is not None and re.match(FILE_NAME, path.rsplit("/", 1)[-1])
+    if named or hit.size >= FILE_SHARE * hit.words or hit.is_text and hit.start < FILE_WORDS:
+        return "file"
+    return "header" if hit.start < HEADER_WORDS else "body"
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """id, path, license, similarity, role (file, header or body) by each text's own words."""
+    """id, path, license, similarity, role (file, header or body) of each text's best notice by its own words, and the licenses of all its notices."""
     scanner = Scanner(*term_counts(files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in_chunks(batches, 2):
             rows = []
             for number, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hit = scanner.scan(text) if text else None
-                role = None
-                if hit:
-                    named = path is not None and re.match(FILE_NAME, path.rsplit("/", 1)[-1])
-                    role = "file" if named or hit[3] >= FILE_SHARE * hit[4] else "header" if hit[2] < HEADER_WORDS else "body"
-                rows.append((number, path, *(hit[:2] if hit else (None, None)), role))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+                hits = scanner.scan(text) if text else []
+                best = (hits[0].license, hits[0].similarity, _role(path, hits[0])) if hits else (None, None, None)
+                rows.append((number, path, *best, list(dict.fromkeys(h.license for h in hits))))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SCAN.split(", ")])
 
     return through_arrow(files.select(F.col("id").cast("long").alias("id"), "path", "text"), run, _SCAN)
@@ -134,13 +151,22 @@ def folder(path: str) -> F.Column:
     return F.regexp_replace(F.coalesce(path, F.lit("")), r"/?[^/]*$", "")
 
 
+def _with_nearest(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows with what `near` says of their dir; a directory with very many files meets its one row in many tasks."""
+    if near.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(near), "dir", "left")
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left").drop("salt")
+
+
 def licensed_files(files: DataFrame) -> DataFrame:
-    """id, path, license, similarity, origin (own or inherited), inherited_from for every row of `files` (id, path, text).
+    """id, path, license, similarity, origin (own or inherited), inherited_from, licenses for every row of `files` (id, path, text).
 
-    A file's own notice counts first; else the licence of the nearest directory above that has a licence file. Of
-    several licence files in a directory the most similar counts, then the first by path. Null and empty texts have no
-    notice, a null path is the root's; repeated rows are scanned each; an empty table gives no rows; other columns are
-    ignored.
+    A file's own notice counts first, of several the one with the most evidence; `licenses` lists all of them. Else the
+    licence of the nearest directory above that has a licence file counts. Of several licence files in a directory the
+    most similar counts, then the first by path, then by licence. Very long texts are scanned whole. Null and empty
+    texts have no notice, a null path is the root's; repeated rows are scanned each; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     rows = Table(scan_files(files).withColumn("dir", folder("path")), "scan").df
     owned = rows.where("role = 'file'").groupBy("dir").agg(F.min_by(F.struct("license", "dir"), F.struct(-F.col("similarity"), F.coalesce("path", F.lit("")), "license")).alias("x"))
@@ -150,11 +176,11 @@ def licensed_files(files: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     steps = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above"))
     near = steps.join(owned, "above").groupBy("dir").agg(F.max_by(F.struct("license", "above"), F.length("above")).alias("x"))
-    near = near.select("dir", F.col("x.license").alias("given"), F.col("x.above").alias("inherited_from"))
-    out = rows.join(near, "dir", "left")
+    near = Table(near.select("dir", F.col("x.license").alias("given"), F.col("x.above").alias("inherited_from")), "nearest").df
+    out = _with_nearest(rows, near)
     own = F.col("license").isNotNull()
     return out.select(
-        "id", "path", F.coalesce("license", "given").alias("license"), "similarity", F.when(own, "own").when(F.col("given").isNotNull(), "inherited").alias("origin"), F.when(~own, F.col("inherited_from")).alias("inherited_from")
+        "id", "path", F.coalesce("license", "given").alias("license"), "similarity", F.when(own, "own").when(F.col("given").isNotNull(), "inherited").alias("origin"), F.when(~own, F.col("inherited_from")).alias("inherited_from"), "licenses"
     )
 
 
