@@ -14,14 +14,14 @@ from larkspur.llm.shared import read_table, rows_in_chunks, through_arrow
 
 #: 2 ** BITS hashed features, so at most that many weights are collected and broadcast; L1 leaves a few hundred.
 BITS = 22
-#: Bound on the labelled rows that the model is fitted on, chosen by a hash of doc_id: about so many, of all that may be learnt from.
+#: Bound on the labelled rows that the model is fitted on, chosen by a hash of id and text: so many at most.
 TRAIN_ROWS = 6_000
-#: Passes over the sample; small samples get more, up to 20, until about EPOCHS * TRAIN_ROWS steps are made.
-EPOCHS = 3
+#: Steps of learning, and passes over the sample at most: passes are repeated until so many steps are made.
+STEPS, MOST_PASSES = 18_000, 20
 THRESHOLD = 0.7
 PAIR_VALUE = 0.4
 ALPHA, BETA, L2 = 1.0, 1.0, 0.02
-#: L1 at TRAIN_ROWS rows; it follows the square root of the rows, as the noise in a coordinate's gradient sum does.
+#: L1 at TRAIN_ROWS rows; it follows the square root of the rows (half of it at least), as the noise in a coordinate's gradient sum does.
 L1 = 3.0
 #: Words that a Python worker remembers.
 _WORDS_KEPT = 100_000
@@ -116,31 +116,29 @@ def learnable(doc_id: Column | str) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAIN_ROWS, steps: int = STEPS, l1: float = L1) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, weights) that are not zero, the bias at 2 ** bits. Null labels and ids are left out; without labels all weights are zero.
 
-    FTRL is sequential, so one task works through a sample of at most about `rows` labelled documents in a fixed
-    order; the rows are bounded by that parameter at any size of the input, and only sparse weights leave the task.
+    FTRL is sequential, so one task works through at most `rows` labelled documents in a fixed order, until it has made
+    `steps` steps or MOST_PASSES passes; only sparse weights leave the task. Documents are chosen by a hash of id and
+    text and equal ones are learnt from once, so that repeated ids and rows neither crowd the sample nor leave it empty.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)))
-    total = known.count()
+    total = docs.select("doc_id").join(known, "doc_id").count()
     if not total:
         return np.array([1 << bits]), np.zeros(1)
-    chosen = known.where(F.col("turn") < int((1 << 30) * min(1.0, rows / total)))
-    taught = min(rows, total)
-    l1, passes = max(L1 / 2, L1 * (taught / TRAIN_ROWS) ** 0.5), max(epochs, min(20, epochs * TRAIN_ROWS // taught))
-    # about `rows` rows at most, whatever the input: small enough to broadcast and to work through in one task
-    lesson = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "toxic", "text")
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30))
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(learnable("doc_id")).withColumn("turn", turn)
+    lesson = some.where(F.col("turn") < int((1 << 30) * min(1.0, 1.2 * rows / total))).join(known, "doc_id").dropDuplicates(["doc_id", "text"])
+    lesson = lesson.select("turn", "doc_id", "toxic", "text").orderBy("turn", "doc_id", "text").limit(rows)  # at most `rows`, in one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rest = Ftrl(1 << bits, l1=l1), []
         for batch in rows_in_chunks(batches, 3):
             for label, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                at = np.unique(features(text, bits)).astype(np.int32)
-                model.learn(at, values(at, bits), label)
-                rest.append((at, label))
-        for _ in range(passes - 1):
+                rest.append((np.unique(features(text, bits)).astype(np.int32), label))
+        model.l1 = l1 * max(0.5, (len(rest) / TRAIN_ROWS) ** 0.5)
+        for _ in range(min(MOST_PASSES, -(-steps // max(1, len(rest))))):
             for at, label in rest:
                 model.learn(at, values(at, bits), label)
         for low in range(0, len(model.z), 1 << 18):
@@ -149,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, rows: int = TRAI
             yield pa.RecordBatch.from_arrays([pa.array(at[w != 0].astype(np.int32)), pa.array(w[w != 0])], ["i", "w"])
 
     # at most 2 ** bits weights, by the size of the model
-    found = through_arrow(lesson.repartition(1).sortWithinPartitions("turn", "doc_id", "text"), run, "i int, w double", *_CACHE).toPandas()
+    found = through_arrow(lesson.sortWithinPartitions("turn", "doc_id", "text"), run, "i int, w double", *_CACHE).toPandas()
     return found.i.to_numpy().astype(np.int64), found.w.to_numpy()
 
 
@@ -179,8 +177,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text, ...).
 
-    Scores depend on the text alone. Null and empty texts get the bias's score; a null doc_id is not held out;
-    repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+    Scores depend on the text alone, on all of it however long it is; a score equal to the threshold counts as toxic.
+    Null and empty texts get the bias's score; a null doc_id is not held out; repeated rows are scored each; of several
+    labels of one id the highest counts; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = train(docs, labels, bits, rows)
     scored = score(docs.select("doc_id", "text"), model, bits)

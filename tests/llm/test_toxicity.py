@@ -70,3 +70,67 @@ def test_l1_drops_weights_without_signal():
         m.learn(at, np.ones(len(at)), label)
     w = m.weights(np.arange(101))
     assert w[0] > 1 and np.count_nonzero(w[1:100]) < 60
+
+
+class PlainFtrl:
+    """Per-coordinate FTRL-proximal as it is published, on dictionaries."""
+
+    def __init__(self, alpha, beta, l1, l2, bias):
+        self.z, self.n, self.alpha, self.beta, self.l1, self.l2, self.bias = {}, {}, alpha, beta, l1, l2, bias
+
+    def weight(self, i):
+        z, n, l1 = self.z.get(i, 0.0), self.n.get(i, 0.0), 0.0 if i == self.bias else self.l1
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - (l1 if z > 0 else -l1)) / ((self.beta + n**0.5) / self.alpha + self.l2)
+
+    def learn(self, row, label):
+        w = {i: self.weight(i) for i in row}
+        p = 1 / (1 + np.exp(-sum(w[i] * x for i, x in row.items())))
+        for i, x in row.items():
+            g = (p - label) * x
+            sigma = ((self.n.get(i, 0.0) + g * g) ** 0.5 - self.n.get(i, 0.0) ** 0.5) / self.alpha
+            self.z[i] = self.z.get(i, 0.0) + g - sigma * w[i]
+            self.n[i] = self.n.get(i, 0.0) + g * g
+
+
+def test_weights_equal_plain_ftrl(spark):
+    """The model of a small corpus, trained on the executors, against the plain one over the same rows in the same order."""
+    rows, labels = corpus(150, 6)
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = dict(zip(*(x.tolist() for x in T.train(docs, lab, bits=14, rows=80, steps=200, l1=1.0)), strict=True))
+    truth = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    from pyspark.sql import functions as F
+
+    turns = docs.where(T.learnable("doc_id")).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)).alias("turn")).orderBy("turn").collect()
+    turns = [r for r in turns if r.turn < int((1 << 30) * min(1.0, 1.2 * 80 / len(truth)))][:80]
+    m = PlainFtrl(T.ALPHA, T.BETA, 1.0 * max(0.5, (len(turns) / T.TRAIN_ROWS) ** 0.5), T.L2, 1 << 14)
+    for _ in range(min(T.MOST_PASSES, -(-200 // len(turns)))):
+        for r in turns:
+            at = set(T.features(r.text, 14).tolist())
+            m.learn({i: 1.0 if i < 1 << 13 else T.PAIR_VALUE for i in at} | {1 << 14: 1.0}, truth[r.doc_id])
+    want = {i: m.weight(i) for i in m.z if m.weight(i) != 0}
+    assert set(got) == set(want) and len(got) > 3
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_repeated_ids_and_rows_keep_the_sample_bounded(spark):
+    """A third of all rows with one id, and as many equal rows: the sample is neither empty nor larger than asked for."""
+    rows, labels = corpus(300, 7)
+    one = next(i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 3 != 1)
+    rows += [(one, f"vile w{i} w{i + 1}") for i in range(300)] + [(one, "vile rotten")] * 300 + [(None, "vile")] * 50
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")
+    fit = T.train(docs, lab, rows=100)
+    assert len(fit[0]) > 2
+    got = {r.doc_id: r.score for r in T.score_toxicity(docs, lab, rows=100).collect() if r.doc_id != one}
+    truth = {i: t for i, _, t in labels}
+    assert sum((got[i] >= 0.5) == bool(truth[i]) for i in got if i is not None) > 0.85 * 299
+
+
+def test_without_toxic_on_edge_rows(spark):
+    rows, labels = corpus(200, 8)
+    extra = [(9001, None), (9002, ""), (9003, "w1 " * 200_000), (9004, "vile " * 100_000), (None, "w1 w2"), (9005, "w3"), (9005, "w3")]
+    docs = spark.createDataFrame([(*r, 1.0, 7) for r in rows + extra], "doc_id long, text string, score double, toxic int")
+    kept = [r.doc_id for r in T.without_toxic(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert {9001, 9002, 9003, 9005, None} <= set(kept) and 9004 not in kept and kept.count(9005) == 2
+    assert T.without_toxic(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
