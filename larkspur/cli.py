@@ -15,6 +15,9 @@ from larkspur.plans import experiment
 from larkspur.plans.review_prompt import MODEL, dry_run_text, requests
 from larkspur.sources import tables
 
+#: Environment variable that holds a provider's key.
+KEY_VARIABLE = "LARKSPUR_KEY"
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("larkspur").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -63,7 +66,7 @@ def _reply(spark: SparkSession, a: argparse.Namespace) -> str:
 def _provider(a: argparse.Namespace):
     if not a.url:
         return Offline
-    key = tables.credential(None, "LARKSPUR_KEY")
+    key = tables.credential(None, KEY_VARIABLE)
     if a.command == "reply":
         return lambda url=a.url, key=key: choices_provider(url, key)
     return lambda url=a.url, key=key, head=a.key_header, model=a.model: blocks_provider(url, key, head, model)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
 import re
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from larkspur import cli
 from larkspur.functions import features
 from larkspur.functions.keywords import match_keywords, top_matching_keywords
 from larkspur.functions.text import has_text
@@ -274,6 +279,38 @@ def _summary_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("variant", "n", "errors", "m", "null_count", diagnostics.percent(F.col("opening_share")).alias("opening"), diagnostics.percent(F.col("greet_share")).alias("greet"), F.bround("mean_len", 0).cast("int").alias("mean_len"), "min_len", "max_len")
 
 
+def _spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether calls of one task are a pause apart, by the clock that each reply tells; a sample of 30 reviews."""
+    pause = 0.02
+    sample = experiment.seeded_sample(reviews(spark, sf_dir)).select("seq", F.lit("p").alias("prompt"))
+    told = responder.respond(sample, lambda: lambda request: str(time.monotonic()), tasks=1, pause=pause)
+    at = F.col("response").cast("double")
+    gap = at - F.lag(at).over(Window.partitionBy("status").orderBy(at))  # 30 rows
+    return told.select("status", gap.alias("gap")).agg(F.count("*").alias("n"), F.coalesce(F.min("gap") >= pause, F.lit(False)).alias("spaced"))
+
+
+def _command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes, first lines and errors of the command line, for the first nation as business and a fixed set of calls."""
+    path = scratch_path(spark, "cli")
+    first = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1)
+    first.select(F.to_json(F.struct(F.col("n_name").alias("business_name"))).alias("value")).write.text(f"{path}/business")
+    for name, rating in (("review", 5), ("bad", 9)):
+        first.select(F.to_json(F.struct(F.lit("Ann").alias("reviewer_name"), F.lit(rating).alias("rating"))).alias("value")).write.text(f"{path}/{name}")
+    calls = {"dry run": ["review", "--dry-run"], "offline": ["review"], "bad rating": ["bad"], "no file": ["none"], "no key": ["review", "--url", "http://127.0.0.1:9"]}
+    rows, kept = [], os.environ.pop(cli.KEY_VARIABLE, None)
+    try:
+        for name, (review, *more) in calls.items():
+            out, err = io.StringIO(), io.StringIO()
+            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+                code = cli.main(["reply", "--business", f"{path}/business", "--review", f"{path}/{review}", *more])
+            said = out.getvalue().split("\n")[0] if name == "dry run" else "a reply" if out.getvalue() else None
+            rows.append((name, code, said, err.getvalue()[:7] or None, "not set" in err.getvalue()))
+    finally:
+        if kept is not None:
+            os.environ[cli.KEY_VARIABLE] = kept
+    return spark.createDataFrame(rows, "call string, code int, said string, error string, lacks_key boolean")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "ab_summary": lambda s, d: diagnostics.summary(replies(s, d)).drop("null_count"),
@@ -312,6 +349,8 @@ QUERIES: dict[str, Query] = {
     "reply_failures": _failures,
     "unknown_tones": _unknown_tones,
     "http_exchange": _exchanged,
+    "spaced_calls": _spaced,
+    "command_lines": _command_lines,
     "summary_shown": _summary_shown,
     "report_lines": lambda s, d: diagnostics.report_lines(_faulty_replies(s, d)),
 } | {
@@ -407,6 +446,8 @@ ORACLES: dict[str, str] = {
     "http_exchange": f"""{_WITH_MATCHED}, p AS (SELECT review_id, md5({_PROMPT}) AS h FROM matched), v(provider) AS (VALUES ('choices'), ('blocks')),
         x AS (SELECT review_id, provider, h, CASE left(h, 1) WHEN '0' THEN 'http' WHEN '1' THEN 'bad_shape' WHEN '2' THEN 'bad_shape' WHEN '3' THEN 'network' WHEN '4' THEN 'no_credential' ELSE 'ok' END AS status FROM p, v)
         SELECT review_id, provider, status, CASE WHEN status = 'ok' THEN 'Reply to ' || h END AS text FROM x""",
+    "spaced_calls": "SELECT CAST(30 AS BIGINT) AS n, true AS spaced",
+    "command_lines": f"""SELECT * FROM (VALUES ('dry run', 0, 'model: {review_prompt.MODEL}', NULL, false), ('offline', 0, 'a reply', NULL, false), ('bad rating', 1, NULL, 'ERROR: ', false), ('no file', 1, NULL, 'ERROR: ', false), ('no key', 1, NULL, 'ERROR: ', true)) AS t("call", code, said, error, lacks_key)""",
     "summary_shown": f"WITH {_SHOWN} SELECT variant, n, errors, m, null_count, opening, greet, mean_len, min_len, max_len FROM shown",
     "report_lines": _REPORT,
     "variant_samples": f"WITH {_REPLIES}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY seq) AS INT) AS n FROM replies) SELECT variant, n, seq, rating, substr(review, 1, 100) AS review, response FROM r WHERE n <= 5",
