@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal values."""
-    return pseudonymise_documents(docs).drop("pii_spans")
+    return pseudonymise_documents(docs, spans=None)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each one's result written and read again as the next one's input."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), name).df
+        made = Table(stage(spark, docs, sf_dir), name)
+        if last:
+            last.drop()
+        docs, last = made.df, made
     return STAGES[-1][1](spark, docs, sf_dir)
