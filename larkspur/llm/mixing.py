@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm.shared import Table, partitions_of, read_table
 
@@ -62,9 +62,9 @@ def _exact_sum(x: Column) -> Column:
 
 
 def _counted(state: DataFrame) -> tuple[Table, int]:
-    """The multipliers in the shared folder, and how many sources are open still, counted as they are written."""
-    seen = Observation()
-    return Table(state.observe(seen, F.count_if("open").alias("open")), "multipliers"), seen.get["open"]
+    """The multipliers in the shared folder, and whether any source is open still."""
+    table = Table(state, "multipliers")
+    return table, table.df.where("open").limit(1).count()
 
 
 def rates(thin: DataFrame, goals: DataFrame, most: float = MOST, tilt: str = "tilt") -> DataFrame:

@@ -7,7 +7,7 @@ import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.sources.shared import drop_path, scratch_path
 
@@ -61,10 +61,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     input gives no rows.
     """
 
-    def held(rows: DataFrame) -> tuple[Table, dict]:
-        """The edges in the shared folder, with their number and a hash of all, which are taken as they are written."""
-        seen = Observation()
-        return Table(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges"), seen.get
+    def held(rows: DataFrame) -> tuple[Table, tuple]:
+        """The edges in the shared folder, with their number and a hash of all."""
+        table = Table(rows, "edges")
+        return table, tuple(table.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now, done = held(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
