@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -74,8 +73,7 @@ def _provider(a: argparse.Namespace):
 
 def _experiment(spark: SparkSession, a: argparse.Namespace) -> str:
     rows = experiment.run(tables.read_sheet(spark, a.sheet), a.business_name, _provider(a), size=a.sample, pause=a.pause if a.url else 0.0)
-    os.makedirs(os.path.dirname(os.path.abspath(a.out)), exist_ok=True)
-    tables.write_result(rows, a.out)
+    tables.write_result(rows, a.out)  # the writer makes the folders above, on any file system
     return f"Saved to {a.out}"
 
 

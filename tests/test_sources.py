@@ -62,6 +62,6 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([*args, str(tmp_path / "r.json")]) == 0 and "next visit" in capsys.readouterr().out
     assert cli.main([*args, str(tmp_path / "bad.json")]) == 1 and "ERROR:" in capsys.readouterr().err
     (tmp_path / "s.csv").write_text("ReviewId,ReviewerName,Rating,Review\n" + "".join(f"{i},N{i},{i % 5 + 1},fine {i}\n" for i in range(32)))
-    assert cli.main(["experiment", str(tmp_path / "s.csv"), str(tmp_path / "res"), "--business-name", "Gem House"]) == 0
-    assert cli.main(["report", str(tmp_path / "res")]) == 0
+    assert cli.main(["experiment", str(tmp_path / "s.csv"), str(tmp_path / "new" / "res"), "--business-name", "Gem House"]) == 0
+    assert cli.main(["report", str(tmp_path / "new" / "res")]) == 0
     assert "== A_no_grounding: 30 rows, 0 failed ==" in capsys.readouterr().out
