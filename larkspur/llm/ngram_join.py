@@ -32,7 +32,7 @@ SAMPLE, COMMON, COMMON_FROM = 8_000, 100_000, 4
 #: Shingles of so many documents of the sample, or more, are grouped by partial sums.
 OFTEN_FROM = 20
 #: Members of a tile's side; a larger group is several tiles.
-TILE = 512
+TILE = 256
 #: Groups with more members tell which pairs another such group has compared already.
 LARGE = 64
 #: Rows of two longs that may be broadcast.

@@ -82,7 +82,7 @@ def test_common_order_does_not_matter(spark, monkeypatch):
     assert found(spark, docs) == plain(docs)
 
 
-@pytest.mark.parametrize("often", [1, 3, 10**9])
+@pytest.mark.parametrize("often", [1, 10**9])
 def test_common_shingles_are_grouped_alike(spark, monkeypatch, often):
     monkeypatch.setattr(J, "COMMON_FROM", 2)
     monkeypatch.setattr(J, "OFTEN_FROM", often)
@@ -106,7 +106,7 @@ def test_groups_of_both_ways(spark):
         assert {frozenset(v) for v in got.values()} == want and sum(map(len, got.values())) == sum(map(len, want))
 
 
-@pytest.mark.parametrize("num", [30, 50])
+@pytest.mark.parametrize("num", [30])
 def test_low_thresholds(spark, num):
     docs = [(i, t) for i, (_, t) in enumerate(crowd(7, 3, 8, 12, 60))] + [(100 + i, " ".join(t.split()[: 25 + 20 * (i % 4)])) for i, (_, t) in enumerate(crowd(7, 3, 8, 0, 60))]
     assert found(spark, docs, num=num) == plain(docs, num=num)
