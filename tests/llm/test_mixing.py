@@ -152,3 +152,14 @@ def test_empty_table(spark):
     none = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in M.mix(none).collect()] == [(0, 0.0, 0)] * 2
     assert M.word_count(F.lit("x")) is not None
+
+
+def test_mixed_edge_rows(spark):
+    rows = [(1, None, "a"), (2, "", None), (3, "w " * 300_000, "a"), (4, "w", "a"), (5, "same row", "b"), (5, "same row", "b"), (None, "no id here", "b")]
+    df = spark.createDataFrame([(*r, {"k": 1}, [r[0]]) for r in rows], "doc_id long, text string, source string, one map<string,int>, copies array<long>")
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns
+    taken, want = Counter(r.doc_id for r in out.collect()), Counter()
+    for r in M.mix(df).collect():
+        want[r.doc_id] += r.copies
+    assert taken == +want and set(taken) <= {r[0] for r in rows}
