@@ -21,7 +21,7 @@ from larkspur.llm.shared import read_table, rows_in_chunks, through_arrow
 from larkspur.llm.toxicity import Ftrl, sigmoid
 
 BITS = 16
-#: Documents, about, that the scorer is trained on: a bound at any size of the input.
+#: Documents that the scorer is trained on, at most: a bound at any size of the input.
 TRAIN_ROWS, EPOCHS = 6_000, 4
 KEEP_FROM = 0.5
 EM_STEPS, EM_STILL = 200, 1e-7
@@ -85,17 +85,27 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return at, np.sqrt(n / len(words))
 
 
+class _Classes(dict):
+    """What stands for a character in a shape, by code point: a for lower case, A for capitals, 9 for digits, else itself."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = shown = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdecimal() else c
+        return shown
+
+
+_classes, _run = _Classes(), re.compile(r"(.)\1{2,}")
+
+
 class _Shapes(dict):
     """Hashes of words' shapes: letters a, capitals A, digits 9, runs cut at three; frequent words stand for themselves."""
 
     def __missing__(self, word: str) -> int:
-        low = word.lower().strip(".,;:!?\"'")
-        if low in STOP:
+        if word.lower().strip(".,;:!?\"'") in STOP:
             shape = "=stop"
         else:
-            shape = re.sub(r"\d", "9", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word))
-            shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)
-        if len(self) >= 100_000:
+            shape = _run.sub(r"\1\1\1", word.translate(_classes))
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(shape)
         return h
@@ -140,9 +150,13 @@ def estimate(patterns: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, posterior: dict[str, float], total: int, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(indexes, weights) of a logistic model fitted to the posteriors on about `rows` documents at most, by one task in a fixed order."""
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
-    lesson = docs.select(turn.alias("turn"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("turn") < int((1 << 30) * min(1.0, rows / max(1, total))))
+    """(indexes, weights) of a logistic model fitted to the posteriors on at most `rows` different texts, by one task in a fixed order.
+
+    Texts are chosen by their hash and equal ones count once, so that copies neither crowd the sample nor leave it empty.
+    """
+    lesson = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("turn", F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 30)))
+    lesson = lesson.where(F.col("turn") < int((1 << 30) * min(1.0, 1.2 * rows / max(1, total)))).dropDuplicates(["text"])
+    lesson = lesson.select("turn", "text").orderBy("turn", "text").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl(1 << BITS, alpha=0.5, l1=0.3, l2=0.05), []
@@ -155,7 +169,7 @@ def train(docs: DataFrame, posterior: dict[str, float], total: int, rows: int =
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(w[keep])], ["i", "w"])
 
-    found = through_arrow(lesson.repartition(1).sortWithinPartitions("turn", "text"), run, "i int, w double", *_CACHE).toPandas()  # at most 2 ** BITS weights
+    found = through_arrow(lesson.sortWithinPartitions("turn", "text"), run, "i int, w double", *_CACHE).toPandas()  # at most 2 ** BITS weights
     return found.i.to_numpy().astype(np.int64), found.w.to_numpy()
 
 
@@ -163,8 +177,9 @@ def score_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, votes, posterior, score, kept for every row of `docs` (doc_id, text, ...).
 
     score is the linear model's, posterior the labellers'; kept is whether their mean is `keep_from` or more, so that
-    neither alone drops a text. Null and empty texts are bad by all labellers; repeated rows are scored each; an
-    empty table gives no rows; other columns are ignored.
+    neither alone drops a text. Both depend on the whole text alone, however long it is, so equal texts tie in all
+    columns. Null and empty texts are bad by all labellers; repeated rows and null ids are scored each; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     counts = voted(docs).groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers rows

@@ -42,3 +42,52 @@ def test_edge_rows(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert {r.votes for r in got if r.doc_id in (1, 2, 3)} == {"b" * len(Q.LABELLERS)}
     assert Q.score_quality(df.limit(0)).count() == 0
+
+
+def plain_em(rows, steps):
+    """EM document by document, in plain loops: share of good ones and each document's posterior."""
+    n = len(rows[0])
+    post = []
+    for r in rows:
+        cast = [c for c in r if c != "-"]
+        post.append(min(0.98, max(0.02, cast.count("g") / len(cast) if cast else 0.5)))
+    for _ in range(steps):
+        prior = (sum(post) + 1) / (len(post) + 2)
+        rate = {}
+        for k in range(n):
+            for good in (0, 1):
+                says = {v: 0.5 + sum((p if good else 1 - p) for r, p in zip(rows, post) if r[k] == v) for v in "bg"}
+                for v in "bg":
+                    rate[k, good, v] = says[v] / (says["b"] + says["g"])
+        new = []
+        for r in rows:
+            odds = [1 - prior, prior]
+            for k, c in enumerate(r):
+                if c != "-":
+                    odds = [odds[good] * rate[k, good, c] for good in (0, 1)]
+            new.append(odds[1] / (odds[0] + odds[1]))
+        moved, post = max(abs(a - b) for a, b in zip(new, post)), new
+        if moved < Q.EM_STILL:
+            break
+    return prior, post
+
+
+def test_em_equals_plain_em():
+    rng = np.random.default_rng(3)
+    rows = ["".join("-" if rng.random() < 0.2 else "bg"[int(t if rng.random() < a else not t)] for a in (0.9, 0.8, 0.7, 0.6)) for t in rng.random(400) < 0.6]
+    names, at, counts = np.unique(rows, return_inverse=True, return_counts=True)
+    post, _, prior = Q.estimate(names.tolist(), counts.astype(float))
+    want_prior, want = plain_em(rows, Q.EM_STEPS)
+    assert abs(prior - want_prior) < 1e-6 and np.abs(post[at] - np.array(want)).max() < 1e-6
+
+
+def test_copies_keep_the_sample_bounded(spark):
+    """Half of the rows are copies or null: the model is trained on different texts, no more than asked for."""
+    rows = [(None, None)] * 300 + [(1, "The same text, again and again.")] * 300 + [(i, f"Some words of text number {i}, which is a sentence.") for i in range(200)] + [(i, "### $$$ " * (i % 7 + 1)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index, value = Q.train(docs, by_majority(docs), len(rows), rows=50)
+    assert len(index) > 1 and np.isfinite(value).all()
+
+
+def by_majority(docs):
+    return {r.votes: 0.9 if r.votes.count("g") > r.votes.count("b") else 0.1 for r in Q.voted(docs).select("votes").distinct().collect()}
