@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.llm.shared import read_table, rows_in_chunks, scratch_path, through_arrow
@@ -93,22 +94,34 @@ def member(record: bytes) -> bytes:
     return (made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1]
 
 
-def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows_in_chunks(batches, 0):
-        yield pa.RecordBatch.from_arrays([pa.array(map(member, batch.column(0).to_pylist()), pa.binary())], ["value"])
+def _deflated(archive_bytes: int):
+    """Rows (value) to (archive, value): members, and the archive of each, which ends before it would outgrow `archive_bytes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held = TaskContext.get().partitionId(), 0, 0
+        for batch in rows_in_chunks(batches, 0):
+            names, members = [], []
+            for record in batch.column(0).to_pylist():
+                made = member(record)
+                if held and held + len(made) > archive_bytes:
+                    number, held = number + 1, 0
+                held += len(made) + 1
+                names.append(f"{task:06d}-{number:06d}")
+                members.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(members, pa.binary())], ["archive", "value"])
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record for each row of `pages` (page_id, url, html) to archives of about `archive_bytes`, deflated, in folder `path`.
+    """Writes a record for each row of `pages` (page_id, url, html) to archives of at most `archive_bytes`, or one longer record, deflated, in folder `path`.
 
     Null html is an empty payload, a null url is urn:unknown, a null page_id gets a record id made from url and
-    digest; all rows with the largest page_id of equal payloads are responses; an empty table writes no records;
-    other columns are ignored.
+    digest; all rows with the largest page_id of equal payloads are responses; very long payloads are records of their
+    own length; an empty table writes no records; other columns are ignored, whatever their names.
     """
-    n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    each = max(1, int(archive_bytes / max(1, (size or 0) / max(1, n) + 700)))
-    members = through_arrow(records(decided(pages, revisit_from)).select(F.col("value").cast("binary")), _deflated, "value binary")
-    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", each).text(path)
+    members = through_arrow(records(decided(pages, revisit_from)).select(F.col("value").cast("binary")), _deflated(archive_bytes), "archive string, value binary")
+    members.select("archive", F.col("value").cast("string")).write.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 class Record(NamedTuple):
@@ -289,7 +302,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """Rows of all archives in a folder: valid records, and gaps (reason is set) with their byte ranges.
 
     `number` and `refers_to_number` are the numbers in record ids that `record_id` made. Without `payloads` that
-    column is null.
+    column is null. Archives are read whole, so that they must be below 2 GB, as the writer's are; folders named
+    archive=... below the folder are read too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +328,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path, payloads=False).where("reason is null")
+    found = read_archives(spark, path, payloads=False)
+    # archives just written have no gaps; if one has, rows would be missing
+    found = found.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("a gap in "), "path", F.lit(": "), "reason")).cast("boolean")))
     return found.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_number").alias("refers_to"))
 
 

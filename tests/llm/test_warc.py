@@ -29,14 +29,14 @@ def expected(pages):
 
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*p, 0) for p in PAGES], "page_id long, url string, html string, payload int").repartition(3)
-    W.write_archives(df, str(tmp_path / "w"), archive_bytes=4000)
+    W.write_archives(df, str(tmp_path / "w"), archive_bytes=600)
     rows = W.read_archives(spark, str(tmp_path / "w")).collect()
-    assert all(r.reason is None for r in rows) and len(glob.glob(str(tmp_path / "w/part-*"))) > 3
+    assert all(r.reason is None for r in rows) and len(glob.glob(str(tmp_path / "w/*/part-*"))) > 3
     got = [(r.number, r.payload_bytes, r.payload_digest, r.type, r.refers_to_number) for r in rows]
     assert sorted(got, key=str) == sorted(expected(PAGES), key=str)
     html = {r.number: bytes(r.payload).decode() for r in rows if r.type == "response"}
     assert html[5] == BIG and html[2] == "" and {r.uri for r in rows if r.number in (2, 3)} == {"urn:unknown", "http://a/%20%203%20x"}
-    assert sum(len(gzip.decompress(open(f, "rb").read())) for f in glob.glob(str(tmp_path / "w/part-*"))) > 0
+    assert sum(len(gzip.decompress(open(f, "rb").read())) for f in glob.glob(str(tmp_path / "w/*/part-*"))) > 0
 
 
 def test_repeated_rows_and_empty_table(spark, tmp_path):
@@ -129,3 +129,17 @@ def test_record_numbers(spark):
     for n in (0, 1, -1, (1 << 63) - 1, -(1 << 63), 123456789):
         assert W.number_of(spark.range(1).select(W.record_id(F.lit(n).cast("long"), F.lit("s"))).first()[0]) == n
     assert W.number_of(spark.range(1).select(W.record_id(F.lit(None).cast("long"), F.lit("s"))).first()[0]) is None
+
+
+def test_archives_of_pages_of_very_unlike_sizes(spark, tmp_path):
+    """One very long page beside many short ones: archives are cut by their bytes, and all payloads come back, whatever their characters."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij é\u65e5\U0001f600\0\n\r") for _ in range(n))
+    rows = [(i, f"http://x/{i}", text(rng.randrange(50, 400))) for i in range(120)] + [(500, "http://x/long", text(400_000)), (501, None, None), (502, "http://x/y", "")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, archive string").repartition(2)
+    W.write_archives(df, str(tmp_path / "u"), archive_bytes=8_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "u").rglob("part-*") if not p.name.endswith(".crc")]
+    assert len(sizes) > 4 and sorted(sizes)[-2] <= 8_200 < max(sizes)
+    found = W.read_archives(spark, str(tmp_path / "u")).collect()
+    assert all(r.reason is None for r in found)
+    assert {r.number: bytes(r.payload).decode() for r in found} == {i: t or "" for i, _, t in rows}
