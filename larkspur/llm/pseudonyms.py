@@ -126,6 +126,17 @@ def _number(text: str, f: Feistel, inverse: bool) -> str | None:
     return _with_digits(text, head + str((luhn_digit(head) + 1 + off) % 10))
 
 
+def _phone_abroad(text: str, f: Feistel, inverse: bool) -> str | None:
+    """Numbers of other countries, of 8 to 15 digits: the country code stays, as it is set apart or else its first two digits."""
+    digits = _only_digits(text)
+    if not 8 <= len(digits) <= 15:
+        return None
+    apart = len(re.match(r"\+([0-9]+)", text)[1])
+    code = apart if apart <= 3 else 2
+    own = digits[code:]
+    return _with_digits(text, digits[:code] + str(f.permute(f"phone+{digits[:code]}", int(own), 10 ** len(own), inverse)).zfill(len(own)))
+
+
 def _phone(text: str, f: Feistel, inverse: bool) -> str | None:
     """North American numbers; a country code stays, and so does whether area and exchange begin with 0 or 1, which no number in service does.
 
@@ -174,14 +185,39 @@ def _ipv4(text: str, f: Feistel, inverse: bool) -> str | None:
     return ".".join(str(d + low[len(p)]) for d, p in zip(moved, parts, strict=True))
 
 
+def _hex_digits(text: str, tag: str, f: Feistel, inverse: bool) -> str:
+    """Hexadecimal digits, moved among those of their case; in capitals one letter at least stays one, in mixed case each kind is moved by itself."""
+    if not any(c in "ABCDEF" for c in text):
+        return _by_class(text, (_HEX,), tag, f, inverse)
+    if any(c in "abcdef" for c in text):
+        return _by_class(text, (_DIGIT, "abcdef", "ABCDEF"), tag, f, inverse)
+    while True:
+        text = _by_class(text, (_HEX.upper(),), tag, f, inverse)
+        if any(c in "ABCDEF" for c in text):
+            return text
+
+
+def _ipv6(text: str, f: Feistel, inverse: bool) -> str | None:
+    """Addresses in groups; groups keep their lengths."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return _hex_digits(text, "ip6", f, inverse) if text.strip(":") else None
+
+
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
 def _date(kind: str) -> Callable[[str, Feistel, bool], str | None]:
-    """Real dates from 1900 to 2099; a day has one pseudonym in every notation with padded fields, but for d/m/y, which stays among days after the 12th."""
+    """Real dates from 1900 to 2099; a day has one pseudonym in every notation with padded fields, but for d/m/y, which stays among days after the 12th. Dates with fields of one digit stay among those of the same form."""
 
     def move(text: str, f: Feistel, inverse: bool) -> str | None:
-        x = [int(p) for p in re.split(r"\D", text)]
+        fields = re.split(r"\D", text)
+        x = [int(p) for p in fields]
+        short = [len(p) for p in fields] if any(len(p) == 1 for p in fields) else None
+        if short and any(p[0] == "0" for p in fields):
+            return None
         try:
             day = dt.date(x[0], x[1], x[2]) if kind == "ymd" else dt.date(x[2], x[1], x[0]) if kind.startswith("dmy") else dt.date(x[2], x[0], x[1])
         except ValueError:
@@ -192,7 +228,11 @@ def _date(kind: str) -> Callable[[str, Feistel, bool], str | None]:
         while True:
             at = f.permute("date", at, _DAYS, inverse)
             new = dt.date.fromordinal(at + _DAY0)
-            if kind != "dmy/" or new.day > 12:  # else it would be read month first
+            if short:
+                order = (new.year, new.month, new.day) if kind == "ymd" else (new.day, new.month, new.year)
+                if [len(str(p)) for p in order] == short:
+                    return "".join(str(p) + text[i : i + 1] for p, i in zip(order, (short[0], short[0] + 1 + short[1], len(text)), strict=True))
+            elif kind != "dmy/" or new.day > 12:  # else it would be read month first
                 break
         y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         return _with_digits(text, y + m + d if kind == "ymd" else d + m + y if kind.startswith("dmy") else m + d + y)
@@ -224,22 +264,43 @@ def _key(text: str, f: Feistel, inverse: bool) -> str | None:
     return text[:4] + _by_class(text[4:], (_BASE32,), "key" + text[:4], f, inverse) if all(c in _BASE32 for c in text[4:]) else text[:4] + _by_class(text[4:], (_UPPER, _DIGIT), "keyx" + text[:4], f, inverse)
 
 
-def _hex(text: str, f: Feistel, inverse: bool) -> str | None:
-    return _by_class(text, (_HEX,), "hex", f, inverse)
+def _hexadecimal(text: str) -> bool:
+    return all(c in _HEX for c in text) or all(c in _HEX.upper() for c in text)
+
+
+def _secret(text: str, f: Feistel, inverse: bool) -> str | None:
+    """Passwords and tokens that hold a digit: hexadecimal ones stay so, characters of others move within their class."""
+    if not any(c in _DIGIT for c in text):
+        return None
+    whole = _hexadecimal(text)
+    while True:
+        text = _hex_digits(text, "hex", f, inverse) if whole else _by_class(text, (_LOWER, _UPPER, _DIGIT), "secret", f, inverse)
+        if any(c in _DIGIT for c in text) and _hexadecimal(text) == whole:
+            return text
+
+
+def _token(text: str, f: Feistel, inverse: bool) -> str | None:
+    return _by_class(text, (_LOWER, _UPPER, _DIGIT), "token", f, inverse) if any(c in _DIGIT for c in text) else None
 
 
-#: (kind, pattern, permutation), in order of precedence; a match that is not valid is left to the kinds that follow.
+#: What a text must hold, in lower case, before it is searched for secrets and for tokens.
+_SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey")
+_TOKEN_HEADS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "glpat-", "aiza")
+#: (kind, pattern, permutation), in order of precedence; a match (its group `value` if it has one) that is not valid is left to the kinds that follow.
 KINDS: list[tuple[str, re.Pattern, Callable[[str, Feistel, bool], str | None]]] = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"), _email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _key),
-    ("secret", re.compile(r"""(?<=password=)[0-9a-f]{8,64}(?![A-Za-z0-9])|(?<=token = ")[0-9a-f]{16,128}(?=")"""), _hex),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _ipv4),
+    ("token", re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(x.replace("aiza", "AIza") for x in _TOKEN_HEADS) + r")(?P<value>[A-Za-z0-9_-]{16,255})(?![A-Za-z0-9])"), _token),
+    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?i:""" + "|".join(_SECRET_NAMES) + r""")["']?[ ]?[=:][ ]?["']?(?P<value>[A-Za-z0-9_+/-]{8,128})(?![A-Za-z0-9])"""), _secret),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![0-9A-Za-z:])"), _ipv6),
+    ("ip", re.compile(r"(?<![0-9.])(?<![vV])(?<![vV]ersion )(?<![rR]elease )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _ipv4),
     ("card", re.compile(r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])"), _card),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z+.-])\+1[0-9]{10}(?![0-9A-Za-z])"), _phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,14}(?:[ .-]?\(?[0-9]{1,6}\)?){0,6}(?![0-9A-Za-z]|[.-][0-9])"), _phone_abroad),
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"), _ssn),
-    ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[-/.][0-9])"), _date("ymd")),
-    ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{2}([-.])[0-9]{2}\1[0-9]{4}(?![0-9]|[-/.][0-9])"), _date("dmy")),
+    ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[-/.][0-9])"), _date("ymd")),
+    ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{1,2}([-.])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[-/.][0-9])"), _date("dmy")),
     ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[-/.][0-9])"), _date("mdy")),
     ("date", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[-/.][0-9])"), _date("dmy/")),
     ("number", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z]|[.-][0-9])"), _number),
@@ -283,16 +344,19 @@ def _parsed(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
 
     Of values written in groups the first end that is valid counts; without one, the search goes on from the next group.
     """
-    f, taken = _CHECK, bytearray(len(text))
+    f, taken, low = _CHECK, bytearray(len(text)), text.lower()
+    held_back = {"secret": not any(x in low for x in _SECRET_NAMES), "token": not any(x in low for x in _TOKEN_HEADS)}
     held: list[tuple[int, int, int]] = []
     failed: list[tuple[int, int, int]] = []
     for k, (kind, pattern, move) in enumerate(KINDS):
-        at, ends = 0, _ENDS.get(kind)
+        if held_back.get(kind):
+            continue
+        at, ends, group = 0, _ENDS.get(kind), "value" if "value" in pattern.groupindex else 0
         while m := pattern.search(text, at):
-            start, at = m.start(), m.end()
+            start, at = m.start(group), m.end()
             if ends:
                 at = start + next((g.end() for g in _GROUP_END.finditer(m.group())), m.end() - start)
-            for end in (start + e for e in ends(m.group())) if ends else (m.end(),):
+            for end in (start + e for e in ends(m.group())) if ends else (m.end(group),):
                 if any(taken[start:end]):
                     continue
                 if move(text[start:end], f, False) is not None:
@@ -332,17 +396,19 @@ def pseudonymise(text: str, f: Feistel, inverse: bool = False) -> tuple[str, lis
 _SPANS = "array<struct<start:int,stop:int,kind:string>>"
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY, inverse: bool = False) -> DataFrame:
-    """All columns of `docs`, with `text` pseudonymised, and `pii_spans` (start, stop, kind in code points).
+def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY, inverse: bool = False, spans: str | None = "pii_spans") -> DataFrame:
+    """All columns of `docs`, with `text` pseudonymised, and `spans` (start, stop, kind in code points; None: no such column).
 
-    A null text stays null with no spans; equal values get equal pseudonyms in every row (but for one
-    whose pseudonym would make a valid card or IBAN with the groups beside it, which moves on); other columns pass through
-    (one named pii_spans is replaced). `inverse` with the same key restores the texts.
+    A null text stays null with no spans, an empty one empty; very long texts are searched whole; where values overlap the
+    kind that comes first in KINDS counts, then the earlier value; equal values get equal pseudonyms in every row (but
+    for one whose pseudonym would make a valid card or IBAN with the groups beside it, which moves on); repeated rows
+    stay equal; an empty table gives no rows; other columns pass through (one with the name `spans` is replaced).
+    `inverse` with the same key restores the texts.
     """
-    docs = docs.drop("pii_spans")
+    docs = docs.drop(spans) if spans else docs
     names = docs.columns
     at = [c.lower() for c in names].index("text")
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
+    marked = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
@@ -354,9 +420,9 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY, inverse: bool
                 marks.append([{"start": s, "stop": e, "kind": k} for s, e, k in held])
             cols = list(batch.columns)
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, spans)], [*names, "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, marked)], [*names, spans]) if spans else pa.RecordBatch.from_arrays(cols, names)
 
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", pii_spans {_SPANS}"
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + (f", `{spans}` {_SPANS}" if spans else "")
     return through_arrow(docs, run, schema)
 
 
