@@ -108,7 +108,9 @@ def _word_merger(spec: dict) -> _Words | None:
     for i, (core, end) in plain.items():
         if [x.id for x in (ended if end else bare).tokenize(core)] != [i]:
             return None
-    return _Words(Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
+    core = getattr(Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+    merge = getattr(core, "encode_single_piece", None)  # no public name: without it texts go through the tokenizer
+    return _Words(merge) if merge else None
 
 
 @lru_cache(maxsize=2)
@@ -302,8 +304,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     Returns a row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32 bit), doc_tokens,
     sequence_id, offset. Each id of each document (its text's, then `end_id`) is in exactly one piece; offsets in a
     sequence are gapless from 0. A null or empty text gives one piece with `end_id` alone; repeated rows are packed
-    as often as they occur; an empty table gives no rows; other columns are ignored. Only windows within `max_slack`
-    of full and sizes that are powers of two occur.
+    as often as they occur; very long texts are cut into windows; of pieces that tie in length any may come first, which
+    changes no sequence's size; an empty table gives no rows; other columns are ignored, whatever their names. Only
+    windows within `max_slack` of full and sizes that are powers of two occur.
     """
     if tokenizer_path is None:
         import public_tokenizers
