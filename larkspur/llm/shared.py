@@ -35,6 +35,18 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str, most: int = 1000) -> DataFrame:
+    """`rows` with the columns of `side`, which has one row for each `key` and in `n` how many of `rows` have it.
+
+    Keys with more than 1 in `most` of all rows, of which there are fewer than `most`, are broadcast; the others are
+    shuffled, so that no task holds more than that share for one key. Rows without a match are kept. Both are read twice.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(side.where(F.col(n) > total / most).drop(n))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(side.where(F.col(n) <= total / most).drop(n), key, "left")
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def rows_in_chunks(batches: Iterable[pa.RecordBatch], text: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `most` bytes of column `text`, or one row: bounded memory with very long texts."""
     for batch in batches:
