@@ -106,6 +106,8 @@ def _parts(column: pa.Array, size: int, parts: int) -> np.ndarray:
 def first_books(kept: DataFrame, size: int, parts: int, entries: int) -> np.ndarray:
     """parts x entries x width: the vectors of the smallest ids, ascending (null last); of one id's vectors the smallest."""
     ids = [r.vec_id for r in kept.select("vec_id").distinct().orderBy(F.col("vec_id").asc_nulls_last()).limit(entries).collect()]
+    if not ids:
+        return np.zeros((parts, 0, 0), np.int64)
     known = F.col("vec_id").isin([x for x in ids if x is not None])
     if None in ids:
         known = F.coalesce(known, F.lit(True))
