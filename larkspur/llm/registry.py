@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a query each.
-MODULES = ("embedding_dedup", "licenses", "mixing", "ngram_join", "packing", "prefix_trie", "pseudonyms", "quality", "toxicity", "vector_codes", "warc", "winnowing")
+MODULES = ("embedding_dedup", "language_model", "licenses", "mixing", "ngram_join", "packing", "prefix_trie", "pseudonyms", "quality", "toxicity", "vector_codes", "warc", "winnowing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

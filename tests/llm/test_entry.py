@@ -21,4 +21,4 @@ def test_missing_wheels_are_errors(wheel):
 def test_all_queries_are_listed():
     out = run("import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())")
     names = out.stdout.split()
-    assert out.returncode == 0 and "pipeline" in names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11))
+    assert out.returncode == 0 and "pipeline" in names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 14))
