@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.functions.automaton import shards_of, through_shards
 from larkspur.functions.text import has_text
 
 _WORD = r"[\p{L}\p{N}_]"
-_RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+#: The same: looking behind, Java sees whole characters beyond U+FFFF only where the pattern itself has one there.
+_BEHIND = "[\\p{L}\\p{N}_\U00010400]"
 
 
 def keyword_pattern(keyword: Column) -> Column:
@@ -18,7 +20,8 @@ def keyword_pattern(keyword: Column) -> Column:
     first, so that borders are looked at only where it stands.
     """
     literal = F.regexp_replace(keyword, r"([\\.^$*+?()\[\]{}|])", r"\\$1")
-    before = F.when(keyword.rlike(f"^{_WORD}"), f"(?<!{_WORD})").otherwise(f"(?<={_WORD})")
+    literal = F.when(keyword == "ß", "[ßẞ]").otherwise(literal)  # alone, the one letter that Java compares as it is
+    before = F.when(keyword.rlike(f"^{_WORD}"), f"(?<!{_BEHIND})").otherwise(f"(?<={_BEHIND})")
     after = F.when(keyword.rlike(f"{_WORD}\\z"), f"(?!{_WORD})").otherwise(f"(?={_WORD})")
     return F.concat(F.lit("(?iu)(?="), literal, F.lit(")"), before, literal, after)
 
@@ -35,28 +38,13 @@ def top_matching_keywords(text: Column, keywords: Column, most: Column) -> Colum
     return F.coalesce(F.when(has_text(text), F.slice(F.transform(found, lambda x: x["w"]), F.lit(1), most)), none)
 
 
-def _folded(text: Column) -> Column:
-    """Equal for texts that match each other in any case; some others are equal too, which only adds candidates."""
-    upper = F.replace(F.replace(F.upper(text), F.lit("İ"), F.lit("I")), F.lit("ẞ"), F.lit("SS"))
-    return F.lower(upper)
-
-
 def match_keywords(reviews: DataFrame, vocabulary: DataFrame, key: str = "review_id", most: int = 3) -> DataFrame:
-    """(key, keywords) for large vocabularies: texts and keywords meet by equal words, and only those that do are searched for.
+    """(key, keywords) for large vocabularies: one pass over each text finds all keywords, however many there are.
 
     `vocabulary` has (ord, keyword); it is one list for all reviews, in order of ord. Equal to `top_matching_keywords`
-    with that list, for every row of `reviews`, also where keys repeat. Runs of word characters and the runs between
-    them are what a keyword's borders keep whole: a keyword can only occur where its first word is a run of the text (of
-    keywords without a word: where it is such a run itself). Texts are known by a digest on the way, so that none is
-    copied for its candidates, and equal texts are looked up once.
+    with that list, for every row of `reviews`, also where keys repeat. Keywords are found by an automaton and kept
+    where they have borders; a text is left as soon as nothing that follows can come before what was found.
     """
-    words = vocabulary.where(has_text(F.col("keyword")))
-    first = F.regexp_extract("keyword", f"{_WORD}+", 0)
-    words = words.select("ord", "keyword", _folded(F.when(first != "", first).otherwise(F.col("keyword"))).alias("run"))
-    texts = reviews.where(has_text(F.col("review"))).withColumn("digest", F.sha2("review", 256))
-    # folded run by run: folding a whole text could move the borders of its runs
-    runs = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all("review", F.lit(_RUN), F.lit(0)))).alias("run"))
-    found = runs.select("digest", _folded(F.col("run")).alias("run")).distinct().join(words, "run").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("ord", "keyword"))).alias("candidates"))
-    named = reviews.withColumn("digest", F.sha2("review", 256)).join(found, "digest", "left")
-    listed = F.transform("candidates", lambda x: x["keyword"])
-    return named.select(key, top_matching_keywords(F.col("review"), listed, F.lit(most)).alias("keywords"))
+    shards = shards_of(vocabulary.where(has_text(F.col("keyword"))), "ord", "keyword")
+    texts = reviews.select(key, F.when(has_text(F.col("review")), F.col("review")).alias("review"))
+    return through_shards(texts, "review", shards, "keywords", "array<string>", lambda found: [w for _, _, w in found], most)

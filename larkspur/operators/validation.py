@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.features import LENGTH_TYPES
+from larkspur.operators.joins import join_side, unique
 from larkspur.plans import wording
 
 #: Optional columns and their defaults: approved_keywords an empty list, the rest null.
@@ -15,13 +16,15 @@ REQUIRED = ("business_name", "reviewer_name", "rating")
 def assemble(reviews: DataFrame, businesses: DataFrame, keywords: DataFrame | None = None, support: DataFrame | None = None, key: str = "business_id") -> DataFrame:
     """One wide row a review: its business, its business's approved keywords and support details, which may be missing.
 
-    The side tables have a row a business; joins are on the key, so that Spark broadcasts them while they are small.
+    The side tables have a row a business; a repeated key, which would double reviews, fails the job with its name. They
+    are put together first, so that reviews are joined once, a business of very many reviews in many tasks. Reviews
+    without a key or of an unknown business are left out.
     """
-    out = reviews.join(businesses, key)
-    for side in (keywords, support):
-        if side is not None:
-            out = out.join(side, key, "left")
-    return with_defaults(out)
+    side = unique(businesses, key, "businesses")
+    for more, name in ((keywords, "keywords"), (support, "support")):
+        if more is not None:
+            side = side.join(unique(more, key, name), key, "left")
+    return with_defaults(join_side(reviews, side, key, "inner"))
 
 
 def _only(rows: DataFrame) -> Column:

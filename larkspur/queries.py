@@ -26,6 +26,10 @@ from larkspur.sources.workbook import written
 #: Approved keywords of the derived reviews.
 APPROVED = ("the", "le", "und", "with", "worthless", "die", "la")
 
+# Phrases that replies have been seen to repeat.
+REPEATED = ("means a lot to us", "hope to see you again soon", "thank you so much for taking the time")
+# End of fixed values.
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -164,6 +168,18 @@ def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("ai_response_length_type", F.when(i % 19 == 0, "concise").otherwise(F.col("ai_response_length_type")))
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark's texts as approved keywords."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return table(spark, sf_dir, "benchmark").select("item_id", word.alias("keyword")).groupBy("keyword").agg(F.min("item_id").alias("ord"))
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every turn, and phrases that replies are known to repeat."""
+    known = spark.createDataFrame([(x,) for x in REPEATED], "phrase string")
+    return known.union(table(spark, sf_dir, "conversations").select(F.regexp_extract(F.lower("text"), r"^\S+ \S+", 0)))
+
+
 def _fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = experiment.builder_columns(experiment.seeded_sample(reviews(spark, sf_dir)), F.lit("Corner Cafe"))
     return experiment.fan_out(sample)
@@ -321,6 +337,8 @@ QUERIES: dict[str, Query] = {
     "length_settings": lambda s, d: _with_settings(s, d).select("review_id", "ai_response_length_type", "has_text", "word_limit", "keyword_count", "frequency_penalty", "presence_penalty", "temperature", "max_tokens"),
     "keyword_match": lambda s, d: reviews(s, d).select("review_id", F.array_join(top_matching_keywords(F.col("review"), F.col("approved_keywords"), F.lit(3)), "|").alias("keywords")),
     "keyword_match_exploded": lambda s, d: match_keywords(reviews(s, d), s.createDataFrame(list(enumerate(APPROVED)), "ord int, keyword string")).select("review_id", F.array_join("keywords", "|").alias("keywords")),
+    "keyword_vocabulary": lambda s, d: match_keywords(reviews(s, d), _vocabulary(s, d)).select("review_id", F.array_join("keywords", "|").alias("keywords")),
+    "phrase_shares": lambda s, d: diagnostics.phrase_shares(replies(s, d), _phrases(s, d)),
     "keyword_gate": lambda s, d: review_prompt.with_features(reviews(s, d)).select("review_id", "band", F.array_join(features.exposed_keywords(F.col("band"), F.col("matched")), "|").alias("keywords")),
     "token_line": lambda s, d: reviews(s, d).select("review_id", features.token_line(F.col("contact_number"), F.col("support_email"), F.col("website_url")).alias("tokens")),
     "contact_cta": lambda s, d: reviews(s, d).select("review_id", features.contact_call(F.col("rating"), features.has_contact(F.col("contact_number"), F.col("website_url"))).alias("call"), features.short_token_line(F.col("contact_number"), F.col("website_url")).alias("tokens")),
@@ -410,6 +428,14 @@ ORACLES: dict[str, str] = {
     "length_settings": f"WITH {_REVIEWS}, {_SETTINGS} SELECT review_id, ai_response_length_type, has_text, word_limit, keyword_count, frequency_penalty, presence_penalty, temperature, max_tokens FROM reviews JOIN settings USING (ai_response_length_type, has_text)",
     "keyword_match": f"{_WITH_MATCHED} SELECT r.review_id, coalesce((SELECT string_agg(w, '|' ORDER BY n) FROM places p WHERE p.review_id = r.review_id AND n <= 3), '') AS keywords FROM reviews r",
     "keyword_match_exploded": f"{_WITH_MATCHED} SELECT r.review_id, coalesce((SELECT string_agg(w, '|' ORDER BY n) FROM places p WHERE p.review_id = r.review_id AND n <= 3), '') AS keywords FROM reviews r",
+    "keyword_vocabulary": f"""WITH {_REVIEWS}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark),
+t AS (SELECT review_id, unnest(l) AS w, unnest(range(len(l))) AS place FROM (SELECT review_id, regexp_extract_all(lower(review), '[\\p{{L}}\\p{{N}}_]+') AS l FROM reviews)),
+f AS (SELECT review_id, w, min(place) AS place FROM t JOIN v USING (w) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY place) AS n FROM f)
+SELECT r.review_id, coalesce(k.keywords, '') AS keywords FROM reviews r LEFT JOIN (SELECT review_id, string_agg(w, '|' ORDER BY n) AS keywords FROM n WHERE n <= 3 GROUP BY 1) k USING (review_id)""",
+    "phrase_shares": f"""WITH {_REPLIES}, p AS (SELECT DISTINCT phrase FROM (SELECT unnest([{', '.join(map(_sql, REPEATED))}]) AS phrase
+  UNION ALL SELECT regexp_extract(lower(text), '^\\S+ \\S+') FROM conversations) WHERE phrase <> '')
+SELECT s.variant, p.phrase, count(g.response) AS n, CAST(count(g.response) AS DOUBLE) / s.m AS share FROM p CROSS JOIN sizes s
+LEFT JOIN good g ON g.variant = s.variant AND contains(lower(g.response), p.phrase) GROUP BY s.variant, p.phrase, s.m""",
     "keyword_gate": f"{_WITH_MATCHED} SELECT review_id, band, CASE WHEN band = 'Negative' THEN '' WHEN band = 'Neutral' THEN coalesce(kws[1], '') ELSE array_to_string(kws, '|') END AS keywords FROM matched",
     "token_line": f"WITH {_REVIEWS} SELECT review_id, {_TOKENS} AS tokens FROM reviews",
     "contact_cta": f"WITH {_REVIEWS} SELECT review_id, {_CALL} AS call, {_SHORT_TOKENS} AS tokens FROM reviews",
