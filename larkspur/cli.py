@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from larkspur.operators import diagnostics
+from larkspur.operators.ledger import Ledger
 from larkspur.operators.responder import Offline, blocks_provider, choices_provider, generate_replies
 from larkspur.operators.validation import strict, zip_single
 from larkspur.plans import experiment
@@ -39,7 +40,9 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--key-header", default="x-api-key")
     run.add_argument("--model", default=MODEL)
     run.add_argument("--sample", type=int, default=experiment.SAMPLE_SIZE)
-    run.add_argument("--pause", type=float, default=0.3)
+    run.add_argument("--pause", type=float, default=0.3, help="seconds between any two calls")
+    run.add_argument("--tasks", type=int, default=1, help="calls at one time")
+    run.add_argument("--ledger", help="folder of committed replies: a run that is started again asks for the rest alone")
     show = to.add_parser("report", help="diagnostics of an experiment's result")
     show.add_argument("result")
     return p
@@ -72,7 +75,7 @@ def _provider(a: argparse.Namespace):
 
 
 def _experiment(spark: SparkSession, a: argparse.Namespace) -> str:
-    rows = experiment.run(tables.read_sheet(spark, a.sheet), a.business_name, _provider(a), size=a.sample, pause=a.pause if a.url else 0.0)
+    rows = experiment.run(tables.read_sheet(spark, a.sheet), a.business_name, _provider(a), size=a.sample, tasks=a.tasks, spacing=a.pause if a.url else 0.0, ledger=Ledger(spark, a.ledger) if a.ledger else None, model=a.model)
     tables.write_result(rows, a.out)  # the writer makes the folders above, on any file system
     return f"Saved to {a.out}"
 
