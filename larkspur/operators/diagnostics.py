@@ -33,19 +33,28 @@ def opening_word(response: Column) -> Column:
     return F.lower(F.btrim(F.get(words(response), F.lit(0)), F.lit(".,!")))
 
 
-def summary(replies: DataFrame) -> DataFrame:
-    """A row a variant: n, errors, m (replies that count), opening_share, greet, greet_share, mean_len, min_len, max_len, null_count.
-
-    One pass: partial sums by variant and opening word, then by variant; a variant has few rows in the second step.
-    Shares are null for a variant without replies that count.
-    """
+def by_opening(replies: DataFrame) -> DataFrame:
+    """Partial sums by variant and opening word: what the summary, the opening words and the first rows are made of."""
     r = response_text(F.col("response"))
     ok = ~failed(F.col("response"))
     size = F.when(ok, F.size(words(r)))
     each = replies.select("variant", F.when(ok, opening_word(r)).alias("word"), ok.alias("ok"), (ok & F.lower(r).rlike(GREET_THEN_THANK)).alias("greets"), size.alias("len"), F.col("response").isNull().alias("missing"))
-    by_word = each.groupBy("variant", "word").agg(
+    return each.groupBy("variant", "word").agg(
         F.count("*").alias("n"), F.count_if("ok").alias("m"), F.count_if("greets").alias("greet"), F.sum("len").alias("len"), F.min("len").alias("low"), F.max("len").alias("high"), F.count_if("missing").alias("missing")
     )
+
+
+def summary(replies: DataFrame) -> DataFrame:
+    """A row a variant: n, errors, m (replies that count), opening_share, greet, greet_share, mean_len, min_len, max_len, null_count.
+
+    One pass: partial sums by variant and opening word, then by variant; a variant has few rows in the second step.
+    Shares are null for a variant without replies that count.
+    """
+    return summary_of(by_opening(replies))
+
+
+def summary_of(by_word: DataFrame) -> DataFrame:
+    """The summary of partial sums; those of several inputs may stand below each other once `merged`."""
     top = F.max(F.when(F.col("word").isNotNull(), F.col("m")))
     x = by_word.groupBy("variant").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), top.alias("top"), F.sum("greet").alias("greet"), F.sum("len").alias("len"), F.min("low").alias("min_len"), F.max("high").alias("max_len"), F.sum("missing").alias("null_count"))
     m = F.nullif(F.col("m"), F.lit(0))
@@ -54,6 +63,12 @@ def summary(replies: DataFrame) -> DataFrame:
     )
 
 
+def merged(by_word: DataFrame) -> DataFrame:
+    """Partial sums of several inputs as those of all of them together."""
+    sums = [F.sum(c).alias(c) for c in ("n", "m", "greet", "len", "missing")]
+    return by_word.groupBy("variant", "word").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")).select(*by_word.columns)
+
+
 def _ranked(counts: DataFrame, word: str, top: int) -> DataFrame:
     by = Window.partitionBy("variant").orderBy(F.desc("n"), word)
     return counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
@@ -64,10 +79,18 @@ def _sizes(replies: DataFrame) -> DataFrame:
     return without_errors(replies).groupBy("variant").agg(F.count("*").alias("m"))
 
 
+def _shares(counts: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    return _ranked(counts, "word", top).join(sizes, "variant").select("variant", "rank", "word", "n", (F.col("n") / F.col("m")).alias("share"))
+
+
 def opening_words(replies: DataFrame, top: int = TOP_OPENINGS) -> DataFrame:
     """variant, rank, word, n, share of the replies that count; equal counts in order of the word."""
-    counts = without_errors(replies).select("variant", opening_word(response_text(F.col("response"))).alias("word")).where("word is not null").groupBy("variant", "word").agg(F.count("*").alias("n"))
-    return _ranked(counts, "word", top).join(_sizes(replies), "variant").select("variant", "rank", "word", "n", (F.col("n") / F.col("m")).alias("share"))
+    return opening_words_of(by_opening(replies), top)
+
+
+def opening_words_of(by_word: DataFrame, top: int = TOP_OPENINGS) -> DataFrame:
+    counts = by_word.where("word is not null and m > 0").select("variant", "word", F.col("m").alias("n"))
+    return _shares(counts, by_word.groupBy("variant").agg(F.sum("m").alias("m")), top)
 
 
 def opening_share(replies: DataFrame) -> DataFrame:
@@ -75,11 +98,21 @@ def opening_share(replies: DataFrame) -> DataFrame:
     return summary(replies).select("variant", "opening_share")
 
 
+def word_counts(replies: DataFrame) -> DataFrame:
+    """variant, word, n occurrences of words of more than 4 characters in replies that count."""
+    tokens = F.explode(F.regexp_extract_all(F.lower(response_text(F.col("response"))), F.lit(TOKEN), F.lit(0)))
+    return without_errors(replies).select("variant", tokens.alias("word")).where(F.length("word") > LONGER_THAN).groupBy("variant", "word").agg(F.count("*").alias("n"))
+
+
 def top_words(replies: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     """variant, rank, word, n occurrences, share n / m, of words of more than 4 characters."""
-    tokens = F.explode(F.regexp_extract_all(F.lower(response_text(F.col("response"))), F.lit(TOKEN), F.lit(0)))
-    counts = without_errors(replies).select("variant", tokens.alias("word")).where(F.length("word") > LONGER_THAN).groupBy("variant", "word").agg(F.count("*").alias("n"))
-    return _ranked(counts, "word", top).join(_sizes(replies), "variant").select("variant", "rank", "word", "n", (F.col("n") / F.col("m")).alias("share"))
+    return _shares(word_counts(replies), _sizes(replies), top)
+
+
+def top_words_of(counts: DataFrame, by_word: DataFrame, top: int = TOP_WORDS) -> DataFrame:
+    """The same of counts by variant and word, which may come from several inputs."""
+    total = counts.groupBy("variant", "word").agg(F.sum("n").alias("n"))
+    return _shares(total, by_word.groupBy("variant").agg(F.sum("m").alias("m")), top)
 
 
 def phrase_shares(replies: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -122,8 +155,14 @@ def report_lines(replies: DataFrame) -> DataFrame:
 
     A variant without replies that count has its head and a remark alone.
     """
+    first = replies.groupBy("variant").agg(F.min("seq").alias("first_seq"))
+    return lines_of(summary(replies), opening_words(replies), top_words(replies), samples(replies), first)
+
+
+def lines_of(figures: DataFrame, openings: DataFrame, frequent: DataFrame, shown_rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The report's lines of the figures that the functions above give; `first` has variant and first_seq."""
     c, text = F.col, F.lit
-    s = summary(replies).withColumn("some", c("m") > 0)
+    s = figures.withColumn("some", c("m") > 0)
     whole = F.bround("mean_len", 0).cast("int").cast("string")
     single = [
         (0, F.concat(text("== "), c("variant"), text(": "), c("n"), text(" rows, "), c("errors"), text(" failed =="))),
@@ -136,12 +175,11 @@ def report_lines(replies: DataFrame) -> DataFrame:
     ]
     parts = F.filter(F.array(*[F.struct(text(i).alias("part"), text(0).alias("n"), x.alias("line")) for i, x in single]), lambda x: x["line"].isNotNull())
     lines = s.select("variant", F.inline(parts))
-    lines = lines.union(opening_words(replies).select("variant", text(2), "rank", F.concat(text("  "), c("word"), text("  "), c("n"))))
-    lines = lines.union(top_words(replies).select("variant", text(6), "rank", F.concat(text("  "), c("word"), text("  "), c("n"), text("  "), percent(c("share")))))
+    lines = lines.union(openings.select("variant", text(2), "rank", F.concat(text("  "), c("word"), text("  "), c("n"))))
+    lines = lines.union(frequent.select("variant", text(6), "rank", F.concat(text("  "), c("word"), text("  "), c("n"), text("  "), percent(c("share")))))
     shown = F.concat(text("  ["), F.coalesce(c("rating").cast("string"), text("-")), text("] "), F.coalesce("review", text("")), text("\n      "), response_text(c("response")))
     some = s.where("some").select("variant")
-    lines = lines.union(samples(replies).join(some, "variant", "left_semi").select("variant", text(9), "n", shown))
-    first = replies.groupBy("variant").agg(F.min("seq").alias("first_seq"))
+    lines = lines.union(shown_rows.join(some, "variant", "left_semi").select("variant", text(9), "n", shown))
     return lines.join(first, "variant").select("first_seq", "part", "n", "line")
 
 
