@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
+import json
 import os
 import re
 import time
+import urllib.error
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur import cli
 from larkspur.functions import features
 from larkspur.functions.keywords import match_keywords, top_matching_keywords
 from larkspur.functions.text import has_text
 from larkspur.operators import diagnostics, responder
-from larkspur.operators.loopback import loopback
+from larkspur.operators.ledger import Ledger, respond_once
+from larkspur.operators.sampling import bottom_k
 from larkspur.operators.validation import assemble, checked
 from larkspur.plans import experiment, review_prompt, variant_prompt, wording
 from larkspur.sources import tables
 from larkspur.sources.shared import scratch_path
 from larkspur.sources.workbook import written
+from larkspur.streaming.figures import ReplyFigures, stream_figures
+from larkspur.streaming.requests import read_both, stream_both
 
 #: Approved keywords of the derived reviews.
 APPROVED = ("the", "le", "und", "with", "worthless", "die", "la")
@@ -238,16 +245,18 @@ def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_sheet(spark, path).select("review_id", "reviewer_name", "rating", F.md5(F.coalesce("review", F.lit(""))).alias("review_md5"))
 
 
-def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as a review workbook (25 rows), read again."""
-    path = scratch_path(spark, "sheet", ".xlsx")
-    head = [["Rating", "Other", "ReviewerName", "Review"]]
-    rows = [[r.n_nationkey % 5 + 1.5, None, r.n_name if r.n_nationkey % 7 else 12, f"<{r.n_name}> &\n" if r.n_nationkey % 3 else None] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(written(head + rows)))
-    out.close()
-    return tables.read_sheet(spark, path)
+def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as review workbooks, one for each nation and 500 customer numbers, read again."""
+
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c_custkey")
+        cells = [[k % 5 + 1.5, None, name if k % 7 else 12, f"<{name}> &\n" if k % 3 else None] for k, name in zip(rows.c_custkey.tolist(), rows.c_name, strict=True)]
+        return pd.DataFrame({"book": [rows.book.iloc[0]], "content": [written([["Rating", "Other", "ReviewerName", "Review"], *cells])]})
+
+    book = F.concat_ws("-", F.col("c_nationkey").cast("string"), F.expr("c_custkey div 500").cast("string")).alias("book")
+    books = table(spark, sf_dir, "customer").select(book, "c_custkey", "c_name").groupBy("book").applyInPandas(made, "book string, content binary")  # 500 rows at most
+    sheets = tables.first_sheets(books)
+    return sheets.select("book", F.col("ReviewId").alias("review_id"), F.col("ReviewerName").alias("reviewer_name"), F.col("Rating").alias("rating"), F.col("Review").alias("review"))
 
 
 def _faulty() -> responder.Responder:
@@ -275,13 +284,77 @@ def _unknown_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responder.respond(rows.select("review_id", "variant", "prompt"), responder.Offline).select("review_id", "variant", F.md5("prompt").alias("prompt_md5"), "status", "response")
 
 
+def _answered(url: str, body: bytes, headers: dict, timeout: int) -> bytes:
+    """What a provider would send for a request, by the first digit of its prompt's MD5: 0 is busy, 1 and 2 odd bodies, 3 no connection."""
+    h = hashlib.md5(json.loads(body)["messages"][0]["content"].encode()).hexdigest()
+    if h[0] == "0":
+        raise urllib.error.HTTPError(url, 503, "busy", headers, io.BytesIO(b"busy"))
+    if h[0] == "3":
+        raise ConnectionRefusedError("refused")
+    said = f" Reply to {h}\n"
+    good = {"choices": [{"message": {"content": said}}]} if "Authorization" in headers else {"content": [{"type": "text", "text": said[:9]}, {"type": "tool", "text": "x"}, {"type": "text", "text": said[9:]}]}
+    return {"1": b'{"choices": []}', "2": b"busy"}.get(h[0]) or json.dumps(good).encode()
+
+
+def _providers(blocks: bool) -> responder.Responder:
+    """Calls of one provider's protocol, without a network; prompts of digit 4 lack the key."""
+    with_key, keyless = (responder.blocks_provider("x", k, "x-api-key", "m", send=_answered) if blocks else responder.choices_provider("x", k, send=_answered) for k in ("key", None))
+    return lambda request: (keyless if hashlib.md5(request["prompt"].encode()).hexdigest()[0] == "4" else with_key)(request)
+
+
 def _exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both providers' calls over HTTP to a server in each task's own process."""
+    """Both providers' payloads, bodies and failures."""
     asked = review_prompt.requests(reviews(spark, sf_dir))
-    two = [responder.respond(asked, lambda blocks=blocks: loopback(blocks)).select("review_id", F.lit("blocks" if blocks else "choices").alias("provider"), "status", F.when(F.col("status") == "ok", F.col("response")).alias("text")) for blocks in (False, True)]
+    two = [responder.respond(asked, lambda blocks=blocks: _providers(blocks)).select("review_id", F.lit("blocks" if blocks else "choices").alias("provider"), "status", F.when(F.col("status") == "ok", F.col("response")).alias("text")) for blocks in (False, True)]
     return two[0].union(two[1])
 
 
+def _in_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of two runs with one ledger: the first asks for even reviews and loses some calls, the second for all."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    rows = reviews(spark, sf_dir).select("review_id", F.concat(F.lit("Reply to "), F.coalesce("review", F.lit(""))).alias("prompt"))
+
+    def run(number: int) -> responder.Responder:
+        def answer(request: dict) -> str:
+            h = hashlib.md5(request["prompt"].encode()).hexdigest()
+            if number == 1 and h[0] == "0":
+                raise responder.ReplyError("network", "lost")
+            return f"{number}: {h}"
+
+        return answer
+
+    respond_once(rows.where("review_id % 2 = 0"), lambda: run(1), ledger, ("prompt",), batch=400)
+    return respond_once(rows, lambda: run(2), ledger, ("prompt",), batch=4000).select("review_id", "status", "response")
+
+
+def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of half of all orders."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    return bottom_k(rows, rows.count() // 2, experiment.SAMPLE_SEED, "o_orderkey").select(F.col("seq").cast("long").alias("seq"), "o_orderkey")
+
+
+def _streamed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review records with faults as a stream of JSON files: what both sinks hold in the end."""
+    path, good, bad, checkpoint = (scratch_path(spark, x) for x in ("stream", "good", "bad", "stream-checkpoint"))
+    kinds = "review_id long, business_name string, reviewer_name string, rating int, review string, ai_response_length_type string"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    _raw_records(spark, sf_dir).select(F.to_json(F.struct(*names)).alias("value")).repartition(3).write.text(path)
+    stream_both(spark, path, kinds, good, bad, checkpoint, files=2).awaitTermination()
+    accepted, rejected = read_both(spark, good, bad)
+    return accepted.select("review_id", F.lit(None).cast("string").alias("reject_reason")).union(rejected.select("review_id", "reject_reason"))
+
+
+def _streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of replies that came as a stream of files, some batches merged on the way."""
+    path, out, checkpoint = (scratch_path(spark, x) for x in ("stream", "figures", "stream-checkpoint"))
+    rows = _faulty_replies(spark, sf_dir)
+    rows.repartition(3).write.parquet(path)
+    stream_figures(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path), out, checkpoint).awaitTermination()
+    figures = ReplyFigures(spark, out, checkpoint)
+    figures.compact()
+    return _shown(figures.summary())
+
+
 def _faulty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of which some are null, and a variant whose replies all failed."""
     i = F.col("seq")
@@ -289,24 +362,27 @@ def _faulty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("variant", F.when(i % 19 == 0, "C_failed").otherwise(F.col("variant"))).withColumn("response", F.when(i % 19 == 0, "ERROR: 503").when(i % 23 != 0, F.col("response")))
 
 
-def _summary_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary with shares as the report prints them."""
-    s = diagnostics.summary(_faulty_replies(spark, sf_dir))
-    return s.select("variant", "n", "errors", "m", "null_count", diagnostics.percent(F.col("opening_share")).alias("opening"), diagnostics.percent(F.col("greet_share")).alias("greet"), F.bround("mean_len", 0).cast("int").alias("mean_len"), "min_len", "max_len")
+def _shown(summary: DataFrame) -> DataFrame:
+    """A summary with shares as the report prints them."""
+    return summary.select("variant", "n", "errors", "m", "null_count", diagnostics.percent(F.col("opening_share")).alias("opening"), diagnostics.percent(F.col("greet_share")).alias("greet"), F.bround("mean_len", 0).cast("int").alias("mean_len"), "min_len", "max_len")
 
 
 def _spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether calls of one task are a pause apart, by the clock that each reply tells; a sample of 30 reviews."""
-    pause = 0.02
-    sample = experiment.seeded_sample(reviews(spark, sf_dir)).select("seq", F.lit("p").alias("prompt"))
-    told = responder.respond(sample, lambda: lambda request: str(time.monotonic()), tasks=1, pause=pause)
-    at = F.col("response").cast("double")
-    gap = at - F.lag(at).over(Window.partitionBy("status").orderBy(at))  # 30 rows
-    return told.select("status", gap.alias("gap")).agg(F.count("*").alias("n"), F.coalesce(F.min("gap") >= pause, F.lit(False)).alias("spaced"))
+    """Calls for all suppliers by 8 tasks at one rate: for each nation its calls, and whether each had a slot of the clock to itself and kept to its beginning."""
+    spacing = 0.009
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.lit("p").alias("prompt"))
+    path = scratch_path(spark, "spaced")
+    responder.respond(asked, lambda: lambda request: repr(time.time()), tasks=8, spacing=spacing).write.parquet(path)  # calls are made once
+    at = F.col("response").cast("double") * 0.9 / spacing
+    told = spark.read.parquet(path).select("s_nationkey", F.floor(at).alias("slot"), (at - F.floor(at)).alias("late"))
+    alone = told.groupBy("slot").agg(F.count("*").alias("calls"))
+    both = told.join(alone, "slot")
+    # a tenth of a slot, and as much again until the call tells the time
+    return both.groupBy("s_nationkey").agg(F.count("*").alias("n"), ((F.max("calls") == 1) & (F.max("late") < 0.9)).alias("spaced"))
 
 
 def _command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exit codes, first lines and errors of the command line, for the first nation as business and a fixed set of calls."""
+    """Exit codes, first lines and errors of the command line, for the first nation as business and a fixed set of calls, and the digest of the whole report on all replies."""
     path = scratch_path(spark, "cli")
     first = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1)
     first.select(F.to_json(F.struct(F.col("n_name").alias("business_name"))).alias("value")).write.text(f"{path}/business")
@@ -321,6 +397,12 @@ def _command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 code = cli.main(["reply", "--business", f"{path}/business", "--review", f"{path}/{review}", *more])
             said = out.getvalue().split("\n")[0] if name == "dry run" else "a reply" if out.getvalue() else None
             rows.append((name, code, said, err.getvalue()[:7] or None, "not set" in err.getvalue()))
+        result = _faulty_replies(spark, sf_dir).select("seq", "variant", F.col("seq").alias("review_id"), F.lit("Ann").alias("reviewer_name"), "rating", "review", "response")
+        tables.write_result(result, f"{path}/result")
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            code = cli.main(["report", f"{path}/result"])
+        rows.append(("report", code, hashlib.md5(out.getvalue().removesuffix("\n").encode()).hexdigest(), None, False))
     finally:
         if kept is not None:
             os.environ[cli.KEY_VARIABLE] = kept
@@ -362,14 +444,18 @@ QUERIES: dict[str, Query] = {
     "assembled_records": _assembled,
     "result_file": _result_file,
     "sheet_ids": _sheet,
-    "workbook": _workbook,
+    "workbook": _workbooks,
+    "reply_ledger": _in_ledger,
+    "seeded_half": _half,
+    "streamed_split": _streamed_split,
+    "streamed_summary": _streamed_summary,
     "dry_run": lambda s, d: review_prompt.requests(reviews(s, d)).select("review_id", F.md5(review_prompt.dry_run_text()).alias("shown_md5")),
     "reply_failures": _failures,
     "unknown_tones": _unknown_tones,
     "http_exchange": _exchanged,
     "spaced_calls": _spaced,
     "command_lines": _command_lines,
-    "summary_shown": _summary_shown,
+    "summary_shown": lambda s, d: _shown(diagnostics.summary(_faulty_replies(s, d))),
     "report_lines": lambda s, d: diagnostics.report_lines(_faulty_replies(s, d)),
 } | {
     f"prompt_{name}": (lambda v: lambda s, d: _digest(variant_prompt.render(reviews(s, d).crossJoin(F.broadcast(variant_prompt.variants(s, (v,))))), "review_id", "variant"))(v)
@@ -462,7 +548,13 @@ LEFT JOIN good g ON g.variant = s.variant AND contains(lower(g.response), p.phra
     "result_file": f"""WITH {_REVIEWS}, {_SAMPLE}, {_fan_sql()}, said AS (SELECT *, ('0x' || right(md5(prompt), 1))::INT % 4 AS k FROM fan) SELECT row_number() OVER (ORDER BY variant_ord, seq0) - 1 AS seq, variant, review_id, ' "' || reviewer_name || '",' || chr(10) || ' x ' AS reviewer_name, rating, md5(review) AS review_md5,
         CASE k {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(responder.Offline.OPENINGS))} END || '. We look forward to the next visit.' AS response FROM said""",
     "sheet_ids": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS review_id, 'Reviewer ' || (doc_id % 50) AS reviewer_name, CAST(doc_id % 5 + 1 AS INT) AS rating, md5(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS review_md5 FROM documents",
-    "workbook": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS review_id, CASE WHEN n_nationkey % 7 <> 0 THEN n_name ELSE '12' END AS reviewer_name, CAST(n_nationkey % 5 + 1 AS INT) AS rating, CASE WHEN n_nationkey % 3 <> 0 THEN '<' || n_name || '> &' || chr(10) END AS review FROM nation",
+    "workbook": """SELECT c_nationkey || '-' || (c_custkey // 500) AS book, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 500 ORDER BY c_custkey) - 1 AS review_id,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE '12' END AS reviewer_name, CAST(c_custkey % 5 + 1 AS INT) AS rating, CASE WHEN c_custkey % 3 <> 0 THEN '<' || c_name || '> &' || chr(10) END AS review FROM customer""",
+    "reply_ledger": f"""WITH {_REVIEWS}, p AS (SELECT review_id, md5('Reply to ' || coalesce(review, '')) AS h FROM reviews),
+  r AS (SELECT *, CASE WHEN left(h, 1) <> '0' AND bool_or(review_id % 2 = 0) OVER (PARTITION BY h) THEN '1' ELSE '2' END AS run FROM p) SELECT review_id, 'ok' AS status, run || ': ' || h AS response FROM r""",
+    "seeded_half": "SELECT row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS seq, o_orderkey FROM orders QUALIFY seq < (SELECT count(*) // 2 FROM orders)",
+    "streamed_split": f"WITH {_REVIEWS}, {_RAW} SELECT review_id, reject_reason FROM judged",
+    "streamed_summary": f"WITH {_SHOWN} SELECT variant, n, errors, m, null_count, opening, greet, mean_len, min_len, max_len FROM shown",
     "dry_run": f"{_WITH_MATCHED} SELECT review_id, md5(concat('model: {review_prompt.MODEL}', chr(10), 'temperature: ', temperature, chr(10), 'frequency_penalty: ', frequency_penalty, chr(10), 'presence_penalty: ', presence_penalty, chr(10), 'max_tokens: ', max_tokens, chr(10), chr(10), {_PROMPT})) AS shown_md5 FROM matched",
     "reply_failures": f"""WITH {_REVIEWS}, k AS (SELECT review_id, CASE review_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_credential' WHEN 2 THEN 'http' WHEN 3 THEN 'network' WHEN 4 THEN 'bad_shape' ELSE 'other' END AS status FROM reviews),
         e AS (SELECT *, CASE WHEN status = 'other' THEN 'not foreseen' WHEN status <> 'ok' THEN status || ' failure' END AS error FROM k) SELECT review_id, status, error, coalesce('ERROR: ' || error, 'fine') AS response FROM e""",
@@ -472,8 +564,9 @@ LEFT JOIN good g ON g.variant = s.variant AND contains(lower(g.response), p.phra
     "http_exchange": f"""{_WITH_MATCHED}, p AS (SELECT review_id, md5({_PROMPT}) AS h FROM matched), v(provider) AS (VALUES ('choices'), ('blocks')),
         x AS (SELECT review_id, provider, h, CASE left(h, 1) WHEN '0' THEN 'http' WHEN '1' THEN 'bad_shape' WHEN '2' THEN 'bad_shape' WHEN '3' THEN 'network' WHEN '4' THEN 'no_credential' ELSE 'ok' END AS status FROM p, v)
         SELECT review_id, provider, status, CASE WHEN status = 'ok' THEN 'Reply to ' || h END AS text FROM x""",
-    "spaced_calls": "SELECT CAST(30 AS BIGINT) AS n, true AS spaced",
-    "command_lines": f"""SELECT * FROM (VALUES ('dry run', 0, 'model: {review_prompt.MODEL}', NULL, false), ('offline', 0, 'a reply', NULL, false), ('bad rating', 1, NULL, 'ERROR: ', false), ('no file', 1, NULL, 'ERROR: ', false), ('no key', 1, NULL, 'ERROR: ', true)) AS t("call", code, said, error, lacks_key)""",
+    "spaced_calls": "SELECT s_nationkey, count(*) AS n, true AS spaced FROM supplier GROUP BY 1",
+    "command_lines": f"""SELECT * FROM (VALUES ('dry run', 0, 'model: {review_prompt.MODEL}', NULL, false), ('offline', 0, 'a reply', NULL, false), ('bad rating', 1, NULL, 'ERROR: ', false), ('no file', 1, NULL, 'ERROR: ', false), ('no key', 1, NULL, 'ERROR: ', true)) AS t("call", code, said, error, lacks_key)
+  UNION ALL SELECT 'report', 0, md5(string_agg(line, chr(10) ORDER BY first_seq, part, n)), NULL, false FROM ({_REPORT})""",
     "summary_shown": f"WITH {_SHOWN} SELECT variant, n, errors, m, null_count, opening, greet, mean_len, min_len, max_len FROM shown",
     "report_lines": _REPORT,
     "variant_samples": f"WITH {_REPLIES}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY variant ORDER BY seq) AS INT) AS n FROM replies) SELECT variant, n, seq, rating, substr(review, 1, 100) AS review, response FROM r WHERE n <= 5",

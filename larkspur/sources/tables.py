@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from larkspur.sources.records import Index, read_cells, records
 from larkspur.sources.workbook import first_sheet
 
 # Fields of the four JSON records, of the review sheet and of the result table.
@@ -20,7 +21,6 @@ RESULT = "variant string, review_id long, reviewer_name string, rating int, revi
 
 #: Cells are written as they are: with their white space, empty ones apart from absent ones.
 WRITTEN = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-_CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,27 +64,40 @@ def _with_place(rows: DataFrame) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """review_id, reviewer_name, rating, review from CSV, Parquet or an Excel workbook's first sheet.
 
-    review_id is the sheet's ReviewId, or without that column the row's number from 0 in order of the files. A workbook
-    is read whole by one task, as it is one file of bounded rows by its format.
+    review_id is the sheet's ReviewId, or without that column the row's number from 0 in order of the files. The cells of
+    CSV files have the declared types, so names stay as they are written and what is no number is null; one large file is
+    the work of many tasks, whatever line ends its cells hold. A workbook is read whole by one task, as it is one file of
+    bounded rows by its format.
     """
     if path.endswith(".xlsx"):
         return sheet_columns(read_workbook(spark, path))
-    rows = spark.read.options(**_CSV).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    if path.endswith(".csv"):
+        rows = read_cells(spark, path)
+        number = lambda c: F.col(c).try_cast("double")
+        named = rows if "ReviewId" in rows.columns else rows.withColumnRenamed("number", "ReviewId")
+        return sheet_columns(named.withColumns({"Rating": number("Rating").try_cast("int"), "ReviewId": F.coalesce(F.col("ReviewId").try_cast("long"), number("ReviewId").try_cast("long"))}))
+    rows = spark.read.parquet(path)
     if "ReviewId" in rows.columns:
         return sheet_columns(rows)
     return sheet_columns(numbered_as_read(_with_place(rows), "ReviewId", "_file", "_block"))
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """ReviewId, ReviewerName, Rating and Review of a workbook's first sheet, by its head line; cells that are absent are null.
+    """ReviewId, ReviewerName, Rating and Review of the first sheets of the workbooks at a path, see `first_sheets`."""
+    return first_sheets(spark.read.format("binaryFile").load(path).select(F.col("path").alias("book"), "content")).drop("book")
 
-    Without a ReviewId column rows are numbered from 0.
+
+def first_sheets(books: DataFrame) -> DataFrame:
+    """book, ReviewId, ReviewerName, Rating and Review of first sheets by their head lines; `books` has book and content.
+
+    Cells that are absent are null; without a ReviewId column a workbook's rows are numbered from 0. A workbook is the
+    work of one task, as its format bounds its rows; many workbooks are that of many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = first_sheet(content.as_py())
+            for book, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = first_sheet(content)
                 head = {str(x): i for i, x in enumerate(next(rows, []))}
                 missing = [c for c in ("ReviewerName", "Rating", "Review") if c not in head]
                 if missing:
@@ -95,6 +108,7 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
                     number = cell.get("ReviewId") if "ReviewId" in head else n
                     name = cell["ReviewerName"]
                     out.append((
+                        book,
                         None if number is None else int(float(number)),
                         None if name is None else str(int(name)) if isinstance(name, float) and name.is_integer() else str(name),
                         None if cell["Rating"] is None else int(float(cell["Rating"])),
@@ -106,13 +120,12 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield _sheet_batch(out)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, SHEET)
+    return books.select("book", "content").mapInArrow(run, f"book string, {SHEET}")
 
 
 def _sheet_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SHEET.split(", ")])
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["book", *(x.split()[0] for x in SHEET.split(", "))])
 
 
 def sheet_columns(rows: DataFrame) -> DataFrame:
@@ -121,17 +134,36 @@ def sheet_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*cols, F.col("ReviewerName").cast("string").alias("reviewer_name"), F.col("Rating").cast("int").alias("rating"), F.col("Review").alias("review"))
 
 
-def write_result(rows: DataFrame, path: str) -> None:
-    """The six result columns as one CSV file with a header, in order of (variant_ord, seq): two rows for each sampled review."""
-    cols = [x.split()[0] for x in RESULT.split(", ")]
-    ordered = rows.orderBy("variant_ord", "seq") if "variant_ord" in rows.columns else rows.orderBy("seq")
-    ordered.select(*cols).coalesce(1).write.mode("overwrite").options(**WRITTEN).csv(path)
+def write_result(rows: DataFrame, path: str, parts: int | None = None) -> None:
+    """The six result columns as CSV in order of (variant_ord, seq): one part or, for large results, several, whose names follow that order.
+
+    The header stands in the first part alone, so that the parts one behind the other are one CSV file. Rows are dealt
+    by ranges of their order, and each part is written by a task of its own. `_manifest`, which readers pass over, tells
+    each part's first row and number of rows.
+    """
+    cols, spark = [x.split()[0] for x in RESULT.split(", ")], rows.sparkSession
+    by = [c for c in ("variant_ord", "seq") if c in rows.columns]
+    line = F.to_csv(F.struct(*cols), {k: v for k, v in WRITTEN.items() if k != "header"})
+    body = rows.select(F.lit(1).alias("_body"), *by, line.alias("value"))
+    kinds = dict(rows.dtypes)
+    head = spark.range(1).select(F.lit(0).alias("_body"), *[F.lit(None).cast(kinds[c]).alias(c) for c in by], F.lit(",".join(cols)).alias("value"))
+    order = ["_body", *by]
+    all_rows = body.unionByName(head)
+    dealt = all_rows.repartitionByRange(parts, *order) if parts else all_rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+    listed = [(file.rsplit("/", 1)[-1], first, n) for file, (first, n) in result_index(spark, path).files.items()]  # a row a part
+    spark.createDataFrame(listed, "part string, first_row long, rows long").coalesce(1).write.json(f"{path.rstrip('/')}/_manifest")
+
+
+def result_index(spark: SparkSession, path: str) -> Index:
+    return records(spark, path, each_file=False)[1]
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """The six columns and seq, the rows' order in the files. Empty cells are nulls; quotes and line ends in cells are kept."""
-    rows = spark.read.schema(RESULT).options(**_CSV, emptyValue="", nullValue="").csv(path)
-    return numbered_as_read(_with_place(rows), "seq", "_file", "_block")
+    rows = read_cells(spark, path, each_file=False, emptyValue="", nullValue="")
+    kinds = [x.split() for x in RESULT.split(", ")]
+    return rows.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in kinds], F.col("number").alias("seq"))
 
 
 def credential(given: str | None, variable: str) -> str:

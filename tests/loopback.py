@@ -1,4 +1,4 @@
-"""A provider on the task's own machine, for runs of the HTTP boundary without a network."""
+"""A provider on this machine, for tests of the HTTP boundary without a network."""
 
 from __future__ import annotations
 
