@@ -2,8 +2,10 @@
 
 A passage is a stretch of words as long as a template and laid so that a cue word of both falls together; so headers,
 licence files and notices inside long texts are found alike, and texts without any cue word cost one search. Short
-licences are templates whole, long ones by their opening; of like licences the one whose own words are there counts. Weights of
-terms come from counts over all texts. Directories, not files, are matched with licensed ancestors by a path join.
+licences are templates whole, long ones by their opening; of like licences the one whose own words are there counts. A cosine
+does not decide where a version or a condition does: a passage that states another version, or lacks or has a condition by
+which relatives differ, is no notice of that template, and of an unknown relative if no other fits. Identifiers in lines of
+SPDX are read as they are written. Weights of terms come from counts over all texts. Directories, not files, are matched with licensed ancestors by a path join.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.license_texts import NOTICES, TEXTS
+from larkspur.llm.license_texts import NOTICES, PLAIN_IDS, TEXTS
 from larkspur.llm.shared import Table, read_table, rows_in_chunks, through_arrow
 
 #: All templates by licence; each has a cue word (one that begins with licen, or a word of CUES).
@@ -33,7 +35,19 @@ ANCHORS = 3
 BROADCAST_ROWS, SALTS = 500_000, 32
 
 _TERM = re.compile(r"[^\W_]+")
-_CUE = re.compile("licen|" + "|".join(CUES))
+_CUE = re.compile("licen|spdx|" + "|".join(CUES))
+#: What is like a template but states another version or other conditions.
+UNKNOWN = "unknown"
+_SPDX = re.compile(r"SPDX(?:-License-Identifier)?[ \t]*:[ \t]*", re.IGNORECASE)
+_ID = re.compile(r"[ \t]*([A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?|[()])")
+#: Words that a version follows, in terms.
+_VERSIONED = frozenset("version v by nc sa nd cc0 attribution noncommercial sharealike noderivatives license licence gpl lgpl agpl eupl".split())
+#: Words that name licences: a notice has those of its template and no others.
+_NAMING = frozenset("affero apache artistic attribution boost bsd by cc cc0 commons eclipse epl eupl european general gpl isc lesser library mit mozilla nc nd noncommercial noderivatives sa sharealike unlicense zlib".split())
+#: Words from a notice's start in which the conditions stand by which relatives differ, and words behind a passage in which its version may stand.
+CONDITIONS, BEHIND = 400, 4
+#: Words of a one-line notice, at most.
+NOTICE = 20
 
 
 def terms(text: str) -> list[str]:
@@ -48,6 +62,55 @@ _TEMPLATES = [(name, terms(t), t in TEXTS.get(name, ())) for name, ts in TEMPLAT
 VOCABULARY = frozenset(w for _, t, _ in _TEMPLATES for w in t)
 
 
+def versions(words: list[str]) -> set[tuple[str, ...]]:
+    """Numbers that stand as versions: up to two of up to two digits behind a word such as version."""
+    found = set()
+    for i, w in enumerate(words):
+        run = []
+        while len(run) < 2 and w in _VERSIONED and i + 1 + len(run) < len(words) and words[i + 1 + len(run)].isdigit() and len(words[i + 1 + len(run)]) < 3:
+            run.append(words[i + 1 + len(run)])
+        if run:
+            found.add(tuple(run))
+    return found
+
+
+_VERSIONS = [versions(t) for _, t, _ in _TEMPLATES]
+
+
+def conditions_fit(name: str, after: str) -> bool:
+    """Whether a text, in terms, has the conditions of the named licence and none of its relatives'. Where it stops before them, the grant counts."""
+    whole, subject, notice = "as is" in after, "subject to the following conditions" in after, "provided that the above copyright notice" in after
+    ads, neither = "all advertising materials" in after, "neither the name" in after
+    return {
+        "MIT": subject or not whole, "MIT-0": whole and not subject, "ISC": notice or not whole, "0BSD": whole and not notice,
+        "BSD-2-Clause": not ads and not neither, "BSD-3-Clause": neither and not ads, "BSD-4-Clause": ads,
+    }.get(name, True)
+
+
+def spdx(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, licences) of each line of SPDX: the identifiers of its expression, an exception with the licence that it goes with."""
+    for m in _SPDX.finditer(text):
+        at, names, operand, joined = m.end(), [], True, False
+        while t := _ID.match(text, at):
+            token = t[1]
+            if token in "()":
+                at = t.end()
+                continue
+            if not operand and token not in ("AND", "OR", "WITH"):
+                break
+            if operand and not (joined or token in PLAIN_IDS or token.startswith("LicenseRef-") or any(c.isdigit() for c in token)):
+                break
+            if not operand:
+                joined = token == "WITH"
+            elif names and joined:
+                names[-1] += f" WITH {token}"
+            else:
+                names.append(token)
+            operand, at = not operand, t.end()
+        if names:
+            yield m.start(), at, list(dict.fromkeys(names))
+
+
 class Hit(NamedTuple):
     """A passage like a template: its licence, cosine, first word and words, whether it is a licence's text, and the words of the whole text."""
 
@@ -85,20 +148,34 @@ class Scanner:
         there = Counter(passage)
         return sum((2 * min(n, there[w]) - n) * self.idf[w] for w, n in self.bags[i].items())
 
+    def fits(self, words: list[str], start: int, i: int) -> bool:
+        """Whether the passage names the template's licence, in its version if that has one, with its conditions if relatives have others."""
+        name, template, is_text = _TEMPLATES[i]
+        there, wanted = _NAMING.intersection(words[start : start + len(template)]), _NAMING.intersection(template)
+        if not wanted <= there or not is_text and len(template) <= NOTICE and there != wanted:
+            return False
+        if _VERSIONS[i] and not _VERSIONS[i] & versions(words[start : start + len(template) + BEHIND]):
+            return False
+        return template[0] not in ("permission", "redistribution") or conditions_fit(name, " ".join(words[start : start + CONDITIONS]))
+
     def scan(self, text: str) -> list[Hit]:
-        """Passages like a template that don't overlap, of overlapping ones that with the most evidence, then the earlier, longer one, then the licence's name; best first."""
+        """Lines of SPDX, then passages like a template that don't overlap: of overlapping ones that with the most evidence, then the earlier, longer one, then the licence's name; best first, unknown relatives last."""
         if not _CUE.search(text.lower()):
             return []
-        words, found = terms(text), {}
+        words, found, named = terms(text), {}, []
+        for start, end, names in spdx(text):
+            first, size = len(terms(text[:start])), len(terms(text[start:end]))
+            named += [Hit(name, 1.0, first, size, False, len(words)) for name in names]
         for p, w in enumerate(words):
             for i, o in self.at.get(w, ()):
                 name, template, is_text = _TEMPLATES[i]
                 start, size = max(0, p - o), len(template)
                 passage = words[start : p - o + size]
                 if (start, i) not in found and (s := self.cosine(passage, i)) >= SIMILAR:
-                    found[start, i] = (-round(self.evidence(passage, i), 6), start, -size, name, Hit(name, s, start, size, is_text, len(words)))
-        out: list[Hit] = []
-        for *_, hit in sorted(found.values(), key=lambda x: x[:4]):
+                    fits = self.fits(words, start, i)
+                    found[start, i] = (not fits, -round(self.evidence(passage, i), 6), start, -size, name, Hit(name if fits else UNKNOWN, s, start, size, is_text, len(words)))
+        out: list[Hit] = named
+        for *_, hit in sorted(found.values(), key=lambda x: x[:5]):
             if all(hit.start + hit.size <= x.start or x.start + x.size <= hit.start for x in out):
                 out.append(hit)
         return out
@@ -162,7 +239,8 @@ def _with_nearest(rows: DataFrame, near: DataFrame) -> DataFrame:
 def licensed_files(files: DataFrame) -> DataFrame:
     """id, path, license, similarity, origin (own or inherited), inherited_from, licenses for every row of `files` (id, path, text).
 
-    A file's own notice counts first, of several the one with the most evidence; `licenses` lists all of them. Else the
+    A file's own notice counts first, of several a line of SPDX, then the one with the most evidence; `licenses` lists all
+    of them. What is like a known licence but states another version or other conditions is `unknown`. Else the
     licence of the nearest directory above that has a licence file counts. Of several licence files in a directory the
     most similar counts, then the first by path, then by licence. Very long texts are scanned whole. Null and empty
     texts have no notice, a null path is the root's; repeated rows are scanned each; an empty table gives no rows; other
