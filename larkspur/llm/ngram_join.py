@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm.shared import Table, components, partitions_of, read_table, rows_in_chunks, through_arrow
 
@@ -31,7 +31,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 SAMPLE, COMMON, COMMON_FROM = 8_000, 100_000, 4
 #: Shingles of so many documents of the sample, or more, are grouped by partial sums.
 OFTEN_FROM = 20
-#: Members of a tile's side; a larger group is several tiles.
+#: Members of a tile's side, about; a larger group is several tiles, by bands of size and blocks of them.
 TILE = 256
 #: Groups with more members tell which pairs another such group has compared already.
 LARGE = 64
@@ -333,6 +333,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, num: int, den
     return links
 
 
+def size_bands(num: int, den: int, most: int = 1 << 40) -> list[int]:
+    """Least sizes of bands: sets that are alike are of one band or of neighbouring ones."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (members, node, comp, size) once for each tile (i, j) that they are in, with the tile's side.
+
+    A group of up to TILE members is one tile. The members of a larger one are dealt to bands by the size of their sets,
+    and within a band to blocks of about TILE; a block meets the blocks of its own band and of the bands beside it, as
+    sets of other bands differ too much in size.
+    """
+    small = rows.where(F.col("size") <= TILE).select("members", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "node", "comp", "size")
+    band = F.size(F.filter(F.array(*map(F.lit, size_bands(num, den))), lambda least: least <= F.col("n")))
+    big = rows.where(F.col("size") > TILE).join(sizes, "node").withColumn("band", band).drop("n")
+    near = Window.partitionBy("members").orderBy("band")  # some tens of bands a group
+    blocks = big.groupBy("members", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("own"))
+    beside = lambda f, d: F.when(f("band").over(near) == F.col("band") + d, f("own").over(near)).otherwise(0)
+    blocks = blocks.select("members", "band", "own", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    if big.limit(1).count() and blocks.count() <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
+    big = big.join(blocks, ["members", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "own").cast("int"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    named = lambda band, block: band.cast("long") * (1 << 32) + block
+    here = named(F.col("band"), F.col("block"))
+    same = F.transform(upto("own"), lambda o: F.struct(F.least(here, named(F.col("band"), o)).alias("i"), F.greatest(here, named(F.col("band"), o)).alias("j"), (F.col("block") > o).cast("int").alias("side")))
+    above = F.transform(upto("above"), lambda o: F.struct(here.alias("i"), named(F.col("band") + 1, o).alias("j"), F.lit(0).alias("side")))
+    below = F.transform(upto("below"), lambda o: F.struct(named(F.col("band") - 1, o).alias("i"), here.alias("j"), F.lit(1).alias("side")))
+    big = big.select("members", "node", "comp", "size", F.inline(F.concat(same, above, below)))
+    return small.unionByName(big)
+
+
 def linked_sets(docs: DataFrame, sets: Table, often: np.ndarray, num: int, den: int, k: int) -> Table:
     """(node, component_id) of nodes that have a link, in the shared folder; what was written on the way is gone."""
     spark = docs.sparkSession
@@ -356,12 +391,9 @@ def linked_sets(docs: DataFrame, sets: Table, often: np.ndarray, num: int, den:
     # Second round: what is in different components still, group by group, in tiles.
     named = live.join(comps.df, "node", "left").select("members", "node", F.coalesce("component_id", "node").alias("comp"))
     open_groups = named.groupBy("members").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    still = Table(named.join(open_groups.select("members", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "members"), "open")
-    rows = still.df
-    large = rows.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_list("members").alias("large"))  # at most a node's keys
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "comp", "size")
+    still = Table(named.join(open_groups.select("members", "size"), "members"), "open")
+    large = still.df.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_list("members").alias("large"))  # at most a node's keys
+    rows = _dealt(still.df, facts.select("node", "n"), num, den)
     earlier = F.when(F.col("size") > LARGE, F.filter("large", lambda x: x < F.col("members")))
     rows = rows.join(facts.join(large, "node", "left"), "node").select("members", "i", "j", "side", "node", "comp", "n", "bits", F.coalesce(earlier, F.array().cast("array<long>")).alias("earlier"))
     tiles = rows.repartition(partitions_of(spark), "members", "i", "j").sortWithinPartitions("members", "i", "j", "n")

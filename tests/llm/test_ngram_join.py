@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 
 import pytest
@@ -76,6 +78,59 @@ def test_large_groups_in_small_tiles(spark, monkeypatch):
     assert got == plain(docs) and len({x[2] for x in got}) > 2
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_tiles_are_bands_of_sizes(spark, monkeypatch, broadcast):
+    """One group of documents of very unlike lengths: texts that end alike at many lengths, near copies of each among them."""
+    monkeypatch.setattr(J, "TILE", 4)
+    monkeypatch.setattr(J, "LARGE", 6)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, docs = [word() for _ in range(12)], []
+    for length in (3, 8, 11, 15, 20, 27, 36, 48, 64, 120):
+        base = [word() for _ in range(length)]
+        for k in range(5):
+            copy = base + [word() for _ in range(rng.randrange(0, max(1, length // 4)))]
+            copy[rng.randrange(len(copy))] = word()
+            docs.append((len(docs) * 2, " ".join(passage + copy)))
+    assert found(spark, docs) == plain(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    heads = {x[2] for x in plain(docs)}
+    assert {str(r.doc_id) for r in J.without_near_duplicates(df).collect()} == heads
+    twice = {str(r.doc_id) for r in J.without_near_duplicates(df.union(df)).collect()}
+    assert twice == heads
+
+
+def test_dealt_tiles_hold_every_pair_that_may_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "TILE", 5)
+    rng = random.Random(2)
+    sizes = {i: rng.choice([1, 2, 3, 4, 5, 40, 41, 53, 54, 70, 71, 72, 95, 400, 530, 535]) for i in range(90)}
+    rows = spark.createDataFrame([(g, i, i, 0) for g in (1, 2) for i in range(90 if g == 1 else 4)], "members long, node long, comp long, size long")
+    rows = rows.withColumn("size", F.when(F.col("members") == 1, 90).otherwise(4))
+    dealt = J._dealt(rows, spark.createDataFrame(list(sizes.items()), "node long, n long"), 75, 100).collect()
+    tiles: dict = {}
+    for r in dealt:
+        tiles.setdefault((r.members, r.i, r.j), []).append((r.node, r.side))
+    met = set()
+    for (g, i, j), held in tiles.items():
+        pairs = [(min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(held, 2) if i == j or s != t]
+        assert len(set(pairs)) == len(pairs) and not met & {(g, *p) for p in pairs}  # no pair twice
+        met |= {(g, *p) for p in pairs}
+    for a, b in itertools.combinations(range(90), 2):
+        if 4 * min(sizes[a], sizes[b]) >= 3 * max(sizes[a], sizes[b]):
+            assert (1, a, b) in met
+    assert {(2, a, b) for a, b in itertools.combinations(range(4), 2)} <= met
+    assert len(met) < 0.6 * 90 * 89 / 2
+
+
+@pytest.mark.parametrize("num,den", [(75, 100), (3, 4), (30, 100), (99, 100)])
+def test_alike_sizes_are_in_neighbouring_bands(num, den):
+    least = J.size_bands(num, den, 5000)
+    band = [bisect.bisect_right(least, n) for n in range(5000)]
+    for n in range(1, 3000):
+        assert band[min(4999, n * den // num)] <= band[n] + 1
+
+
 def test_common_order_does_not_matter(spark, monkeypatch):
     docs = crowd(4, 3, 12, 5)
     monkeypatch.setattr(J, "COMMON_FROM", 1)
