@@ -323,8 +323,8 @@ def _in_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return answer
 
-    respond_once(rows.where("review_id % 2 = 0"), lambda: run(1), ledger, ("prompt",), batch=400)
-    return respond_once(rows, lambda: run(2), ledger, ("prompt",), batch=4000).select("review_id", "status", "response")
+    respond_once(rows.where("review_id % 2 = 0"), lambda: run(1), ledger, ("prompt",), batch=20_000)
+    return respond_once(rows, lambda: run(2), ledger, ("prompt",), batch=20_000).select("review_id", "status", "response")
 
 
 def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
