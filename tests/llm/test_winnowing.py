@@ -74,3 +74,15 @@ def test_table_equals_plain(spark):
 def test_few_rows(spark, rows):
     got = W.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(r.near_next == 1.0 for r in got)
+
+
+def test_digests_equal_sql(spark, sf):
+    """n_chars and edited_sha256 of the query, as DuckDB has them."""
+    import duckdb
+
+    theirs = duckdb.sql(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{sf}/documents.parquet'),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS f, length(t) // 2 AS half FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - half) || left(f, half)) AS edited_sha256 FROM n""").fetchall()
+    mine = W.op8_winnowing(spark, sf).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, mine)) == sorted(theirs) and len(mine) == 200
