@@ -369,7 +369,7 @@ def _shown(summary: DataFrame) -> DataFrame:
 
 def _spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls for all suppliers by 8 tasks at one rate: for each nation its calls, and whether each had a slot of the clock to itself and kept to its beginning."""
-    spacing = 0.009
+    spacing = 0.018
     asked = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.lit("p").alias("prompt"))
     path = scratch_path(spark, "spaced")
     responder.respond(asked, lambda: lambda request: repr(time.time()), tasks=8, spacing=spacing).write.parquet(path)  # calls are made once

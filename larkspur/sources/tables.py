@@ -46,13 +46,15 @@ def numbered_as_read(rows: DataFrame, name: str, *place: str) -> DataFrame:
     Within a partition rows come in order; counts by place and partition give each its first number, so that no task
     sees more than one partition. The window runs over a row for each partition and place.
     """
-    x = rows.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
-    by = [*place, "_part"]
-    starts = x.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select(*[F.col(c).alias(f"_{c}") for c in by], "_first", F.coalesce(before, F.lit(0)).alias("_base"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    out = x.join(starts, same).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first"))
+    mark = "_" * (1 + max((len(c) for c in rows.columns), default=0))  # no column of the caller's begins so
+    at, part, n, first, base = (mark + c for c in ("at", "part", "n", "first", "base"))
+    x = rows.withColumns({at: F.monotonically_increasing_id(), part: F.spark_partition_id()})
+    by = [*place, part]
+    starts = x.groupBy(*by).agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = F.sum(n).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(*[F.col(c).alias(f"{mark}_{c}") for c in by], first, F.coalesce(before, F.lit(0)).alias(base))
+    same = [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in by]
+    out = x.join(starts, same).withColumn(name, F.col(base) + F.col(at) - F.col(first))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in place], name)
 
 

@@ -56,6 +56,12 @@ def test_rows_are_numbered_as_they_come(spark, tmp_path):
     assert sorted((r.review_id, r.review) for r in got) == [(i, f"line\n{i}") for i in range(41)]
 
 
+def test_numbering_leaves_the_callers_columns_alone(spark):
+    rows = spark.range(0, 20, 1, 4).select(F.col("id").alias("_at"), (F.col("id") * 2).alias("_part"), F.lit("x").alias("__n"))
+    got = tables.numbered_as_read(rows, "number")
+    assert got.columns == ["_at", "_part", "__n", "number"] and all(r._at == r.number and r._part == 2 * r.number for r in got.collect())
+
+
 def test_workbook(spark, tmp_path):
     rows = [["Other", "ReviewerName", "Rating", "Review"], [None, "Ann", 4.7, " a & <b>\n"], [True, 12, 2, None], ["x", None, 1]]
     (tmp_path / "w.xlsx").write_bytes(workbook.written(rows))
