@@ -175,7 +175,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3.0 * source_size AS most, sum(source_size) OVER () AS total FROM s),
 o AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
   sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
-l AS (SELECT min((total - full_before) / open_weight) FILTER ((total - full_before) / open_weight <= most / weight) AS level FROM o)
+l AS (SELECT max((total - full_before) / open_weight) FILTER ((total - full_before) / open_weight <= most / weight) AS level FROM o)
 SELECT d.doc_id, d.size, w.source_size, least(w.most, l.level * w.weight) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN l""").fetchall()
     mine = {r.doc_id: (r.size, r.source_size, r.target) for r in M.op10_mixing(spark, sf).collect()}
     assert len(mine) == len(theirs)
