@@ -10,16 +10,20 @@ import heapq
 import pickle
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of the phrases of a shard, about, and of the texts that go through the shards together if there are several.
-SHARD_BYTES, CHUNK_BYTES = 8 << 20, 32 << 20
+from larkspur.sources.shared import drop_path, scratch_path
+
+#: Bytes of the phrases of a shard, about, and of the texts that go through the shards together if there are several;
+#: shards that are broadcast at a time, at most.
+SHARD_BYTES, CHUNK_BYTES, SHARDS = 8 << 20, 32 << 20, 16
 
 
 def _simple(c: str) -> str:
@@ -94,16 +98,13 @@ class Finder:
         return found[:most]
 
 
-def shards_of(phrases: DataFrame, place: str, phrase: str, most: int | None = None) -> list[Broadcast]:
-    """The list (place, phrase) in broadcast shards; each is collected on its own, so the driver holds one at a time."""
-    rows = phrases.select(F.col(place).cast("long").alias("place"), F.col(phrase).alias("phrase")).where("place IS NOT NULL AND phrase <> ''")
-    size = rows.agg(F.sum(F.octet_length("phrase") + 16)).first()[0] or 0
-    n = max(1, -(-size // (most or SHARD_BYTES)))
-    context = phrases.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("phrase"), F.lit(n))
-    name = uuid.uuid4().hex
-    # as bytes: what a worker keeps of a shard that it does not use is no larger than its phrases
-    return [context.broadcast((f"{name}-{k}", pickle.dumps([(r.place, r.phrase) for r in (rows.where(part == k) if n > 1 else rows).collect()]))) for k in range(n)]
+def _shards(rows: DataFrame, n: int, some: range) -> list[Broadcast]:
+    """Shards `some` of n of the list (place, phrase), broadcast; each is collected on its own, so the driver holds one at a time.
+
+    As bytes: what a worker keeps of a shard that it does not use is no larger than its phrases.
+    """
+    name, part, context = uuid.uuid4().hex, F.pmod(F.xxhash64("phrase"), F.lit(n)), rows.sparkSession.sparkContext
+    return [context.broadcast((f"{name}-{k}", pickle.dumps([(r.place, r.phrase) for r in (rows.where(part == k) if n > 1 else rows).collect()]))) for k in some]
 
 
 _held: dict[tuple[str, bool], Finder] = {}
@@ -119,30 +120,65 @@ def _finder(shard: Broadcast, whole: bool) -> Finder:
     return _held[key]
 
 
-def through_shards(rows: DataFrame, text: str, shards: list[Broadcast], out: str, kind: str, result: Callable[[list[tuple[int, int, str]]], object], most: int | None = None, whole: bool = True) -> DataFrame:
-    """`rows` without column `text`, with column `out` of type `kind` in its place: `result` of the phrases' first occurrences."""
-    names = [c for c in rows.columns if c != text]
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != text) + f", `{out}` {kind}"
+def with_phrases(rows: DataFrame, text: str, phrases: DataFrame, place: str, phrase: str, most: int | None = None, whole: bool = True) -> DataFrame:
+    """`rows` without column `text`, with `hits` in its place: (at, place, phrase) of the first occurrence of each phrase in the text, the first `most` in this order.
+
+    `phrases` is a list (place, phrase); null places, null and empty phrases are passed over. Up to SHARDS shards, which
+    bounds what is broadcast, the texts are read once and not moved; a longer list takes a pass for every SHARDS of them,
+    between which texts and hits so far are written to the shared folder.
+    """
+    listed = phrases.select(F.col(place).cast("long").alias("place"), F.col(phrase).alias("phrase")).where("place IS NOT NULL AND phrase <> ''")
+    n = max(1, -(-(listed.agg(F.sum(F.octet_length("phrase") + 16)).first()[0] or 0) // SHARD_BYTES))
+    names, spark = [c for c in rows.columns if c != text], rows.sparkSession
+    now, last = rows.select(*names, F.col(text).alias(text), F.array().cast(_HITS).alias("hits")), None
+    for low in range(0, n, SHARDS):
+        shards = _shards(listed, n, range(low, min(n, low + SHARDS)))
+        more = low + SHARDS < n
+        now = _pass(now, len(names), shards, most, whole, more)
+        if more:
+            path = scratch_path(spark, "hits")
+            now.write.parquet(path)
+            now = spark.read.schema(now.schema).parquet(path)
+            for shard in shards:
+                shard.destroy()
+            if last:
+                drop_path(spark, last)
+            last = path
+    return now
+
+
+_HITS = "array<struct<at:bigint,place:bigint,phrase:string>>"
+
+
+def _pass(rows: DataFrame, at: int, shards: list[Broadcast], most: int | None, whole: bool, keep_text: bool) -> DataFrame:
+    """Rows (..., text, hits), the text at position `at`, with the shards' hits put to the others; without the text unless it is kept."""
+    kept = [c for i, c in enumerate(rows.columns) if keep_text or i != at]
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, CHUNK_BYTES if len(shards) > 1 else 0):
-            texts = [t for batch in chunk for t in batch.column(len(names)).to_pylist()]
-            found: list[list] = [[] for _ in texts]
+            texts = [t for batch in chunk for t in batch.column(at).to_pylist()]
+            found: list[list] = [[(h["at"], h["place"], h["phrase"]) for h in hits] for batch in chunk for hits in batch.column(at + 1).to_pylist()]
             for shard in shards:
                 finder = _finder(shard, whole)
                 for i, t in enumerate(texts):
                     if t:
-                        found[i] += finder.first(t, most)
-            at = 0
+                        found[i] = sorted(found[i] + finder.first(t, most))[:most] if found[i] else finder.first(t, most)
+            begin = 0
             for batch in chunk:
-                made = [result(sorted(f)[:most] if len(shards) > 1 else f) for f in found[at : at + batch.num_rows]]
-                at += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, _ARROW[kind])], [*names, out])
+                here = found[begin : begin + batch.num_rows]
+                begin += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *([batch.column(at)] if keep_text else []), _listed(here)], kept)
 
-    return rows.select(*names, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-_ARROW = {"array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+def _listed(found: list[list[tuple[int, int, str]]]) -> pa.Array:
+    flat = [h for hits in found for h in hits]
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    kinds = (pa.int64(), pa.int64(), pa.string())
+    parts = [pa.array([h[i] for h in flat], k) for i, k in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["at", "place", "phrase"]))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:

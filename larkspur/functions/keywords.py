@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.automaton import shards_of, through_shards
+from larkspur.functions.automaton import with_phrases
 from larkspur.functions.text import has_text
 
 _WORD = r"[\p{L}\p{N}_]"
@@ -45,6 +45,6 @@ def match_keywords(reviews: DataFrame, vocabulary: DataFrame, key: str = "review
     with that list, for every row of `reviews`, also where keys repeat. Keywords are found by an automaton and kept
     where they have borders; a text is left as soon as nothing that follows can come before what was found.
     """
-    shards = shards_of(vocabulary.where(has_text(F.col("keyword"))), "ord", "keyword")
     texts = reviews.select(key, F.when(has_text(F.col("review")), F.col("review")).alias("review"))
-    return through_shards(texts, "review", shards, "keywords", "array<string>", lambda found: [w for _, _, w in found], most)
+    found = with_phrases(texts, "review", vocabulary.where(has_text(F.col("keyword"))), "ord", "keyword", most)
+    return found.select(key, F.transform("hits", lambda x: x["phrase"]).alias("keywords"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.functions.automaton import shards_of, through_shards
+from larkspur.functions.automaton import with_phrases
 from larkspur.functions.text import words
 
 # The mark of failed replies, the greeting pattern, word rules, list sizes.
@@ -122,10 +122,9 @@ def phrase_shares(replies: DataFrame, phrases: DataFrame) -> DataFrame:
     anywhere in it. Null, empty and repeated phrases count once or not at all.
     """
     listed = phrases.select("phrase").where("phrase <> ''").distinct()
-    shards = shards_of(listed.withColumn("place", F.lit(0)), "place", "phrase")
     texts = without_errors(replies).select("variant", F.lower(response_text(F.col("response"))).alias("text"))
-    found = through_shards(texts, "text", shards, "phrases", "array<string>", lambda hits: [phrase for _, _, phrase in hits], whole=False)
-    counts = found.select("variant", F.explode("phrases").alias("phrase")).groupBy("variant", "phrase").agg(F.count("*").alias("n"))
+    found = with_phrases(texts, "text", listed.withColumn("place", F.lit(0)), "place", "phrase", whole=False)
+    counts = found.select("variant", F.explode("hits.phrase").alias("phrase")).groupBy("variant", "phrase").agg(F.count("*").alias("n"))
     every = listed.crossJoin(F.broadcast(_sizes(replies)))  # a row a variant
     n = F.coalesce("n", F.lit(0).cast("long"))
     return every.join(counts, ["variant", "phrase"], "left").select("variant", "phrase", n.alias("n"), (n / F.col("m")).alias("share"))

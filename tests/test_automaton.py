@@ -35,15 +35,17 @@ def test_equals_the_array_form(spark, seed):
     assert got == want
 
 
-def test_shards_and_chunks_change_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("at_a_time", [16, 2])
+def test_shards_chunks_and_passes_change_nothing(spark, monkeypatch, at_a_time):
     rng = random.Random(9)
     words, texts = [keyword_of(rng) for _ in range(60)], [keyword_of(rng, 0, 30) for _ in range(200)]
     monkeypatch.setattr(automaton, "SHARD_BYTES", 200)
     monkeypatch.setattr(automaton, "CHUNK_BYTES", 500)
-    vocabulary = spark.createDataFrame(list(enumerate(words)), "ord int, keyword string")
-    assert len(automaton.shards_of(vocabulary, "ord", "keyword")) > 3
+    monkeypatch.setattr(automaton, "SHARDS", at_a_time)
+    made = []
+    monkeypatch.setattr(automaton, "_shards", lambda rows, n, some, f=automaton._shards: made.append(some) or f(rows, n, some))
     got, want = both(spark, texts, words, 3)
-    assert got == want
+    assert got == want and len(made) == (1 if at_a_time == 16 else -(-made[-1].stop // 2)) and made[-1].stop > 3
 
 
 def test_folding_keeps_lengths_and_classes():
