@@ -9,6 +9,7 @@ by a shuffle. A block is what Spark reads as one split of a file; its row in the
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -169,7 +170,8 @@ def read_cells(spark: SparkSession, path: str, each_file: bool = True, **options
     """The files' cells as texts under their header's names, and `number`, the row's place from 0 over all files.
 
     Each file has a header, the same in all, or with `each_file` unset the first file alone; without any there are no
-    columns but `number`. A column without a name is called _c and its place.
+    columns but `number`. A column without a name is called _c and its place; repeated names, and one
+    called number, get their places behind them.
     """
     rows, _ = records(spark, path, each_file)
     found = [r[0] for r in rows.where("number < 0").select("record").distinct().limit(2).collect()]
@@ -180,5 +182,6 @@ def read_cells(spark: SparkSession, path: str, each_file: bool = True, **options
     most = found[0].count(",") + 1  # cells at most
     head = list(spark.createDataFrame([(found[0],)], "record string").select(cells(F.col("record"), [f"c{i}" for i in range(most)]).alias("c")).first().c)
     width = max((i + 1 for i, n in enumerate(head) if n is not None), default=1)
-    names = [f"_c{i}" if n is None else n for i, n in enumerate(head[:width])]
+    many = Counter(["number", *(n.lower() for n in head[:width] if n is not None)])
+    names = [f"_c{i}" if n is None else f"{n}{i}" if many[n.lower()] > 1 else n for i, n in enumerate(head[:width])]
     return rows.where("number >= 0").select(cells(F.col("record"), names, **options).alias("c"), "number").select("c.*", "number")

@@ -59,6 +59,13 @@ def test_several_files_and_empty_ones(small_splits, tmp_path):
     assert records.read_cells(small_splits, str(tmp_path / "none.csv")).columns == ["number"]
 
 
+def test_odd_headers(small_splits, tmp_path):
+    (tmp_path / "x.csv").write_text('a,,"b, c",A,number\n1,2,3,4,5\n6\n')
+    got = records.read_cells(small_splits, str(tmp_path / "x.csv"))
+    assert got.columns == ["a0", "_c1", "b, c", "A3", "number4", "number"]
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "2", "3", "4", "5", 0), ("6", None, None, None, None, 1)]
+
+
 def test_lines_step_as_a_csv_reader_does():
     cases = {'a,b': False, '"a': True, '"a"': False, '"a""': True, '"a"",b': True, 'a"b,c': False, ',"x': True, '"a","b': True, '"",""': False, "": False}
     for line, after in cases.items():
