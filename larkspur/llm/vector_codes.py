@@ -91,7 +91,7 @@ def whole_vectors(vectors: DataFrame, parts: int, scale: int) -> tuple[DataFrame
     lengths = rows.groupBy(F.size("e").alias("size")).count().where(f"size > 0 AND size % {parts} = 0")
     top = lengths.orderBy(F.desc("count"), "size").first()
     if not top:
-        return rows.select("vec_id", "label", F.col("e").cast("array<int>").alias("v")), 0
+        return rows.where(F.lit(False)).select("vec_id", "label", F.col("e").cast("array<int>").alias("v")), 0
     # squared distances of whole vectors stay below 2 ** 62
     limit = min(2.0**27, math.isqrt((1 << 62) // top["size"]) // 2)
     rows = rows.where((F.size("e") == top["size"]) & sound(limit))
