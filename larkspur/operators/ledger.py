@@ -1,4 +1,4 @@
-"""A ledger of replies: what has been answered is committed batch by batch and never asked for again."""
+"""A ledger of replies: what has been answered is committed task by task and never asked for again."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from larkspur.operators.joins import join_side
 from larkspur.operators.responder import Responder, respond
 from larkspur.sources.shared import drop_path, scratch_path
 
-#: Requests of a batch: what a crash can cost at most.
+#: Requests of a batch: what a crash of all tasks can cost at most.
 BATCH = 1000
 _ENTRY = "digest string, response string, status string, error string, asked_at timestamp"
 
@@ -23,32 +23,35 @@ def request_digest(requests: DataFrame, keys: tuple[str, ...]) -> Column:
 
 
 class Ledger:
-    """A folder with a Parquet folder for each committed batch; one is committed once its marker file is there.
+    """A folder with a Parquet folder for each batch; what a finished task of one has written counts, whatever becomes of the batch.
 
-    A batch is written whole by Spark's committer before its marker, so a run that is killed leaves no half of one.
+    Tasks commit their files one by one, each by a rename of a whole file, so a run that is killed leaves no half of one,
+    and loses the replies of the tasks under way alone.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _committed(self) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+    def _found(self, pattern: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
         found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
-        return sorted(x.getPath().getParent().toString() for x in found or [])
+        return sorted(x.getPath().toString() for x in found or [])
 
     def entries(self) -> DataFrame:
         """digest, response, status, error, asked_at: for each request its latest entry, one that went well before one that failed."""
-        paths = self._committed()
-        rows = self.spark.read.schema(_ENTRY).parquet(*paths) if paths else self.spark.createDataFrame([], _ENTRY)
+        # a task's files lie beside the folder of those that are not committed
+        folders = sorted({p.rsplit("/", 1)[0] for p in self._found("batch-*/part-*")})
+        rows = self.spark.read.schema(_ENTRY).parquet(*folders) if folders else self.spark.createDataFrame([], _ENTRY)
         entry = F.struct((F.col("status") == "ok").alias("well"), "asked_at", "response", "status", "error")
         return rows.groupBy("digest").agg(F.max(entry).alias("e")).select("digest", "e.response", "e.status", "e.error", "e.asked_at")
 
     def add(self, rows: DataFrame) -> None:
-        rows.select("digest", "response", "status", "error", F.current_timestamp().alias("asked_at")).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+        rows = rows.select("digest", "response", "status", "error", F.current_timestamp().alias("asked_at"))
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
 
     def compact(self) -> None:
-        """One folder of the latest entries in place of all: for ledgers of very many batches. Safe to be killed at any time."""
-        old = self._committed()
+        """One folder of the latest entries in place of all: for ledgers of very many batches. It may be killed at any time, but not run beside `respond_once`."""
+        old = self._found("batch-*")
         self.entries().select(*[x.split()[0] for x in _ENTRY.split(", ")]).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
         for path in old:
             drop_path(self.spark, path)
@@ -61,9 +64,9 @@ def respond_once(
 
     Requests are the same if they agree in `keys`, without which that is all columns but review_id, seq and variant. What
     the ledger has is left out, and so is what failed but for the statuses of `retry`; the rest is asked for in batches of
-    about `batch` requests, dealt by digest. A batch is committed before the next begins: a run that is started again
-    goes on behind the last one committed, and a crash costs the calls of one batch. The result is read from the ledger,
-    so reading it again asks nobody. A row without a prompt fails as no_prompt.
+    about `batch` requests, dealt by digest to `tasks` tasks. What a task has asked is committed when it ends: a run that
+    is started again asks for what is missing, and a crash costs the calls of the tasks under way, at most those of one
+    batch. The result is read from the ledger, so reading it again asks nobody. A row without a prompt fails as no_prompt.
     """
     keys = keys or tuple(c for c in requests.columns if c not in ("review_id", "seq", "variant", "variant_ord"))
     spark = requests.sparkSession

@@ -63,7 +63,7 @@ def test_what_failed_is_tried_again(spark, tmp_path):
     assert again == {i: ("ok", f"re p{i}") for i in range(6)}
     assert calls_in(tmp_path / "calls") == sorted([f"p{i}" for i in range(6)] + ["p2", "p4"])
     ledger.compact()
-    assert len(ledger._committed()) == 1 and respond_once(requests, recorder(tmp_path / "none"), ledger, KEYS).where("status = 'ok'").count() == 6
+    assert len(ledger._found("batch-*")) == 1 and respond_once(requests, recorder(tmp_path / "none"), ledger, KEYS).where("status = 'ok'").count() == 6
 
 
 def test_same_requests_are_asked_once_and_fields_tell_them_apart(spark, tmp_path):
@@ -77,12 +77,40 @@ def test_same_requests_are_asked_once_and_fields_tell_them_apart(spark, tmp_path
     assert none.count() == 0
 
 
-def test_half_written_batches_do_not_count(spark, tmp_path):
+def test_finished_tasks_of_a_failed_batch_count(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    requests = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "review_id int, prompt string")
+    make = recorder(str(tmp_path / "calls"))
+
+    def dies_late():
+        answer = make()
+
+        def one(request):
+            if request["prompt"] == "p13":
+                time.sleep(6)  # the other tasks are through by then
+                os._exit(1)
+            return answer(request)
+
+        return one
+
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    with pytest.raises(Exception):  # noqa: B017, PT011  the worker dies
+        respond_once(requests, dies_late, ledger, KEYS, tasks=4).count()
+    kept = {r.response for r in ledger.entries().collect()}
+    assert 20 <= len(kept) < 40
+    got = {r.review_id: r.response for r in respond_once(requests, recorder(tmp_path / "calls"), ledger, KEYS, tasks=4).collect()}
+    assert got == {i: f"re p{i}" for i in range(40)}
+    asked = calls_in(tmp_path / "calls")
+    assert not {f"re {p}" for p in asked if asked.count(p) > 1} & kept
+
+
+def test_what_is_not_committed_does_not_count(spark, tmp_path):
     ledger = Ledger(spark, f"file://{tmp_path}/ledger")
     assert ledger.entries().count() == 0
     ledger.add(spark.createDataFrame([("d", "r", "ok", None)], "digest string, response string, status string, error string"))
-    (tmp_path / "ledger" / "batch-half").mkdir()
-    (tmp_path / "ledger" / "batch-half" / "part-0.parquet").write_text("torn")
+    left = tmp_path / "ledger" / "batch-half" / "_temporary" / "0" / "task_1"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_text("torn")
     assert [r.digest for r in ledger.entries().collect()] == ["d"]
 
 
