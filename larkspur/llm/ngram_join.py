@@ -7,7 +7,7 @@ with the same members count once. Candidates are then compared in size-banded ti
 shingles, as wide as the band needs, whose differing bits bound the overlap from above (Sandes et al., "Bitmap
 Filter"), before sorted arrays are intersected exactly. A first round compares each group's members with one of them
 alone, so a large group of near copies costs no more than its size; the second compares what is still in different
-components.
+components, for which groups that are mostly of one component are put together.
 """
 
 from __future__ import annotations
@@ -368,6 +368,26 @@ def _dealt(rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     return small.unionByName(big)
 
 
+def united(rows: DataFrame) -> DataFrame:
+    """Rows (members, node, comp, size) of groups, with groups that are mostly of one component put together where that is less work.
+
+    A large component of near copies has a group for each of its members' keys, which all hold much the same nodes. Put
+    together they compare each pair that any of them does, once instead of in every group. What a group costs is its rows
+    and the rows of its tiles, size * (1 + size / TILE); groups stay apart where their union would cost more than they do.
+    """
+    cost = lambda n: F.col(n) * (1 + F.col(n) / TILE)
+    each = rows.groupBy("members", "comp").agg(F.count("*").alias("n"))
+    groups = Table(each.groupBy("members").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size")).select("members", F.col("most.comp").alias("top"), "size"), "tops")
+    alone = groups.df.groupBy("top").agg(F.count("*").alias("groups"), F.sum(cost("size")).alias("apart")).where("groups > 1")
+    several = groups.df.join(alone.select("top"), "top").select("members", "top")
+    nodes = Table(rows.drop("size").join(several, "members").select("top", "node", "comp").distinct(), "unions")
+    unions = nodes.df.groupBy("top").agg(F.count("*").alias("size"))
+    unions = Table(unions.join(alone, "top").where(cost("size") <= F.col("apart")).select("top", "size"), "sizes")
+    gone = groups.df.join(unions.df, "top", "left_semi").select("members")
+    # xxhash64 of two numbers, so that a union is told from the groups
+    return rows.join(gone, "members", "left_anti").unionByName(nodes.df.join(unions.df, "top").select(F.xxhash64("top", F.lit(1)).alias("members"), "node", "comp", "size"))
+
+
 def linked_sets(docs: DataFrame, sets: Table, often: np.ndarray, num: int, den: int, k: int) -> Table:
     """(node, component_id) of nodes that have a link, in the shared folder; what was written on the way is gone."""
     spark = docs.sparkSession
@@ -391,7 +411,9 @@ def linked_sets(docs: DataFrame, sets: Table, often: np.ndarray, num: int, den:
     # Second round: what is in different components still, group by group, in tiles.
     named = live.join(comps.df, "node", "left").select("members", "node", F.coalesce("component_id", "node").alias("comp"))
     open_groups = named.groupBy("members").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    still = Table(named.join(open_groups.select("members", "size"), "members"), "open")
+    opened = Table(named.join(open_groups.select("members", "size"), "members"), "opened")
+    still = Table(united(opened.df), "open")
+    opened.drop()
     large = still.df.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_list("members").alias("large"))  # at most a node's keys
     rows = _dealt(still.df, facts.select("node", "n"), num, den)
     earlier = F.when(F.col("size") > LARGE, F.filter("large", lambda x: x < F.col("members")))

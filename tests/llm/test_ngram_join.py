@@ -216,3 +216,25 @@ def test_deduplicated_edge_rows(spark):
     kept = sorted((str(r.doc_id), r.keys_) for r in J.without_near_duplicates(df).withColumnRenamed("keys", "keys_").collect())
     assert kept == [("1", "a"), ("2", "b"), ("4", "d"), ("6", "f")]
     assert J.without_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_groups_of_one_crowd_are_dealt_as_one(spark, monkeypatch):
+    docs, seen, real = crowd(11, groups=2, size=150, edits=5), [], J._dealt
+    monkeypatch.setattr(J, "_dealt", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    assert found(spark, docs) == plain(docs)
+    assert 0 < seen[0] <= 5 * len(docs)
+
+
+def test_united_groups_lose_no_pair(spark):
+    rng = random.Random(5)
+    groups = {g: sorted({*rng.sample(range(40), 25), *rng.sample(range(40, 400), rng.randrange(8))}) for g in range(30)}
+    groups |= {g: rng.sample(range(400, 4000), 6) for g in range(30, 60)}  # of one component each: they stay
+    comp = lambda x: 0 if x < 30 else x
+    rows = [(g, x, comp(x), len(m)) for g, m in groups.items() for x in m]
+    made = {}
+    for r in J.united(spark.createDataFrame(rows, "members long, node long, comp long, size long")).collect():
+        made.setdefault(r.members, []).append((r.node, r.size))
+    assert all(len({x for x, _ in m}) == len(m) == n for m in made.values() for _, n in m)
+    pairs = lambda sets: {p for m in sets for p in itertools.combinations(sorted(m), 2)}
+    assert pairs(groups.values()) <= pairs([x for x, _ in m] for m in made.values())
+    assert len(made) < len(groups) and sum(map(len, made.values())) < len(rows)
