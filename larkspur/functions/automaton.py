@@ -10,12 +10,15 @@ import heapq
 import pickle
 import re
 import uuid
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +27,8 @@ from larkspur.sources.shared import drop_path, scratch_path
 #: Bytes of the phrases of a shard, about, and of the texts that go through the shards together if there are several;
 #: shards that are broadcast at a time, at most.
 SHARD_BYTES, CHUNK_BYTES, SHARDS = 8 << 20, 32 << 20, 16
+#: Bytes of texts, and hits, that are Python objects at a time, about.
+SLICE_BYTES, HITS = 2 << 20, 50_000
 
 
 def _simple(c: str) -> str:
@@ -157,28 +162,89 @@ def _pass(rows: DataFrame, at: int, shards: list[Broadcast], most: int | None, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, CHUNK_BYTES if len(shards) > 1 else 0):
-            texts = [t for batch in chunk for t in batch.column(at).to_pylist()]
-            found: list[list] = [[(h["at"], h["place"], h["phrase"]) for h in hits] for batch in chunk for hits in batch.column(at + 1).to_pylist()]
-            for shard in shards:
-                finder = _finder(shard, whole)
-                for i, t in enumerate(texts):
-                    if t:
-                        found[i] = sorted(found[i] + finder.first(t, most))[:most] if found[i] else finder.first(t, most)
+            slices = [x for batch in chunk for x in _slices(batch, at)]
+            hits = [_shard_hits(_finder(shard, whole), slices, at, most) for shard in shards]
             begin = 0
-            for batch in chunk:
-                here = found[begin : begin + batch.num_rows]
+            for batch in slices:
+                for low, high in _bounded(hits, begin, batch):
+                    part = batch.slice(low - begin, high - low)
+                    found = _merged([_told(part.column(at + 1)), *(shard.of(low, high) for shard in hits)], part.num_rows, most)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:at], *([part.column(at)] if keep_text else []), found], kept)
                 begin += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *([batch.column(at)] if keep_text else []), _listed(here)], kept)
 
+    # batches are cut by bytes, whatever the texts' lengths
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
     return rows.mapInArrow(run, schema)
 
 
-def _listed(found: list[list[tuple[int, int, str]]]) -> pa.Array:
-    flat = [h for hits in found for h in hits]
-    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-    kinds = (pa.int64(), pa.int64(), pa.string())
-    parts = [pa.array([h[i] for h in flat], k) for i, k in enumerate(kinds)]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["at", "place", "phrase"]))
+class _Hits:
+    """A shard's hits in the texts of a chunk, a few bytes each: the text's number, the position and the number of the phrase."""
+
+    def __init__(self) -> None:
+        self.rows, self.at, self.which = array("i"), array("q"), array("i")
+        self.places, self.phrases = pa.array([], pa.int64()), pa.array([], pa.string())
+
+    def of(self, low: int, high: int) -> pa.Table:
+        """The hits of texts `low` to `high`, which count from 0."""
+        a, b = bisect_left(self.rows, low), bisect_left(self.rows, high)
+        which = np.array(self.which[a:b], np.int32)
+        return pa.table([np.array(self.rows[a:b], np.int32) - low, np.array(self.at[a:b], np.int64), self.places.take(pa.array(which)), self.phrases.take(pa.array(which))], _NAMES)
+
+
+_NAMES = ["row", "at", "place", "phrase"]
+
+
+def _told(hits: pa.ListArray) -> pa.Table:
+    """Lists of hits as rows of a table, by the number of the list."""
+    sizes, flat = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), hits.flatten()
+    return pa.table([np.repeat(np.arange(len(hits), dtype=np.int32), sizes), *(flat.field(i).cast(k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))], _NAMES)
+
+
+def _merged(parts: list[pa.Table], n: int, most: int | None) -> pa.ListArray:
+    """For each of n texts its hits in order, the first `most` of them."""
+    rows = pa.concat_tables(parts)
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in _NAMES])).combine_chunks()
+    of = rows.column("row").to_numpy()
+    if most is not None:
+        rows = rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < most))
+        of = rows.column("row").to_numpy()
+    ends = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    fields = [pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in _NAMES[1:]]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, _NAMES[1:]))
+
+
+def _shard_hits(finder: Finder, slices: list[pa.RecordBatch], at: int, most: int | None) -> _Hits:
+    out, known, row = _Hits(), {}, 0
+    for batch in slices:
+        for text in batch.column(at).to_pylist():
+            for begin, place, phrase in finder.first(text, most) if text else ():
+                out.rows.append(row)
+                out.at.append(begin)
+                out.which.append(known.setdefault((place, phrase), len(known)))
+            row += 1
+    out.places, out.phrases = pa.array([p for p, _ in known], pa.int64()), pa.array([p for _, p in known], pa.string())
+    return out
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about SLICE_BYTES of text, or one row."""
+    n, size = batch.num_rows, batch.column(at).nbytes
+    step = max(1, n if size <= SLICE_BYTES else n * SLICE_BYTES // size)
+    for low in range(0, n, step):
+        yield batch.slice(low, step)
+
+
+def _bounded(hits: list[_Hits], begin: int, batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's rows, whose first is `begin`, with about HITS hits each, or one row."""
+    counts = np.zeros(batch.num_rows, np.int64)
+    for shard in hits:
+        a, b = bisect_left(shard.rows, begin), bisect_left(shard.rows, begin + batch.num_rows)
+        counts += np.bincount(np.array(shard.rows[a:b], np.int64) - begin, minlength=batch.num_rows)
+    low, ends = 0, np.cumsum(counts)
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, HITS + (ends[low - 1] if low else 0), side="right")))
+        yield begin + low, begin + min(high, batch.num_rows)
+        low = high
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import pickle
 import random
 import re
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,33 @@ def test_time_does_not_follow_the_list():
             finder.first(text, 3)
         took.append(time.perf_counter() - began)
     assert took[1] < 5 * took[0] + 0.05
+
+
+def test_hits_of_a_pass_are_held_in_bounded_pieces(spark, monkeypatch):
+    """Texts that hold very many phrases: neither their batches nor their hits are Python objects all at once."""
+    real = pa.RecordBatch.from_arrays
+    monkeypatch.setattr(automaton, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(automaton, "HITS", 300)
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(i % 60)) for i in range(400)] + [None, ""]
+    phrases = [(k % 3, f"w{k}") for k in range(97)]
+    caught = {}
+
+    class Rows:
+        columns, schema, sparkSession = ["id", "text", "hits"], [], spark
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            caught["run"] = run
+
+    shards = [type("Shard", (), {"value": (f"piece{k}", pickle.dumps(phrases[k::2]))}) for k in range(2)]
+    automaton._pass(Rows(), 1, shards, None, False, False)
+    hits = pa.array([[]] * len(texts), pa.list_(pa.struct([("at", pa.int64()), ("place", pa.int64()), ("phrase", pa.string())])))
+    batch = real([pa.array(range(len(texts))), pa.array(texts), hits], Rows.columns)
+    found = list(caught["run"](iter([batch])))
+    sizes = [len(x.column(1).flatten()) for x in found]
+    assert max(sizes) <= 300 and len(found) > 10
+    rows = [[(h["at"], h["place"], h["phrase"]) for h in r] for x in found for r in x.column(1).to_pylist()]
+    whole = automaton.Finder(phrases, whole=False)
+    assert rows == [whole.first(t) if t else [] for t in texts]
