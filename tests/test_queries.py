@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from larkspur import queries
 from larkspur.queries import ORACLES, QUERIES
 
 
@@ -34,3 +35,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 2
+
+
+def test_stream_files_are_written_where_their_rows_are(spark, tmp_path):
+    """More splits give more files, in two batches all the same: no shuffle into three."""
+    for splits, least in ((1, 3), (8, 8)):
+        path = str(tmp_path / f"s{splits}")
+        queries._pieces(spark.range(1000, numPartitions=splits), 3).parquet(path)
+        rows = spark.read.parquet(path)
+        n = len(rows.inputFiles())
+        assert rows.count() == 1000 and n >= least and n / 2 <= queries._two_thirds(rows) < n
