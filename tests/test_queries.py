@@ -45,3 +45,19 @@ def test_stream_files_are_written_where_their_rows_are(spark, tmp_path):
         rows = spark.read.parquet(path)
         n = len(rows.inputFiles())
         assert rows.count() == 1000 and n >= least and n / 2 <= queries._two_thirds(rows) < n
+
+
+def test_sheet_is_dealt_to_more_ranges_as_it_grows(spark, tmp_path, monkeypatch):
+    """Ranges follow the session's partitions; with four at any size a task's share would grow with the table."""
+    spark.range(2000).selectExpr("id AS doc_id", "repeat(md5(cast(id AS string)), 20) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    files = []
+    monkeypatch.setattr(queries.tables, "read_sheet", lambda s, path, real=queries.tables.read_sheet: files.append(len(s.read.text(path).inputFiles())) or real(s, path))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = [r.review_id for r in queries.QUERIES["sheet_ids"](spark, str(tmp_path)).select("review_id").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(ids) == list(range(2000)) and files[0] > 8
