@@ -3,11 +3,13 @@
 Counting is an aggregation for each order over all training texts. The filter holds, for every n-gram that is kept, one
 member for each level of its count, four levels to an octave, so that a count is read by probing level after level until
 one is absent: it is never under-estimated, and over-estimated with a chance that shrinks geometrically. The filter has at
-most 2 ** FILTER_BITS bits whatever the corpus, so it is broadcast; the count from which n-grams are kept follows from the
-histogram of all counts and what the filter can hold. What is not kept goes to the shorter history, by absolute
-discounting: of each history the filter also holds the mass that its kept continuations leave over.
+most 2 ** FILTER_BITS bits whatever the corpus, so it is broadcast; the count from which it holds n-grams follows from the
+histogram of all counts and what it can hold. The n-grams below stay in the tables of exact counts: where a text has one that
+the filter does not know, its key is listed, and the keys meet those tables in a join. By absolute discounting a history
+gives the shorter one what its continuations leave over: an array has that mass of each symbol, the filter of longer ones.
 
-Words outside a vocabulary of at most 2 ** WORD_BITS share one symbol in histories and are told apart by their own counts.
+Words outside a vocabulary of at most 2 ** WORD_BITS share one symbol in histories and are told apart by their own exact
+counts, met in a join.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,12 +32,15 @@ FILTER_BITS, SEGMENT_BITS, WORD_BITS, HASHES = 29, 23, 18, 6
 ROOM = 11
 #: Bytes of the vocabulary's words together, at most.
 VOCABULARY_BYTES = 32 << 20
-ORDER, DISCOUNT = 2, 0.75
+#: Symbols of an n-gram, and how often it must occur to count where the caller does not say.
+ORDER, LEAST, DISCOUNT = 2, 2, 0.75
 #: The end of a text, also its begin as a history: no word holds a line feed.
 END = "\n"
 _OTHER, _END = 0, 1
-#: Kinds of counts in the filter: vocabulary words, other words, n-grams and left-over masses by order.
-WORD, RARE, GRAM, LEFT = 0, 1, 2, 8
+#: Kinds of counts in the filter: vocabulary words, n-grams and left-over masses by order.
+WORD, GRAM, LEFT = 0, 2, 8
+#: Parts of 1 that sums of logarithms are taken in, so that the order of rows does not matter.
+_UNIT = 10**9
 _SLICE = 1 << 18
 
 
@@ -199,8 +203,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return through_arrow(texts.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(texts: DataFrame, order: int, vocabulary, seen=None) -> DataFrame:
-    """key, n of the n-grams that occur twice or more. `seen` is a broadcast filter of the next shorter ones: an n-gram whose parts don't repeat can't either."""
+def gram_counts(texts: DataFrame, order: int, vocabulary, least: int, seen=None) -> DataFrame:
+    """key, n of the n-grams that occur `least` times or more. `seen` is a broadcast filter of the next shorter ones: an n-gram whose parts don't repeat can't either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in_chunks(batches, 0):
@@ -216,22 +220,24 @@ def gram_counts(texts: DataFrame, order: int, vocabulary, seen=None) -> DataFram
                         key, n = key[there], n[there]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    return through_arrow(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2")
+    counted = through_arrow(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= least) if least > 1 else counted
 
 
 @dataclass
 class Model:
-    """What the workers need: vocabulary (END first), its exact counts, the filter, and the totals."""
+    """What the workers need: vocabulary (END first), its exact counts, levels of its left-over masses, the filter, and the totals."""
 
     vocabulary: pa.Array
     exact: np.ndarray
+    lefts: np.ndarray
     filter: CountFilter
     order: int
     total: int
     types: int
     other: int
     novel: int
-    pruned: int
+    least: int
 
     def by_symbol(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability, count, left-over mass) of each symbol as the filter has them: probed once a worker."""
@@ -240,21 +246,28 @@ class Model:
             count, mass = self.filter.counts(WORD, ids), self.total + self.novel
             p = np.where(count > 0, count, self.novel / (self.types + 1)) / mass
             p[_OTHER] = (self.other + self.novel) / mass
-            self._by_symbol = p, count, self.filter.counts(LEFT + 2, ids) if self.order > 1 else count
+            self._by_symbol = p, count, count_at(self.lefts)
         return self._by_symbol
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_by_symbol"}
 
-    def probabilities(self, flat: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """Of the symbols at start to stop (start is at least 1), each given what is before it."""
+    def _given(self, p: np.ndarray, count: np.ndarray, times: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return np.minimum(np.maximum(count - DISCOUNT, 0) / times + np.minimum(left / times, 1.0) * p, 1.0)
+
+    def probabilities(self, flat: np.ndarray, learnt: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, whether the filter does not settle it) of the symbols at start to stop (start is at least 1), each given what is before it.
+
+        `learnt` tells which symbols are of texts that the model has learnt from: what they hold occurs at least once.
+        """
         low = max(0, start - self.order + 1)
-        part = flat[low:stop]
+        part, learnt = flat[low:stop], learnt[low:stop]
         single, counts, lefts = self.by_symbol()
-        p, history = single[part], counts[part]
+        p, history, unsettled = single[part], counts[part], np.zeros(len(part), bool)
         for order in range(2, self.order + 1):
             if len(part) < order:
                 break
+            cut = self.filter.cut.get(GRAM + order, 0)
             key, at = grams(part, order)
             # the history's count, by the order below: that of what ends a symbol before
             times = history[at - 1]
@@ -263,19 +276,61 @@ class Model:
             else:
                 past, back = np.unique(key >> WORD_BITS, return_inverse=True)
                 left = self.filter.counts(LEFT + order, past)[back]
-            # without kept continuations a history says nothing, and a count there would be a false one
-            use = np.flatnonzero((left > 0) & (times > 0))
-            at, times, left = at[use], times[use], left[use]
-            keys, back = np.unique(key[use], return_inverse=True)
+            # without continuations a history says nothing, and a count there would be a false one
+            known = (left > 0) & (times > 0)
+            if order > 2 and cut >= self.least:  # such a history may be in the tables alone
+                unsettled[at[~known]] = True
+            at, times, left, use = at[known], times[known], left[known], key[known]
+            keys, back = np.unique(use, return_inverse=True)
             count = self.filter.counts(GRAM + order, keys)[back]
-            p[at] = np.minimum(np.maximum(count - DISCOUNT, 0) / times + np.minimum(left / times, 1.0) * p[at], 1.0)
+            if cut >= self.least:
+                missed = count == 0
+                if order == 2 and cut == 1:  # a learnt text's pair that does not repeat
+                    count[missed & learnt[at]] = 1
+                    missed = count == 0
+                unsettled[at[missed]] = True
+            p[at] = self._given(p[at], count, times, left)
             history = np.zeros(len(part))
             history[at] = count
-        return p[start - low :]
-
+        return p[start - low :], unsettled[start - low :]
 
-def learnt(texts: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS) -> tuple[Model, Table]:
+    def keys_at(self, flat: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        """Keys of the n-grams of two symbols and more that end at these positions, null where one would cross the end of a text."""
+        out, inner = [], np.ones(len(at), bool)
+        key, shift = flat[at], 0
+        for order in range(2, self.order + 1):
+            before = at - order + 1
+            inner = inner & (before >= 0)
+            if order > 2:
+                inner &= flat[before + 1] != _END
+            shift += WORD_BITS
+            key = key | flat[np.maximum(before, 0)] << shift
+            out.append(pa.array(key, mask=~inner))
+        return out
+
+    def settled(self, pairs: np.ndarray, counts: list[np.ndarray], times: list[np.ndarray], lefts: list[np.ndarray]) -> np.ndarray:
+        """Probability of the last symbol of `pairs` from exact counts of the n-grams of each order, and for those of three symbols and more of their histories."""
+        single, count, left = self.by_symbol()
+        past = pairs >> WORD_BITS
+        p = single[pairs & (1 << WORD_BITS) - 1]
+        for c, n, rest in zip(counts, [count[past], *times], [left[past], *lefts], strict=True):
+            use = np.flatnonzero((rest > 0) & (n > 0))
+            p[use] = self._given(p[use], c[use], n[use], rest[use])
+        return p
+
+
+def learnt(texts: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS, least: int = LEAST) -> tuple[Model, Table]:
     """(model, table of the exact counts of all tokens: word, n)."""
+    model, words, tables = _learnt(texts, order, filter_bits, least)
+    for t in tables.values():
+        t.drop()
+    return model, words
+
+
+def _learnt(texts: DataFrame, order: int, filter_bits: int, least: int) -> tuple[Model, Table, dict[int, Table]]:
+    """(model, table of the exact counts of all tokens: word, n; by order the tables of all n-grams that count: key, n)."""
+    if least < 1:
+        raise ValueError("least must be 1 or more")
     if not 1 <= order <= 63 // WORD_BITS:
         raise ValueError(f"order must be 1 to {63 // WORD_BITS}")
     spark = texts.sparkSession
@@ -296,21 +351,12 @@ def learnt(texts: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS)
     exact = np.array([0, ends, *(r.n for r in common)], np.int64)
     other = total - int(exact.sum())
     shared = spark.sparkContext.broadcast(vocabulary)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_in_chunks(batches, 0):
-            word, n = batch.columns
-            rare = pc.and_(pc.invert(pc.is_in(word, value_set=shared.value)), pc.not_equal(word, END))
-            keys = [xxhash.xxh3_64_intdigest(x) for x in word.filter(rare).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), n.filter(rare)], ["key", "n"])
-
     kept: dict[int, DataFrame] = {WORD: spark.createDataFrame([(i, int(n)) for i, n in enumerate([other, *exact[1:]]) if n], "key long, n long")}
-    kept[RARE] = through_arrow(words.df, keyed, "key long, n long")
     tables, seen = {}, None
     for k in range(2, order + 1):
-        tables[k] = Table(gram_counts(texts, k, shared, seen), f"grams{k}")
+        tables[k] = Table(gram_counts(texts, k, shared, least, seen), f"grams{k}")
         kept[GRAM + k] = tables[k].df
-        if k < order:  # counts of two and more, their levels but the first are of no use here
+        if k < order and least > 1:  # counts of two and more, their levels but the first are of no use here
             seen = spark.sparkContext.broadcast(build(tables[k].df.select(F.lit(GRAM + k).alias("kind"), "key", F.lit(2).alias("level")), _bits(tables[k].df.count(), filter_bits), {GRAM + k: 1}))
 
     # how many members each kind needs at each cut, from the histogram of all levels
@@ -320,32 +366,35 @@ def learnt(texts: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS)
         return sum((level - cut) * n for level, n in seen_levels[kind].items() if level > cut)
 
     def needed(cut: int) -> int:
-        # left-over masses are no larger than their histories' counts: words, and n-grams but the longest
-        histories = members(WORD, 0) if order > 1 else 0
-        histories += sum(level * n for k in range(2, order) for level, n in seen_levels[GRAM + k].items() if level > cut)
-        return members(WORD, 0) + members(RARE, cut - 1) + sum(members(GRAM + k, cut) for k in range(2, order + 1)) + histories
+        # left-over masses are no larger than their histories' counts: n-grams but the longest
+        histories = sum(level * n for k in range(2, order) for level, n in seen_levels[GRAM + k].items() if level > cut)
+        return members(WORD, 0) + sum(members(GRAM + k, cut) for k in range(2, order + 1)) + histories
 
-    cut = 1
+    cut = least - 1
     while needed(cut) * ROOM > 1 << filter_bits and cut < 200:
         cut += 1
-    cuts = {RARE: cut - 1, **{GRAM + k: cut for k in range(2, order + 1)}}
+    cuts = {GRAM + k: cut for k in range(2, order + 1)}
     items = [df.select(F.lit(kind).alias("kind"), "key", level_of(F.col("n")).alias("level")).where(F.col("level") > cuts.get(kind, 0)) for kind, df in kept.items()]
+    lefts = np.zeros(len(exact), np.int64)
     for k in range(2, order + 1):
-        used = tables[k].df.where(level_of(F.col("n")) > cut).groupBy(F.shiftright("key", WORD_BITS).alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("used"))
-        whole = kept[WORD] if k == 2 else kept[GRAM + k - 1]
-        left = used.join(whole, "key").select("key", F.greatest(F.round(F.col("n") - F.col("used")), F.lit(1)).cast("long").alias("n"))
-        items.append(left.select(F.lit(LEFT + k).alias("kind"), "key", level_of(F.col("n")).alias("level")))
+        left = left_over(tables[k].df, kept[WORD] if k == 2 else kept[GRAM + k - 1]).select("key", "times", level_of(F.col("n")).alias("level"))
+        if k == 2:
+            for r in left.collect():
+                lefts[r.key] = r.level
+        else:
+            items.append(left.where(level_of(F.col("times")) > cut).select(F.lit(LEFT + k).alias("kind"), "key", "level"))
     all_items = items[0]
     for x in items[1:]:
         all_items = all_items.unionByName(x)
     held = build(all_items, _bits(needed(cut), filter_bits), cuts)
-    for t in tables.values():
-        t.drop()
-    pruned = 0
-    if cut > 1:
-        pruned = words.df.where((level_of(F.col("n")) <= cut - 1) & (F.col("word") != END)).agg(F.sum("n")).first()[0] or 0
-    model = Model(pa.concat_arrays([pa.array([END], pa.string()), vocabulary]), exact, held, order, total, types, other, max(1, novel), pruned)
-    return model, words
+    model = Model(pa.concat_arrays([pa.array([END], pa.string()), vocabulary]), exact, lefts, held, order, total, types, other, max(1, novel), least)
+    return model, words, tables
+
+
+def left_over(continued: DataFrame, whole: DataFrame) -> DataFrame:
+    """key, times, n: of each history with continuations, its count and the mass that they leave to the shorter one."""
+    used = continued.groupBy(F.shiftright("key", WORD_BITS).alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("used"))
+    return used.join(whole.withColumnRenamed("n", "times"), "key").select("key", "times", F.greatest(F.round(F.col("times") - F.col("used")), F.lit(1)).cast("long").alias("n"))
 
 
 def _bits(members: int, most: int) -> int:
@@ -353,20 +402,24 @@ def _bits(members: int, most: int) -> int:
     return min(most, max(16, math.ceil(math.log2(max(1, members) * ROOM))))
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of `docs` (doc_id, text, ...).
 
     The model learns from the rows that `learnable` tells; score is its log10 probability of the whole text, however
-    long, and of its end; base_score is that of single tokens with half a count added, from exact counts. Null texts are
+    long, and of its end; n-grams that occur `least` times or more count, those that the filter has no room for by a join
+    with their exact counts, and at `least` 1 so does every n-gram; base_score is that of single tokens with half a count added, from exact counts. Null texts are
     empty: one token, the end. A null id is neither held out nor learnt from; repeated rows count and are scored each,
     equal texts alike; without training rows every token is unknown; an empty table gives no rows; other columns are
     ignored, whatever their names.
     """
     spark = docs.sparkSession
-    model, words = learnt(docs.where(learnable("doc_id")), order, filter_bits)
+    model, words, tables = _learnt(docs.where(learnable("doc_id")), order, filter_bits, least)
+    names = [f"g{k}" for k in range(2, order + 1)]
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, head double, score double, tail array<struct<word:string,m:long>>"
+    if names:
+        schema += f", gaps array<struct<{','.join(f'{g}:long' for g in names)}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, TaskContext.get().partitionId() << 33
@@ -376,27 +429,30 @@ def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_B
         for batch in rows_in_chunks(batches, 2):
             flat, counts, where, index, words = symbols(batch.column(2), vocabulary)
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            log_p = np.concatenate([np.log10(m.probabilities(flat, at, min(at + _SLICE, len(flat)))) for at in range(1, len(flat), _SLICE)])
+            own = np.concatenate([[False], np.repeat(~batch.column(1).to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False), counts)])
+            parts = [m.probabilities(flat, own, at, min(at + _SLICE, len(flat))) for at in range(1, len(flat), _SLICE)]
+            log_p, unsettled = np.log10(np.concatenate([x for x, _ in parts])), np.concatenate([x for _, x in parts])
+            log_p[unsettled] = 0.0
             rare = np.flatnonzero(flat[where] == _OTHER)
             which, back = np.unique(index[rare], return_inverse=True)
-            names = words.take(pa.array(which))
-            if len(which):
-                keys = np.array([xxhash.xxh3_64_intdigest(x) for x in names.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-                own = m.filter.counts(RARE, keys)
-                own = np.where(own > 0, own, (m.novel + m.pruned) / (m.types + 1)) / (m.other + m.novel)
-                log_p[where[rare] - 1] += np.log10(own)[back]
+            names_of = words.take(pa.array(which))
             symbol = flat[1:]
             # words outside the vocabulary meet their exact counts in a join: here they are listed by text
             of_row = np.searchsorted(starts, where[rare] - 1, side="right") - 1
             pair, times = np.unique(of_row * max(1, len(which)) + back, return_counts=True)
             upto = np.searchsorted(pair // max(1, len(which)), np.arange(len(counts) + 1))
-            tail = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays([names.take(pa.array(pair % max(1, len(which)))), pa.array(times.astype(np.int64))], ["word", "m"]))
+            tail = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays([names_of.take(pa.array(pair % max(1, len(which)))), pa.array(times.astype(np.int64))], ["word", "m"]))
+            gaps = []
+            if names:  # the same of n-grams that the filter does not hold
+                open_at = np.flatnonzero(unsettled)
+                upto = np.searchsorted(open_at, np.concatenate([starts, [len(unsettled)]]))
+                gaps = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(m.keys_at(flat, open_at + 1), names))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + len(counts))), batch.column(0), batch.column(1), pa.array(counts),
-                    pa.array(np.add.reduceat(there[symbol].astype(np.int64), starts)), pa.array(np.add.reduceat(logs[symbol], starts)), pa.array(np.add.reduceat(log_p, starts)), tail,
+                    pa.array(np.add.reduceat(there[symbol].astype(np.int64), starts)), pa.array(np.add.reduceat(logs[symbol], starts)), pa.array(np.add.reduceat(log_p, starts)), tail, *gaps,
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "head", "score", "tail"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "head", "score", "tail", *["gaps"][: len(gaps)]],
             )
             row += len(counts)
 
@@ -406,16 +462,44 @@ def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_B
     exact = listed.join(words.df, "word", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     # decimals, so that the order of rows does not matter
     log = F.sum((F.col("m") * F.log10(F.col("n") + 0.5)).cast("decimal(38,15)")).cast("double").alias("log")
-    tails = exact.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"), log)
+    mass, unknown = float(model.other + model.novel), model.novel / (model.types + 1)
+    own = F.sum((F.col("m") * F.log10(F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(unknown)) / mass)).cast("decimal(38,15)")).cast("double").alias("own")
+    tails = exact.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"), log, own)
     each = math.log10(model.total + 0.5 * (model.types + 1))
-    return scored.df.drop("tail").join(tails, "row", "left").select(
+    out, score = scored.df.drop("tail", "gaps").join(tails, "row", "left"), F.col("score") + F.coalesce("own", F.lit(0.0))
+    if model.filter.cut.get(GRAM + 2, 0) >= least:
+        out = out.join(_settled(scored.df, tables, model, shared), "row", "left")
+        score = score + F.coalesce(F.col("gap") / _UNIT, F.lit(0.0))
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("head") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
+        (F.col("head") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), score.alias("score"),
     )
 
 
+def _settled(scored: DataFrame, tables: dict[int, Table], model: Model, shared) -> DataFrame:
+    """row, gap: the sum of the logarithms that the filter did not settle, from exact counts, in units."""
+    orders = sorted(tables)
+    rows = scored.select("row", F.explode("gaps").alias("g")).select("row", "g.*")
+    for k in orders:
+        # an n-gram of the longest kind that the filter holds has no gap
+        held = tables[k].df if k < orders[-1] else tables[k].df.where(level_of(F.col("n")) <= model.filter.cut[GRAM + k])
+        rows = rows.join(held.select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"n{k}")), f"g{k}", "left")
+        if k > 2:
+            whole = left_over(tables[k].df, tables[k - 1].df).select(F.col("key").alias("past"), F.col("times").alias(f"t{k}"), F.col("n").alias(f"l{k}"))
+            rows = rows.withColumn("past", F.shiftright(f"g{k}", WORD_BITS)).join(whole, "past", "left").drop("past")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = lambda x: batch.column(x).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            p = shared.value.settled(col("g2"), [col(f"n{k}") for k in orders], [col(f"t{k}") for k in orders[1:]], [col(f"l{k}") for k in orders[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(np.log10(p) * _UNIT).astype(np.int64))], ["row", "gap"])
+
+    columns = ["row", "g2", *(f"n{k}" for k in orders), *(f"{x}{k}" for k in orders[1:] for x in "tl")]
+    return through_arrow(rows.select(*columns), run, "row long, gap long").groupBy("row").agg(F.sum("gap").alias("gap"))
+
+
 def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(read_table(spark, sf_dir, "documents"))
+    return score_texts(read_table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES = {"op11_language_model": op11_language_model}

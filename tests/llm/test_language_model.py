@@ -187,3 +187,48 @@ def test_edges(spark):
     assert held(made(only)) == held(plain_base(only))
     with pytest.raises(ValueError):
         L.learnt(spark.createDataFrame([], SCHEMA), 4)
+
+
+def plain_pairs(rows):
+    """Scores of the model of pairs that keeps every count, written out with exact counts; text by text."""
+    train = [words_of(t) for i, t in rows if i is not None and rest(i) != 1]
+    single, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\n", *t], t, strict=False))
+    after, n, novel = Counter(h for h, _ in pairs), sum(single.values()), max(1, sum(c == 1 for c in single.values()))
+
+    def p(h, w):
+        low = (single[w] or novel / (len(single) + 1)) / (n + novel)
+        return (max(pairs[h, w] - L.DISCOUNT, 0) + L.DISCOUNT * after[h] * low) / single[h] if single[h] else low
+
+    return {i: sum(math.log10(p(h, w)) for h, w in zip(["\n", *words_of(t)], words_of(t), strict=False)) for i, t in rows}
+
+
+@pytest.mark.parametrize("bits", [29, 17, 16])
+def test_every_pair_counts_at_least_one(spark, bits):
+    """Also those seen once, with a filter that has room for all, for those that repeat, and for fewer: the rest is met by exact counts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(0, 60)))) for i in range(1500)] + [(9000, None), (9001, "never seen"), (9002, "w1 w1 w1 " * 50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model, words = L.learnt(docs.where(L.learnable("doc_id")), 2, bits, 1)
+    words.drop()
+    cut = model.filter.cut[L.GRAM + 2]
+    assert cut == {29: 0, 17: 1}.get(bits, max(cut, 2)) < 100
+    want = plain_pairs([r for r in rows if r[0] != 9001])
+    got = {r.doc_id: r for r in L.score_texts(docs, 2, bits, 1).collect()}
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    off = [abs(got[i].score - want[i]) / got[i].n_tokens for i in want]
+    assert np.mean(off) < 0.02 and np.quantile(off, 0.98) < 0.06
+    again = L.score_texts(docs.repartition(7), 2, bits, 1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got.values()))
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_small_filter_scores_as_a_large_one(spark, least):
+    """Triples, whose histories may not fit either: what is in the tables alone is met exactly, where it was lost before."""
+    rows = corpus(250, 11, 400)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model, words = L.learnt(docs.where(L.learnable("doc_id")), 3, 16, least)
+    words.drop()
+    assert model.filter.cut[L.GRAM + 3] > 1
+    large, small = ({r.doc_id: r for r in L.score_texts(docs, 3, bits, least).collect()} for bits in (29, 16))
+    off = [abs(small[i].score - large[i].score) / large[i].n_tokens for i, _ in rows]
+    assert np.mean(off) < 0.01 and np.quantile(off, 0.98) < 0.05
