@@ -84,6 +84,12 @@ def level_of(n: Column) -> Column:
     return (e * 4 + F.call_function("shiftright", n, e)).cast("int")
 
 
+def levels_of(n: np.ndarray) -> np.ndarray:
+    """`level_of` in numpy, for counts below 2 ** 53."""
+    e = np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - 3, 0)
+    return 4 * e + (n >> e)
+
+
 def count_at(level: np.ndarray) -> np.ndarray:
     """The middle of the counts of a level; 0 of level 0."""
     e = np.maximum(level // 4 - 1, 0)
@@ -140,6 +146,16 @@ class CountFilter:
             level[at] = now
         return count_at(level)
 
+    def put(self, kind: int, keys: np.ndarray, level: np.ndarray) -> None:
+        """Sets the members of some keys here: of the vocabulary's, which are few."""
+        segment = min(self.bits, SEGMENT_BITS)
+        hashes = hashed(kind, keys)
+        base = _segment_of(hashes, self.bits, segment) << np.uint64(segment - 6)
+        for k in range(self.cut.get(kind, 0) + 1, int(level.max(initial=0)) + 1):
+            mine = level >= k
+            word, bits = _member(hashes[mine], k, segment)
+            np.bitwise_or.at(self.data, base[mine] + word, bits)
+
 
 def _segment_of(hashes: np.ndarray, bits: int, segment: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits + segment) if bits > segment else np.zeros(len(hashes), np.uint64)
@@ -252,9 +268,6 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_by_symbol"}
 
-    def _given(self, p: np.ndarray, count: np.ndarray, times: np.ndarray, left: np.ndarray) -> np.ndarray:
-        return np.minimum(np.maximum(count - DISCOUNT, 0) / times + np.minimum(left / times, 1.0) * p, 1.0)
-
     def probabilities(self, flat: np.ndarray, learnt: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """(probability, whether the filter does not settle it) of the symbols at start to stop (start is at least 1), each given what is before it.
 
@@ -289,7 +302,7 @@ class Model:
                     count[missed & learnt[at]] = 1
                     missed = count == 0
                 unsettled[at[missed]] = True
-            p[at] = self._given(p[at], count, times, left)
+            p[at] = _given(p[at], count, times, left)
             history = np.zeros(len(part))
             history[at] = count
         return p[start - low :], unsettled[start - low :]
@@ -308,15 +321,20 @@ class Model:
             out.append(pa.array(key, mask=~inner))
         return out
 
-    def settled(self, pairs: np.ndarray, counts: list[np.ndarray], times: list[np.ndarray], lefts: list[np.ndarray]) -> np.ndarray:
-        """Probability of the last symbol of `pairs` from exact counts of the n-grams of each order, and for those of three symbols and more of their histories."""
-        single, count, left = self.by_symbol()
-        past = pairs >> WORD_BITS
-        p = single[pairs & (1 << WORD_BITS) - 1]
-        for c, n, rest in zip(counts, [count[past], *times], [left[past], *lefts], strict=True):
-            use = np.flatnonzero((rest > 0) & (n > 0))
-            p[use] = self._given(p[use], c[use], n[use], rest[use])
-        return p
+
+def _given(p: np.ndarray, count: np.ndarray, times: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(count - DISCOUNT, 0) / times + np.minimum(left / times, 1.0) * p, 1.0)
+
+
+def settled(by_symbol: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray, counts: list[np.ndarray], times: list[np.ndarray], lefts: list[np.ndarray]) -> np.ndarray:
+    """Probability of the last symbol of `pairs` from exact counts of the n-grams of each order, and for those of three symbols and more of their histories."""
+    single, count, left = by_symbol
+    past = pairs >> WORD_BITS
+    p = single[pairs & (1 << WORD_BITS) - 1]
+    for c, n, rest in zip(counts, [count[past], *times], [left[past], *lefts], strict=True):
+        use = np.flatnonzero((rest > 0) & (n > 0))
+        p[use] = _given(p[use], c[use], n[use], rest[use])
+    return p
 
 
 def learnt(texts: DataFrame, order: int = ORDER, filter_bits: int = FILTER_BITS, least: int = LEAST) -> tuple[Model, Table]:
@@ -344,23 +362,31 @@ def _learnt(texts: DataFrame, order: int, filter_bits: int, least: int) -> tuple
         if room < 0 or size < 0:
             break
         lowest = r.b
-    common = plain.where(bucket >= lowest).collect() if lowest < math.inf else []
-    common.sort(key=lambda r: (-r.n, r.word))
+    # up to 2 ** WORD_BITS rows come to the driver as Arrow, not as objects
+    common = plain.where(bucket >= lowest).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     ends = sum(r.n for r in words.df.where(F.col("word") == END).collect())
-    vocabulary = pa.array([r.word for r in common], pa.string())
-    exact = np.array([0, ends, *(r.n for r in common)], np.int64)
+    vocabulary = pa.concat_arrays([pa.array([], pa.string()), *common["word"].chunks])
+    exact = np.concatenate([[0, ends], common["n"].to_numpy()]).astype(np.int64)
+    del common
     other = total - int(exact.sum())
+    single = np.concatenate([[other], exact[1:]])
+    ids = np.flatnonzero(single)
     shared = spark.sparkContext.broadcast(vocabulary)
-    kept: dict[int, DataFrame] = {WORD: spark.createDataFrame([(i, int(n)) for i, n in enumerate([other, *exact[1:]]) if n], "key long, n long")}
+    kept: dict[int, DataFrame] = {}
     tables, seen = {}, None
     for k in range(2, order + 1):
         tables[k] = Table(gram_counts(texts, k, shared, least, seen), f"grams{k}")
         kept[GRAM + k] = tables[k].df
+        if seen is not None:
+            seen.destroy()
+            seen = None
         if k < order and least > 1:  # counts of two and more, their levels but the first are of no use here
             seen = spark.sparkContext.broadcast(build(tables[k].df.select(F.lit(GRAM + k).alias("kind"), "key", F.lit(2).alias("level")), _bits(tables[k].df.count(), filter_bits), {GRAM + k: 1}))
+    shared.destroy()  # its readers have written their tables
 
     # how many members each kind needs at each cut, from the histogram of all levels
-    seen_levels = {kind: {r.level: r.n for r in df.groupBy(level_of(F.col("n")).alias("level")).agg(F.count("*").alias("n")).collect()} for kind, df in kept.items()}
+    seen_levels = {WORD: dict(zip(*(x.tolist() for x in np.unique(levels_of(single[ids]), return_counts=True)), strict=True))}
+    seen_levels |= {kind: {r.level: r.n for r in df.groupBy(level_of(F.col("n")).alias("level")).agg(F.count("*").alias("n")).collect()} for kind, df in kept.items()}
 
     def members(kind: int, cut: int) -> int:
         return sum((level - cut) * n for level, n in seen_levels[kind].items() if level > cut)
@@ -377,23 +403,36 @@ def _learnt(texts: DataFrame, order: int, filter_bits: int, least: int) -> tuple
     items = [df.select(F.lit(kind).alias("kind"), "key", level_of(F.col("n")).alias("level")).where(F.col("level") > cuts.get(kind, 0)) for kind, df in kept.items()]
     lefts = np.zeros(len(exact), np.int64)
     for k in range(2, order + 1):
-        left = left_over(tables[k].df, kept[WORD] if k == 2 else kept[GRAM + k - 1]).select("key", "times", level_of(F.col("n")).alias("level"))
         if k == 2:
-            for r in left.collect():
-                lefts[r.key] = r.level
+            came = spent(tables[k].df).toArrow()
+            of, used = came["key"].to_numpy(), came["used"].to_numpy()
+            known = np.isin(of, ids)  # as `left_over` joins histories with their counts
+            of, used = of[known], used[known]
+            lefts[of] = levels_of(np.maximum(np.floor(single[of] - used + 0.5), 1).astype(np.int64))
         else:
+            left = left_over(tables[k].df, kept[GRAM + k - 1]).select("key", "times", level_of(F.col("n")).alias("level"))
             items.append(left.where(level_of(F.col("times")) > cut).select(F.lit(LEFT + k).alias("kind"), "key", "level"))
-    all_items = items[0]
-    for x in items[1:]:
-        all_items = all_items.unionByName(x)
-    held = build(all_items, _bits(needed(cut), filter_bits), cuts)
+    bits = _bits(needed(cut), filter_bits)
+    if items:
+        all_items = items[0]
+        for x in items[1:]:
+            all_items = all_items.unionByName(x)
+        held = build(all_items, bits, cuts)
+    else:
+        held = CountFilter(np.zeros(1 << bits - 6, np.uint64), bits)
+    held.put(WORD, ids, levels_of(single[ids]))
     model = Model(pa.concat_arrays([pa.array([END], pa.string()), vocabulary]), exact, lefts, held, order, total, types, other, max(1, novel), least)
     return model, words, tables
 
 
+def spent(continued: DataFrame) -> DataFrame:
+    """key, used: the discounted counts of the continuations of each history."""
+    return continued.groupBy(F.shiftright("key", WORD_BITS).alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("used"))
+
+
 def left_over(continued: DataFrame, whole: DataFrame) -> DataFrame:
     """key, times, n: of each history with continuations, its count and the mass that they leave to the shorter one."""
-    used = continued.groupBy(F.shiftright("key", WORD_BITS).alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("used"))
+    used = spent(continued)
     return used.join(whole.withColumnRenamed("n", "times"), "key").select("key", "times", F.greatest(F.round(F.col("times") - F.col("used")), F.lit(1)).cast("long").alias("n"))
 
 
@@ -415,7 +454,11 @@ def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_B
     spark = docs.sparkSession
     model, words, tables = _learnt(docs.where(learnable("doc_id")), order, filter_bits, least)
     names = [f"g{k}" for k in range(2, order + 1)]
+    total, cuts, mass, unknown = model.total, model.filter.cut, float(model.other + model.novel), model.novel / (model.types + 1)
+    each = math.log10(total + 0.5 * (model.types + 1))
+    by_symbol = model.by_symbol() if cuts.get(GRAM + 2, 0) >= least else None
     shared = spark.sparkContext.broadcast(model)
+    del model  # with its filter: the driver's copy is in the broadcast
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, head double, score double, tail array<struct<word:string,m:long>>"
     if names:
@@ -458,31 +501,30 @@ def score_texts(docs: DataFrame, order: int = ORDER, filter_bits: int = FILTER_B
 
     plain = docs.select("doc_id", F.coalesce(~learnable("doc_id"), F.lit(False)).alias("held_out"), "text")
     scored = Table(through_arrow(plain, run, schema), "scored")
+    shared.destroy()
     listed = scored.df.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m")
     exact = listed.join(words.df, "word", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     # decimals, so that the order of rows does not matter
     log = F.sum((F.col("m") * F.log10(F.col("n") + 0.5)).cast("decimal(38,15)")).cast("double").alias("log")
-    mass, unknown = float(model.other + model.novel), model.novel / (model.types + 1)
     own = F.sum((F.col("m") * F.log10(F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(unknown)) / mass)).cast("decimal(38,15)")).cast("double").alias("own")
     tails = exact.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"), log, own)
-    each = math.log10(model.total + 0.5 * (model.types + 1))
     out, score = scored.df.drop("tail", "gaps").join(tails, "row", "left"), F.col("score") + F.coalesce("own", F.lit(0.0))
-    if model.filter.cut.get(GRAM + 2, 0) >= least:
-        out = out.join(_settled(scored.df, tables, model, shared), "row", "left")
+    if by_symbol is not None:
+        out = out.join(_settled(scored.df, tables, cuts, spark.sparkContext.broadcast(by_symbol)), "row", "left")
         score = score + F.coalesce(F.col("gap") / _UNIT, F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), score.alias("score"),
     )
 
 
-def _settled(scored: DataFrame, tables: dict[int, Table], model: Model, shared) -> DataFrame:
+def _settled(scored: DataFrame, tables: dict[int, Table], cuts: dict[int, int], by_symbol) -> DataFrame:
     """row, gap: the sum of the logarithms that the filter did not settle, from exact counts, in units."""
     orders = sorted(tables)
     rows = scored.select("row", F.explode("gaps").alias("g")).select("row", "g.*")
     for k in orders:
         # an n-gram of the longest kind that the filter holds has no gap
-        held = tables[k].df if k < orders[-1] else tables[k].df.where(level_of(F.col("n")) <= model.filter.cut[GRAM + k])
+        held = tables[k].df if k < orders[-1] else tables[k].df.where(level_of(F.col("n")) <= cuts[GRAM + k])
         rows = rows.join(held.select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"n{k}")), f"g{k}", "left")
         if k > 2:
             whole = left_over(tables[k].df, tables[k - 1].df).select(F.col("key").alias("past"), F.col("times").alias(f"t{k}"), F.col("n").alias(f"l{k}"))
@@ -491,7 +533,7 @@ def _settled(scored: DataFrame, tables: dict[int, Table], model: Model, shared)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda x: batch.column(x).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            p = shared.value.settled(col("g2"), [col(f"n{k}") for k in orders], [col(f"t{k}") for k in orders[1:]], [col(f"l{k}") for k in orders[1:]])
+            p = settled(by_symbol.value, col("g2"), [col(f"n{k}") for k in orders], [col(f"t{k}") for k in orders[1:]], [col(f"l{k}") for k in orders[1:]])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(np.log10(p) * _UNIT).astype(np.int64))], ["row", "gap"])
 
     columns = ["row", "g2", *(f"n{k}" for k in orders), *(f"{x}{k}" for k in orders[1:] for x in "tl")]

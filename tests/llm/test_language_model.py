@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import zlib
@@ -232,3 +233,38 @@ def test_small_filter_scores_as_a_large_one(spark, least):
     large, small = ({r.doc_id: r for r in L.score_texts(docs, 3, bits, least).collect()} for bits in (29, 16))
     off = [abs(small[i].score - large[i].score) / large[i].n_tokens for i, _ in rows]
     assert np.mean(off) < 0.01 and np.quantile(off, 0.98) < 0.05
+
+
+def test_levels_in_numpy_equal_those_of_columns(spark):
+    n = [*range(1, 3000), 2**20, 2**40 + 12345, 2**53 - 1]
+    got = [r.level for r in spark.createDataFrame([(x,) for x in n], "n long").select(L.level_of(F.col("n")).alias("level")).collect()]
+    assert L.levels_of(np.array(n)).tolist() == got
+
+
+@pytest.mark.parametrize("segment", [20, 10])
+def test_members_put_in_here_equal_those_of_tasks(spark, segment, monkeypatch):
+    monkeypatch.setattr(L, "SEGMENT_BITS", segment)
+    rng = random.Random(segment)
+    items = [(q, rng.getrandbits(62), rng.randrange(1, 40)) for q in (0, 4) for _ in range(500)]
+    made = lambda rows: L.build(spark.createDataFrame(rows, "kind int, key long, level int"), 16, {4: 2})
+    whole, part = made(items), made([x for x in items if x[0]])
+    _, keys, levels = (np.array(x) for x in zip(*(x for x in items if not x[0]), strict=True))
+    assert (part.data != whole.data).any()
+    part.put(0, keys, levels)
+    assert (part.data == whole.data).all()
+
+
+@pytest.mark.parametrize("bits", [29, 16])
+def test_driver_holds_no_vocabulary_as_rows_and_no_used_filter(spark, bits, monkeypatch):
+    """Words and left-over masses come as arrays, not as a Row each, and a broadcast goes when its readers are done."""
+    rows = [(i, " ".join(f"w{(i * 40 + k) * 7 % 6007}" for k in range(40))) for i in range(400)]
+    docs, rows_seen, made = spark.createDataFrame(rows, SCHEMA), [], []
+    frame, session, context = type(docs), type(spark), type(spark.sparkContext)
+    collect, create, broadcast = frame.collect, session.createDataFrame, context.broadcast
+    monkeypatch.setattr(frame, "collect", lambda self: (got := collect(self), rows_seen.append(len(got)))[0])
+    monkeypatch.setattr(session, "createDataFrame", lambda self, data, *a, **b: (rows_seen.append(len(data)), create(self, data, *a, **b))[1])
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (made.append((type(value), b := broadcast(self, value))), b)[1])
+    out = L.score_texts(docs, 2, bits, 1)
+    assert max(rows_seen) < 300
+    assert {t for t, _ in made} >= {L.Model, pa.StringArray} and [t for t, b in made if os.path.exists(b._path)] == ([tuple] if bits == 16 else [])
+    assert out.count() == len(rows)
